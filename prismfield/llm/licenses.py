@@ -4,7 +4,7 @@ Native: DataFrame functions only. A text is read as units (its lines and its bla
 separated paragraphs); units are normalised to lower-case words. The Dice coefficient
 of two bigram sets of sizes a and b is at most 2*min(a,b)/(a+b), so a unit meets only templates
 whose size lies within the bounds that the threshold allows; units outside every bound are
-dropped before any bigram is made. The rest must share a bigram with some template.
+dropped, as are those without any of the words that every match needs to contain.
 
 Defined edge cases
 - null or empty text: no match, n_matches 0, null license_id and dice.
@@ -15,6 +15,9 @@ Defined edge cases
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ _BLANKS = "\t\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def normal_words(text: Column) -> Column:
     """Lower-cased ASCII-punctuation-free words of a unit."""
-    return F.filter(F.split(F.lower(F.translate(text, _BLANKS + "\n", " " * (len(_BLANKS) + 1))), " "), lambda w: w != "")
+    return F.filter(F.split(normal_text(text), " "), lambda w: w != "")
 
 
 def bigrams(words: Column) -> Column:
@@ -77,6 +80,39 @@ def template_grams(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
     return out
 
 
+#: Function words, the last choice for a needed word (fixed values).
+FUNCTION_WORDS = frozenset("a above all an and any are as at be been by can for from has have if in is it its may must no not of on or other out such that the their these this to under use was where which will with without you".split())
+
+
+def needed_words(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every unit that reaches the threshold for some template contains one.
+
+    A match of a template of t bigrams shares at least threshold * (t + t * low) / 2 of them. So
+    if more than the others contain a chosen word, a matching unit must contain a chosen word.
+    Long words come first and function words last, so that the chosen words are rare.
+    """
+    low, _ = _sizes(threshold)
+    known = template_grams(templates)
+    chosen: set[str] = set()
+    for _, grams in known:
+        t = len(grams)
+        most_missing = t - math.ceil(threshold * (t + math.ceil(t * low - 1e-9)) / 2 - 1e-9)
+        for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in FUNCTION_WORDS, w.isdigit(), -len(w), w)):
+            if sum(not chosen.isdisjoint(g.split()) for g in grams) > most_missing:
+                break
+            chosen.add(w)
+    return sorted(chosen)
+
+
+def normal_text(text: Column) -> Column:
+    """Lower-cased text with blanks for ASCII punctuation and line ends, and a blank at both ends."""
+    return F.concat(F.lit(" "), F.lower(F.translate(text, _BLANKS + "\n", " " * (len(_BLANKS) + 1))), F.lit(" "))
+
+
+def _contains(normal: Column, words: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a | b, (F.contains(normal, F.lit(f" {w} ")) for w in words))
+
+
 def matches(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) -> Column:
     """Array of (license_id, dice), one for each unit and licence that reaches the threshold."""
     low, high = _sizes(threshold)
@@ -85,11 +121,12 @@ def matches(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) ->
     table = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(len(grams)).alias("size"), F.lit(grams).alias("grams")) for name, grams in known))
     smallest, largest = min(len(g) for _, g in known) * low, max(len(g) for _, g in known) * high
     nothing = F.array().cast("array<string>")
+    needed = needed_words(templates, threshold)
     # Paragraphs of one line are lines already.
     paragraphs = F.filter(F.split(text, "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
     units = F.concat(F.split(text, "\n"), F.when(F.contains(text, F.lit("\n")), paragraphs).otherwise(nothing))
     # n bigrams need at least n + 1 words of a character each and the blanks between them.
-    units = F.filter(units, lambda u: F.length(u) >= 2 * smallest + 1)
+    units = F.filter(units, lambda u: (F.length(u) >= 2 * smallest + 1) & _contains(normal_text(u), needed))
     grams = F.filter(F.transform(F.transform(units, normal_words), bigrams), lambda g: (F.size(g) >= smallest) & (F.size(g) <= largest) & F.arrays_overlap(g, every))
 
     def score(g: Column) -> Column:
@@ -99,7 +136,9 @@ def matches(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) ->
         # One entry for each licence: its best template.
         return F.filter(kept, lambda m: ~F.exists(kept, lambda o: (o["license_id"] == m["license_id"]) & (o["dice"] > m["dice"])))
 
-    return F.flatten(F.transform(grams, lambda g: F.array_distinct(score(g))))
+    # Texts without any needed word never reach the array functions, and most not even normalisation.
+    plain = functools.reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in needed))
+    return F.when(plain, F.when(_contains(normal_text(text), needed), F.flatten(F.transform(grams, lambda g: F.array_distinct(score(g))))))
 
 
 def summarise(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id") -> DataFrame:

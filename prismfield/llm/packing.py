@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import zlib
 
 import numpy as np
@@ -23,33 +24,235 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import blocks, code_points, materialize
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-class _Encoder(dict):
-    """Token bytes (little-endian 32-bit ids) of each blank-separated chunk.
+_NEVER = np.int64(1 << 40)
 
-    The tokenizer's words never span white space, so a text's ids are those of its chunks.
+
+class _Merges:
+    """The tokenizer's byte-pair merges, applied to many words at once.
+
+    Words are rows of a symbol matrix. Each turn merges, in every row, the leftmost pair of
+    lowest rank; rows without a pair in the table are done.
+    """
+
+    def __init__(self, model: dict, byte_symbols: list[str]):
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        self.inner = np.array([vocab[c] for c in byte_symbols], np.int64)
+        self.final = np.array([vocab[c + end] for c in byte_symbols], np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        key = np.array([vocab[x] << 20 | vocab[y] for x, y in pairs], np.int64)
+        made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        # rank and result in one number; the table is hashed twice, the few collisions go to the second
+        value = np.arange(len(pairs), dtype=np.int64) << 20 | made
+        self.tables = []
+        bits = 20
+        while len(key):
+            slot = self._slot(key, bits, len(self.tables))
+            keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NEVER, np.int64)
+            keys[slot[::-1]], values[slot[::-1]] = key[::-1], value[::-1]
+            lost = keys[slot] != key
+            self.tables.append((bits, keys, values))
+            key, value, bits = key[lost], value[lost], max(12, bits - 4)
+
+    @staticmethod
+    def _slot(key: np.ndarray, bits: int, turn: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x51ED27 * turn)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 20 | right
+        out = np.full(key.shape, _NEVER, np.int64)
+        for turn, (bits, keys, values) in enumerate(self.tables):
+            slot = self._slot(key, bits, turn)
+            out = np.where(keys[slot] == key, values[slot], out)
+        return out
+
+    def words(self, raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of words of n > 0 bytes each, which lie end to end in `raw`."""
+        start = np.cumsum(n) - n
+        order = np.argsort(n, kind="stable")
+        parts, counts, a = [], [], 0
+        while a < len(order):
+            b = min(len(order), a + 20_000)
+            while b - a > 1 and (b - a) * int(n[order[b - 1]]) > 600_000:
+                b = a + (b - a + 1) // 2
+            rows = order[a:b]
+            size = n[rows]
+            s = np.full((len(rows), int(size[-1]) + 1), -1, np.int32)
+            at = np.repeat(np.arange(len(rows)), size)
+            col = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            s[at, col] = self.inner[raw[np.repeat(start[rows], size) + col]]
+            s[np.arange(len(rows)), size - 1] = self.final[raw[start[rows] + size - 1]]
+            count, flat = self._merge(s)
+            parts.append(flat)
+            counts.append(count)
+            a = b
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat, count = np.concatenate(parts), np.concatenate(counts)
+        # back to the order of the words
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return flat[_ranges((np.cumsum(count) - count)[place], count[place])], count[place]
+
+    def _merge(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = self.look(s[:, :-1], s[:, 1:])
+        rank[(s[:, 1:] < 0) | (s[:, :-1] < 0)] = _NEVER
+        alive = np.arange(len(s))
+        cur, r = s, rank
+        columns = np.arange(s.shape[1])
+        while True:
+            j = r.argmin(1)
+            best = r[np.arange(len(r)), j]
+            go = best < _NEVER
+            if not go.all():
+                s[alive[~go], : cur.shape[1]] = cur[~go]
+                alive, cur, r, j, best = alive[go], cur[go], r[go], j[go], best[go]
+            if not len(alive):
+                break
+            width = cur.shape[1]
+            k = np.arange(len(cur))
+            step = columns[:width] + (columns[:width] > j[:, None])
+            cur = np.concatenate([cur, np.full((len(cur), 1), -1, np.int32)], axis=1)
+            cur = np.take_along_axis(cur, step, axis=1)
+            cur[k, j] = best & 0xFFFFF
+            r = np.concatenate([r, np.full((len(r), 1), _NEVER, np.int64)], axis=1)
+            r = np.take_along_axis(r, step[:, : width - 1], axis=1)
+            right = cur[k, np.minimum(j + 1, width - 1)]
+            r[k, np.minimum(j, width - 2)] = np.where(right >= 0, self.look(cur[k, j], np.maximum(right, 0)), _NEVER)
+            has = j > 0
+            r[k[has], j[has] - 1] = self.look(cur[k[has], j[has] - 1], cur[k[has], j[has]])
+        used = s >= 0
+        return used.sum(1), s[used]
+
+
+def _byte_symbols() -> list[str]:
+    """Printable stand-in of each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges [start, start + count), one after another."""
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+#: Code points below this one are handled here, but for two whose lower case or normal form is longer.
+_PLAIN = 0x180
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+@functools.lru_cache(1)
+def _plain_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class and lower case of plain code points; random 64-bit factors of byte values and of places."""
+    import unicodedata
+
+    kinds = np.array([_SPACE if chr(c) in " \t\n\x0b\x0c\r\x85\xa0" else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(_PLAIN)], np.uint8)
+    lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_PLAIN)], np.uint32)
+    draw = np.random.default_rng(4096).integers(1, 1 << 63, 256 + 1024, np.uint64)
+    return kinds, lower, draw[:256], draw[256:] | np.uint64(1)
+
+
+class _Encoder:
+    """Token ids of many texts at once, as little-endian 32-bit bytes.
+
+    Texts of Latin characters are cut into words by array operations, by the tokenizer's own
+    rule (contractions, letters, single digits, other marks); each different word of a block is
+    merged once. Texts with other characters, or with very long words, go to the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
+        self.most = most
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = got
-        return got
+        from tokenizers import Tokenizer
 
-    def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.merges = _Merges(json.loads(self.tokenizer.to_str())["model"], _byte_symbols())
+
+        self.keys, self.known = np.zeros(1, np.uint64), (np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> tuple:
+        """Known words with new ones: sorted keys, start and number of ids, ids. Full, it keeps what it has."""
+        old = self.known
+        every = np.concatenate([old[0], keys])
+        order = np.argsort(every, kind="stable")
+        start = np.concatenate([old[1], len(old[3]) + np.cumsum(count) - count])
+        now = (every[order], start[order], np.concatenate([old[2], count])[order], np.concatenate([old[3], ids.astype(np.int32)]))
+        if len(every) <= self.most:
+            self.keys, self.known = now[0], now
+        return now
+
+    def one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        codes = code_points("\n".join(texts) + "\n")
+        odd = codes >= _PLAIN
+        odd |= (codes == 0x130) | (codes == 0x149)
+        gaps = np.flatnonzero((codes == 32) | (codes == 10))
+        far = np.flatnonzero(np.diff(gaps, prepend=-1) > 256)
+        alone = np.unique(np.searchsorted(bounds, np.concatenate([np.flatnonzero(odd), gaps[far] - 1]), side="right") - 1).tolist()
+        if alone:
+            codes = codes.copy()
+            for i in alone:
+                codes[bounds[i] : bounds[i + 1]] = 32
+        out = self._plain(codes, bounds)
+        for i in alone:
+            out[i] = self.one(texts[i])
+        return out
+
+    def _plain(self, codes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        kinds, lower, byte_factor, place_factor = _plain_tables()
+        kind, codes = kinds[codes], lower[codes]
+        before = np.concatenate([[np.uint8(_SPACE)], kind[:-1]])
+        first = (kind != _SPACE) & ((kind != before) | (kind == _NUMBER))
+        mark = np.flatnonzero((codes == 39) & (before != _OTHER))
+        if len(mark):
+            padded = np.concatenate([codes, np.zeros(3, np.uint32)])
+            x, y = padded[mark + 1], padded[mark + 2]
+            two = np.isin(x, [ord(c) for c in "stmd"])
+            three = (x == ord("r")) & (y == ord("e")) | (x == ord("v")) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+            first[mark[two | three] + 1] = False
+            after = np.concatenate([mark[two] + 2, mark[three & ~two] + 3])
+            first[after] = kind[after] != _SPACE
+        # UTF-8: plain code points have one byte or two
+        wide = codes >= 128
+        at = np.cumsum(wide) - wide + np.arange(len(codes))
+        raw = np.empty(len(codes) + int(wide.sum()), np.uint8)
+        raw[at] = np.where(wide, 0xC0 | codes >> 6, codes)
+        raw[at[wide] + 1] = 0x80 | codes[wide] & 0x3F
+        start = np.flatnonzero(first)
+        if not len(start):
+            return [b""] * (len(bounds) - 1)
+        # A word ends where the next begins or before white space.
+        space = np.flatnonzero(kind == _SPACE)
+        end = np.minimum(space[np.searchsorted(space, start)], np.append(start[1:], len(codes)))
+        size = at[end] - at[start]
+        inside = _ranges(at[start], size)
+        where = np.cumsum(size) - size
+        place = np.arange(len(inside)) - np.repeat(where, size)
+        h = np.add.reduceat(byte_factor[raw[inside]] * place_factor[place], where)
+        keys, one, each = np.unique(h, return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys)
+        begin, length = at[start[one[new]]], size[one[new]]
+        ids, count = self.merges.words(raw[_ranges(begin, length)], length)
+        known = self._remember(keys[new], ids, count)
+        from_, count = known[1][(k := np.searchsorted(known[0], keys))], known[2][k]
+        ids = known[3]
+        flat = ids[_ranges(from_[each], count[each])].astype("<u4")
+        total = np.concatenate([[0], np.cumsum(count[each])])
+        cuts = total[np.searchsorted(start, bounds)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @functools.lru_cache(4)
@@ -71,7 +274,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     def run(batches):
         encode = encoder(tokenizer or default_tokenizer())
         for batch in batches:
-            rows = [cut(encode(t) + end, capacity) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            rows = [cut(ids + end, capacity) for a, b in blocks(texts) for ids in encode(texts[a:b])]
             owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
             flat = [p for r in rows for p in r]
             yield pa.RecordBatch.from_arrays(

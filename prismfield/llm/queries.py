@@ -71,8 +71,8 @@ def _license_sql() -> str:
     rows = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
     blanks = "concat(chr(9), chr(10), chr(11), chr(12), chr(13), " + quote("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + ")"
     size = 5 + len("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    words = lambda c: f"list_filter(string_split(lower(translate({c}, {blanks}, repeat(' ', {size}))), ' '), w -> w <> '')"
-    grams = "list_distinct(list_transform(range(1, greatest(len(w), 1)), i -> w[i] || ' ' || w[i + 1]))"
+    words = lambda c: f"list_filter(string_split(lower(translate({c}, {blanks}, repeat(' ', {size}))), ' '), lambda w: w <> '')"
+    grams = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
     t = licenses.THRESHOLD
     return f"""
 WITH raw_templates(template, license_id, body) AS (VALUES {rows}),
@@ -85,7 +85,7 @@ docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 units AS (
   SELECT r, unnest(list_concat(
     string_split(text, chr(10)),
-    list_filter(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), p -> contains(p, chr(10)))
+    list_filter(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), lambda p: contains(p, chr(10)))
   )) AS body FROM docs WHERE text IS NOT NULL
 ),
 numbered AS (SELECT r, row_number() OVER () AS u, body FROM units WHERE length(body) >= 5),
