@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import kernel_plans, relational_plans, space_plans, thermal_plans, time_plans  # noqa: F401  they fill the registry
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "thermal_voxel_u_value"
