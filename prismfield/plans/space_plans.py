@@ -104,13 +104,13 @@ def rigid_transform_plane(spark, sf_dir):
     return t.groupBy("frame").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("x2", "y2", "z2")), F.count_if(on).alias("on_plane"))
 
 
-_TILES = "tiles AS (SELECT p_partkey AS id, (p_partkey % 10) * 5.0 AS lo_x, (p_partkey % 10) * 5.0 + 5.0 AS hi_x, (p_partkey // 10 % 20) * 5.0 AS lo_y, (p_partkey // 10 % 20) * 5.0 + 5.0 AS hi_y FROM part WHERE p_partkey <= 200)"
+_TILES = "tiles AS (SELECT p_partkey AS id, (p_partkey % 50)::DOUBLE AS lo_x, (p_partkey % 50) + 1.0::DOUBLE AS hi_x, (p_partkey // 50) * 2.5::DOUBLE AS lo_y, (p_partkey // 50) * 2.5::DOUBLE + 2.5 AS hi_y FROM part)"
 
 
 def _tiles(spark, sf_dir):
-    p, q = F.col("p_partkey") % 10, F.floor(F.col("p_partkey") / 10) % 20
-    t = A.table(spark, sf_dir, "part").where("p_partkey <= 200")
-    return t.select(F.col("p_partkey").alias("id"), (p * 5.0).alias("lo_x"), (p * 5.0 + 5.0).alias("hi_x"), (q * 5.0).alias("lo_y"), (q * 5.0 + 5.0).alias("hi_y"))
+    """Every part is a tile of a regular grid of 50 columns."""
+    p, q = (F.col("p_partkey") % 50).cast("double"), F.floor(F.col("p_partkey") / 50).cast("double")
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), p.alias("lo_x"), (p + 1.0).alias("hi_x"), (q * 2.5).alias("lo_y"), (q * 2.5 + 2.5).alias("hi_y"))
 
 
 @query(f"""WITH {_P}, {_TILES}, m AS (SELECT id, median(t) AS u, count(*) AS n FROM (SELECT id, 20 + 100 * l_discount AS t FROM points JOIN tiles ON x BETWEEN lo_x - 0.3 AND hi_x + 0.3 AND y BETWEEN lo_y - 0.3 AND hi_y + 0.3) GROUP BY id)
@@ -118,7 +118,7 @@ SELECT t.id, round(u, 4) AS u, coalesce(n, 0) AS n_voxels, CASE WHEN n >= 3 THEN
 def tile_median_range_join(spark, sf_dir):
     """Median over all points in each padded tile: a range join that lets a point serve several tiles."""
     tiles = _tiles(spark, sf_dir)
-    hit = S.range_join(A.points(spark, sf_dir), tiles, ["x", "y"], [0.3, 0.3], 5.0)
+    hit = S.range_join(A.points(spark, sf_dir), tiles, ["x", "y"], [0.3, 0.3], 1.0)
     m = hit.groupBy("id").agg(F.median(20 + 100 * F.col("l_discount")).alias("u"), F.count("*").alias("n"))
     return tiles.join(m, "id", "left").select("id", F.round("u", 4).alias("u"), F.coalesce("n", F.lit(0)).alias("n_voxels"), F.when(F.col("n") >= 3, "measured").otherwise("none").alias("u_source"))
 
@@ -142,16 +142,14 @@ def tile_edges(tiles, tol: float = 1e-6):
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
 
 
-@query(f"""WITH {_P}, s AS (SELECT l_orderkey, l_linenumber, x, y, z FROM points WHERE frame % 50 = 1), c AS (SELECT l_orderkey, l_linenumber, x, y, z FROM points WHERE frame % 50 = 2)
-SELECT s.l_orderkey, s.l_linenumber, s.x, round(s.y, 3) AS y, s.z, count(c.x) AS n, round(min(sqrt((s.x-c.x)*(s.x-c.x) + (s.y-c.y)*(s.y-c.y) + (s.z-c.z)*(s.z-c.z))), 5) AS nearest, round(avg(c.y) + 1e-9, 2) AS mean_y
-FROM s LEFT JOIN c ON sqrt((s.x-c.x)*(s.x-c.x) + (s.y-c.y)*(s.y-c.y) + (s.z-c.z)*(s.z-c.z)) <= 3.0 GROUP BY s.l_orderkey, s.l_linenumber, s.x, s.y, s.z""")
+@query(f"""WITH {_P}, s AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 20 AS y, 5.0::DOUBLE AS z FROM part), c AS (SELECT x, y, z FROM points)
+SELECT s.p_partkey, count(c.x) AS n, round(min(sqrt((s.x-c.x)*(s.x-c.x) + (s.y-c.y)*(s.y-c.y) + (s.z-c.z)*(s.z-c.z))), 5) AS nearest, round(avg(c.y) + 1e-9, 2) AS mean_y
+FROM s LEFT JOIN c ON abs(s.x-c.x) <= 2.0 AND sqrt((s.x-c.x)*(s.x-c.x) + (s.y-c.y)*(s.y-c.y) + (s.z-c.z)*(s.z-c.z)) <= 2.0 GROUP BY s.p_partkey""")
 def radius_join_mean(spark, sf_dir):
-    p = A.points(spark, sf_dir)
-    ids = ["l_orderkey", "l_linenumber", "x", "y", "z"]
-    left, right = p.where("frame % 50 = 1").select(*ids), p.where("frame % 50 = 2").select(*ids)
-    pairs = S.radius_pairs(left, right, 3.0)
-    found = pairs.groupBy("a").agg(F.count("*").alias("n"), F.round(F.min("d"), 5).alias("nearest"), F.round(F.avg("b.y") + 1e-9, 2).alias("mean_y")).select("a.*", "n", "nearest", "mean_y")
-    return left.distinct().join(found, ids, "left").select("l_orderkey", "l_linenumber", "x", F.round("y", 3).alias("y"), "z", F.coalesce("n", F.lit(0)).alias("n"), "nearest", "mean_y")
+    left = A.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 20).alias("y"), F.lit(5.0).alias("z"))
+    pairs = S.radius_pairs(left, A.points(spark, sf_dir).select("x", "y", "z"), 2.0)
+    found = pairs.groupBy(F.col("a.p_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.round(F.min("d"), 5).alias("nearest"), F.round(F.avg("b.y") + 1e-9, 2).alias("mean_y"))
+    return left.select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"), "nearest", "mean_y")
 
 
 @query(f"""WITH {_P}, b AS (SELECT DISTINCT floor(x / 5)::BIGINT AS i, floor(y / 5)::BIGINT AS j, floor(z / 5)::BIGINT AS k, frame % 8 AS block FROM points), r AS (SELECT i, j, k FROM b GROUP BY ALL HAVING count(*) >= 7)
@@ -185,7 +183,7 @@ def banded_profile(spark, sf_dir):
     return b.groupBy("band", F.floor("x").cast("bigint").alias("bin")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(z))
 
 
-@query(f"""WITH RECURSIVE {_P}, cells AS (SELECT row_number() OVER (ORDER BY i, j) AS id, i, j FROM (SELECT floor(x / 2)::BIGINT AS i, floor(y / 2)::BIGINT AS j FROM points WHERE frame = 1 GROUP BY ALL)),
+@query(f"""WITH RECURSIVE {_P}, cells AS (SELECT row_number() OVER (ORDER BY i, j) AS id, i, j FROM (SELECT floor(x / 2)::BIGINT AS i, floor(y / 2)::BIGINT AS j FROM points GROUP BY ALL HAVING count(*) >= 75)),
 e AS (SELECT a.id AS s, b.id AS d FROM cells a JOIN cells b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1),
 r(s, d) AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON r.d = e.s),
 l AS (SELECT s AS id, min(d) AS comp FROM r GROUP BY s)
@@ -195,7 +193,7 @@ def grid_connected_components(spark, sf_dir):
 
     from prismfield.operators.components import connected_components
 
-    cells = S.voxelize(A.points(spark, sf_dir).where("frame = 1").withColumn("z", F.lit(0.0)), 2.0).select("i", "j").distinct()
+    cells = S.voxelize(A.points(spark, sf_dir), 2.0).groupBy("i", "j").agg(F.count("*").alias("n")).where("n >= 75").select("i", "j")
     cells = cells.withColumn("id", F.row_number().over(Window.orderBy("i", "j")).cast("long"))
     label = connected_components(S.neighbour_edges(cells), A.cut)
     out = cells.join(label.withColumnRenamed("node", "id"), "id", "left").select("i", "j", F.coalesce("component", "id").alias("comp"))
@@ -205,5 +203,5 @@ def grid_connected_components(spark, sf_dir):
 @query()
 def neighbour_ring_fill(spark, sf_dir):
     """Tiles without a measurement take the mean of their neighbours, ring by ring."""
-    measured = tile_median_range_join(spark, sf_dir).select("id", F.when((F.col("n_voxels") >= 3) & (F.col("id") % 7 == 0), F.col("u")).alias("value"))
+    measured = tile_median_range_join(spark, sf_dir).select("id", F.when(F.col("n_voxels") >= 60, F.col("u")).alias("value"))
     return S.ring_fill(measured, tile_edges(_tiles(spark, sf_dir)), A.cut).select("id", F.round("value", 6).alias("u"), "ring", F.when(F.col("ring") == 0, "measured").when(F.col("ring") > 0, "neighbor_fill").otherwise("none").alias("u_source"))
