@@ -45,9 +45,9 @@ def voxel_downsample_first(spark, sf_dir):
     return S.first_per_cell(S.voxelize(A.points(spark, sf_dir), 5.0), ["i", "j", "k"], _ORD, ["x", "y", "z"])
 
 
-@query(f"WITH {_P} SELECT floor(x / 5)::BIGINT AS i, floor(y / 5)::BIGINT AS j, floor(z / 5)::BIGINT AS k, round(avg(x), 5) AS x, round(avg(y), 5) AS y, round(avg(z), 5) AS z FROM points GROUP BY 1, 2, 3")
+@query(f"WITH {_P} SELECT floor(x / 5)::BIGINT AS i, floor(y / 5)::BIGINT AS j, floor(z / 5)::BIGINT AS k, round(avg(x) + 1e-9, 5) AS x, round(avg(y) + 1e-9, 5) AS y, round(avg(z) + 1e-9, 5) AS z FROM points GROUP BY 1, 2, 3")
 def voxel_downsample_average(spark, sf_dir):
-    return S.voxelize(A.points(spark, sf_dir), 5.0).groupBy("i", "j", "k").agg(*(F.round(F.avg(a), 5).alias(a) for a in "xyz"))
+    return S.voxelize(A.points(spark, sf_dir), 5.0).groupBy("i", "j", "k").agg(*(F.round(F.avg(a) + 1e-9, 5).alias(a) for a in "xyz"))
 
 
 @query(f"""WITH {_P}, c AS (SELECT floor(x / 5)::BIGINT AS i, floor(y / 5)::BIGINT AS j, floor(z / 5)::BIGINT AS k FROM points), n AS (SELECT i, j, k, count(*) AS n FROM c GROUP BY ALL),
@@ -183,7 +183,7 @@ def banded_profile(spark, sf_dir):
     return b.groupBy("band", F.floor("x").cast("bigint").alias("bin")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(z))
 
 
-@query(f"""WITH RECURSIVE {_P}, cells AS (SELECT row_number() OVER (ORDER BY i, j) AS id, i, j FROM (SELECT floor(x / 2)::BIGINT AS i, floor(y / 2)::BIGINT AS j FROM points GROUP BY ALL HAVING count(*) >= 75)),
+@query(f"""WITH RECURSIVE {_P}, cells AS (SELECT row_number() OVER (ORDER BY i, j) AS id, i, j FROM (SELECT floor(x / 2)::BIGINT AS i, floor(y / 2)::BIGINT AS j FROM points GROUP BY 1, 2 QUALIFY count(*) >= 1.15 * avg(count(*)) OVER ())),
 e AS (SELECT a.id AS s, b.id AS d FROM cells a JOIN cells b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1),
 r(s, d) AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON r.d = e.s),
 l AS (SELECT s AS id, min(d) AS comp FROM r GROUP BY s)
@@ -193,7 +193,9 @@ def grid_connected_components(spark, sf_dir):
 
     from prismfield.operators.components import connected_components
 
-    cells = S.voxelize(A.points(spark, sf_dir), 2.0).groupBy("i", "j").agg(F.count("*").alias("n")).where("n >= 75").select("i", "j")
+    counts = S.voxelize(A.points(spark, sf_dir), 2.0).groupBy("i", "j").agg(F.count("*").alias("n"))
+    mean = counts.agg(F.avg("n").alias("mean"))
+    cells = counts.crossJoin(F.broadcast(mean)).where(F.col("n") >= 1.15 * F.col("mean")).select("i", "j")
     cells = cells.withColumn("id", F.row_number().over(Window.orderBy("i", "j")).cast("long"))
     label = connected_components(S.neighbour_edges(cells), A.cut)
     out = cells.join(label.withColumnRenamed("node", "id"), "id", "left").select("i", "j", F.coalesce("component", "id").alias("comp"))

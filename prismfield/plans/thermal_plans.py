@@ -34,7 +34,7 @@ voxels AS (SELECT s.*, m.material, d.emissivity, d.solar_absorptance, d.zone FRO
 
 @query(f"""WITH {VOXEL_CTE}
 SELECT i, j, k, material, n_obs, round(t_mean_c, 4) AS t_mean_c, round(t_std_c, 4) AS t_std_c,
-  round(8.0 * (29 - t_mean_c) / (29 - 36.9), 4) AS u_value_w_m2k,
+  round(8.0 * (29 - t_mean_c) / (29 - 36.9), 4) + 0.0 AS u_value_w_m2k,
   CASE WHEN t_mean_c < 29 OR t_mean_c > 36.9 THEN '0' ELSE '1' END AS plausible,
   CASE WHEN (t_mean_c < 29 OR t_mean_c > 36.9) AND material IN ('ECONOMY', 'STANDARD') THEN 'solar_suspected'
        WHEN (t_mean_c < 29 OR t_mean_c > 36.9) AND material IN ('PROMO') THEN 'solar_possible'
@@ -44,21 +44,21 @@ def thermal_voxel_u_value(spark, sf_dir):
     v = thermal_voxels(spark, sf_dir)
     t = F.col("t_mean_c")
     return v.select(
-        "i", "j", "k", "material", "n_obs", F.round(t, 4).alias("t_mean_c"), F.round("t_std_c", 4).alias("t_std_c"), F.round(R.u_value(t, 29.0, 36.9, 8.0), 4).alias("u_value_w_m2k"),
+        "i", "j", "k", "material", "n_obs", F.round(t, 4).alias("t_mean_c"), F.round("t_std_c", 4).alias("t_std_c"), (F.round(R.u_value(t, 29.0, 36.9, 8.0), 4) + 0.0).alias("u_value_w_m2k"),
         F.when((t < 29) | (t > 36.9), "0").otherwise("1").alias("plausible"), R.quality_flag(t, F.col("material"), 29.0, 36.9, SOLAR, MAYBE).alias("flag_reason"),
     )
 
 
 @query(f"""WITH {VOXEL_CTE}, c AS (SELECT *, 36.9 + (solar_absorptance * 0.9 * 400.0 - emissivity * 20.0) / 25.0 AS t_sa FROM voxels)
 SELECT i, j, k, round(t_sa, 4) AS t_sol_air_c,
-  round(CASE WHEN abs(29 - t_sa) < 1e-6 THEN NULL ELSE 8.0 * (29 - t_mean_c) / (29 - t_sa) END, 4) AS u_value_corrected_w_m2k,
+  round(CASE WHEN abs(29 - t_sa) < 1e-6 THEN NULL ELSE 8.0 * (29 - t_mean_c) / (29 - t_sa) END, 4) + 0.0 AS u_value_corrected_w_m2k,
   CASE WHEN zone = 'vertical' THEN 'wall' WHEN zone = 'ceiling' THEN 'ceiling' WHEN zone = 'floor' THEN 'floor' ELSE 'other' END AS correction_note
 FROM c""")
 def sol_air_u_value(spark, sf_dir):
     v = thermal_voxels(spark, sf_dir)
     t_sa = R.sol_air(36.9, F.col("solar_absorptance"), 400.0, 25.0, F.col("emissivity"), 20.0, 0.9)
     note = F.when(F.col("zone") == "vertical", "wall").when(F.col("zone") == "ceiling", "ceiling").when(F.col("zone") == "floor", "floor").otherwise("other")
-    return v.select("i", "j", "k", F.round(t_sa, 4).alias("t_sol_air_c"), F.round(R.u_sol_air(F.col("t_mean_c"), 29.0, t_sa, 8.0), 4).alias("u_value_corrected_w_m2k"), note.alias("correction_note"))
+    return v.select("i", "j", "k", F.round(t_sa, 4).alias("t_sol_air_c"), (F.round(R.u_sol_air(F.col("t_mean_c"), 29.0, t_sa, 8.0), 4) + 0.0).alias("u_value_corrected_w_m2k"), note.alias("correction_note"))
 
 
 _TAU = """CASE WHEN depth > 0 THEN greatest(least(1.9 * exp(-sqrt(depth) * (0.006569 - 0.002276 * sqrt(om))) + (1 - 1.9) * exp(-sqrt(depth) * (0.01262 - 0.00667 * sqrt(om))), 1.0), 0.0) END"""
@@ -110,14 +110,14 @@ def vote_mass_pooling(spark, sf_dir):
 
 
 @query(f"""WITH {VOXEL_CTE}, b AS (SELECT i, j, k, 8.0 * (29 - t_mean_c) / (29 - 36.9) AS u FROM voxels),
-q AS (SELECT *, round_even(u / 0.25, 0) * 0.25 AS u_bin FROM b),
+q AS (SELECT *, round_even(u / 0.25, 0) * 0.25 + 0.0 AS u_bin FROM b),
 r AS (SELECT *, 1 / nullif(u_bin, 0) - 1 / 7.7 - 1 / 25.0 AS raw FROM q)
 SELECT i, j, k, u_bin, round(CASE WHEN raw IS NULL OR raw <= 0.001 THEN 0.001 ELSE raw END, 6) AS r_layer, raw IS NULL OR raw <= 0.001 AS unphysical,
   u_bin > 1 / (1 / 7.7 + 1 / 25.0) AS over_ceiling FROM r""")
 def construction_binning(spark, sf_dir):
     v = thermal_voxels(spark, sf_dir)
     key, r, bad = R.construction(R.u_value(F.col("t_mean_c"), 29.0, 36.9, 8.0), 0.25, 7.7, 25.0, 0.001)
-    return v.select("i", "j", "k", key.alias("u_bin"), F.round(r, 6).alias("r_layer"), F.coalesce(bad, F.lit(True)).alias("unphysical"), (key > R.film_ceiling(7.7, 25.0)).alias("over_ceiling"))
+    return v.select("i", "j", "k", (key + 0.0).alias("u_bin"), F.round(r, 6).alias("r_layer"), F.coalesce(bad, F.lit(True)).alias("unphysical"), (key > R.film_ceiling(7.7, 25.0)).alias("over_ceiling"))
 
 
 @query(f"""WITH {A.THERMAL_SQL}, p AS (SELECT material, t_c FROM thermal_obs)
