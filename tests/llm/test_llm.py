@@ -142,6 +142,27 @@ def test_quality_classifier(spark):
     assert quality.score(docs(spark, []), empty).count() == 0
 
 
+def test_sketches_never_rule_out_similar_sets():
+    draw, limit = np.random.default_rng(3), ngram_join.Threshold()
+    for n in (2, 9, 40, 700, 9000):
+        a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for share in (0.0, 0.5, 0.86, 0.95, 1.0):
+            kept = a[: int(len(a) * share)]
+            b = np.unique(np.concatenate([kept, draw.integers(0, 1 << 63, len(a) - len(kept), dtype=np.uint64)]))
+            if limit.similar(a, b):
+                assert ngram_join.may_be_similar(ngram_join.sketch(a), ngram_join.sketch(b), limit)
+
+
+def test_word_hashes_follow_words():
+    seen = {}
+    for text in ("A b\x1c c\t", " x" * 3, "é É " + "q" * 70 + " " + "Q" * 70, "", "\n ", "\u3000a a"):
+        words = text.encode().lower().split()
+        hashes = ngram_join.word_hashes(text).tolist()
+        assert len(words) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_ngram_join_equals_brute_force(spark):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(60)]
@@ -168,7 +189,7 @@ def test_ngram_join_equals_brute_force(spark):
     for boundary in (1, 8, 64):
         old, ngram_join.choose_boundary = ngram_join.choose_boundary, lambda *a, **k: boundary
         try:
-            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, texts), asks=(2,)).collect()}
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, texts), asks=(2,), long_list=2).collect()}
         finally:
             ngram_join.choose_boundary = old
         assert got == {i: (len(sets[i]), first[label[i]]) for i in range(len(texts))}
