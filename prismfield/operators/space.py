@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,16 +98,29 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def ring_fill(tiles: DataFrame, edges: DataFrame, cut, most_rings: int = 50) -> DataFrame:
+def ring_fill(tiles: DataFrame, edges: DataFrame, cut, most_rings: int | None = None) -> DataFrame:
     """Values of tiles without one, ring by ring: the mean of the neighbours settled in earlier rings.
 
-    `tiles` has id and value (null: open), `edges` both directions. Ends when a ring settles none.
+    `tiles` has id and value (null: open), `edges` both directions. Ends when a ring settles none;
+    with `most_rings` (None or 0: no limit) tiles beyond that ring stay open on purpose.
+    The settled neighbours of a ring's tiles are all of the ring before, so a ring joins that one only.
     """
-    now = cut(tiles.select("id", "value", F.when(F.col("value").isNotNull(), 0).alias("ring")), "tiles")
-    for ring in range(1, most_rings + 1):
-        settled = now.where("ring IS NOT NULL").select(F.col("id").alias("src"), F.col("value").alias("v"))
-        new = edges.join(settled, "src").groupBy(F.col("dst").alias("id")).agg(F.avg("v").alias("fill"))
-        now = cut(now.join(new, "id", "left").select("id", F.coalesce("value", "fill").alias("value"), F.coalesce("ring", F.when(F.col("fill").isNotNull(), ring)).alias("ring")), "tiles")
-        if not now.where(F.col("ring") == ring).limit(1).count():
+    tiles = cut(tiles.select("id", "value"), "tiles")
+    settled = tiles.where("value IS NOT NULL").withColumn("ring", F.lit(0))
+    onto = cut(edges.select("src", "dst").join(tiles.where("value IS NULL").select(F.col("id").alias("dst")), "dst", "left_semi").repartition("src"), "edges")
+    parts, last, before, ring = [settled], settled, None, 0
+    while not most_rings or ring < most_rings:
+        ring += 1
+        told = onto.join(last.select(F.col("id").alias("src"), F.col("value").alias("v")), "src").select(F.col("dst").alias("id"), "v", F.lit(False).alias("old"))
+        for old in (last, before):  # what a ring touches lies in it, in the ring before or in the next one
+            told = told if old is None else told.unionByName(old.select("id", F.lit(None).cast("double").alias("v"), F.lit(True).alias("old")))
+        new = told.groupBy("id").agg(F.avg("v").alias("value"), F.max("old").alias("old")).where("NOT old").drop("old")
+        new = cut(new.withColumn("ring", F.lit(ring)), "ring")
+        if new.isEmpty():
             break
-    return now
+        last, before = new, last
+        parts.append(new)
+        if len(parts) > 32:
+            parts = [cut(functools.reduce(DataFrame.unionByName, parts).coalesce(new.sparkSession.sparkContext.defaultParallelism), "rings")]
+    done = functools.reduce(DataFrame.unionByName, parts)
+    return tiles.select("id").join(done, "id", "left").select("id", "value", "ring")

@@ -66,6 +66,16 @@ def test_ring_fill_of_a_chain(spark):
     assert {r["id"]: (r["value"], r["ring"]) for r in S.ring_fill(tiles, edges, cut).collect()} == {1: (5.0, 0), 2: (5.0, 1), 3: (5.0, 2), 4: (5.0, 3)}
 
 
+def test_ring_fill_has_no_last_ring_of_its_own(spark):
+    e = [(i, i + 1) for i in range(1, 61)] + [(1, 101), (101, 102), (102, 3), (70, 71)]
+    edges = spark.createDataFrame(e + [(b, a) for a, b in e], "src int, dst int")
+    tiles = spark.createDataFrame([(1, 5.0), (61, None), (101, 8.0), (102, None), (70, None), (71, None)] + [(i, None) for i in range(2, 61)], "id int, value double")
+    got = {r["id"]: (r["value"], r["ring"]) for r in S.ring_fill(tiles, edges, cut).collect()}
+    assert got[2] == (5.0, 1) and got[102] == (8.0, 1) and got[3] == (6.5, 2) and got[61] == (6.5, 60) and got[70] == got[71] == (None, None) and len(got) == 65
+    near = {r["id"]: r["ring"] for r in S.ring_fill(tiles, edges, cut, most_rings=2).collect()}
+    assert near[3] == 2 and near[4] is None
+
+
 def test_corner_contact_is_not_adjacent(spark):
     from prismfield.plans.space_plans import tile_edges
 
