@@ -4,6 +4,8 @@ Every run of token characters is scored under its inferred encoding by a chi-squ
 uniformity test, a runs test and a lag-one serial-correlation test; Fisher's method joins
 the three p-values. Per length class, Benjamini-Hochberg at level `q` over the whole corpus
 decides which runs are certainly not random; the others are reported as random secrets.
+`=` ends a run, except as padding after it. A run that fits no encoding is scored by its
+maximal sub-runs of each alphabet; of those found, the ones inside another are left out.
 
 Defined edge cases
 - null text counts as empty: no spans; the digest is that of the empty string.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
 KINDS = ("assign", "access", "hex", "random_hex", "random_base32", "random_base36", "random_base62", "random_base64")
 #: Encodings from the narrowest alphabet to the widest; `=` padding is stripped first.
 ALPHABETS = (
@@ -37,9 +39,10 @@ ALPHABETS = (
     ("random_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("random_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+MIN_RUN = 20
 _CLASSES = tuple((name, {c: i for i, c in enumerate(letters)}) for name, letters in ALPHABETS)
+_SUB_RUNS = tuple(re.compile(f"[{re.escape(''.join(sorted(letters)))}]{{{MIN_RUN},}}(?:=+$)?") for _, letters in ALPHABETS)
 _ONLY_RUNS = bytes(c if RUN.fullmatch(chr(c)) else 32 for c in range(128)) + b" " * 128
-MIN_RUN = 20
 STEP, BINS = 0.05, 400
 
 
@@ -94,6 +97,21 @@ def run_p(run: str) -> tuple[str, float] | None:
     return None
 
 
+def candidates(text: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, encoding, p-value) of each run, or of the sub-runs of one that fits no encoding."""
+    out = []
+    for m in RUN.finditer(text):
+        if m.end() - m.start() < MIN_RUN:
+            continue
+        body = m[0].rstrip("=")
+        if any(all(c in index for c in body) for _, index in _CLASSES):
+            spans = [m.span()]
+        else:
+            spans = sorted({(m.start() + s.start(), m.start() + s.end()) for sub in _SUB_RUNS for s in sub.finditer(m[0])})
+        out += [(a, b, *got) for a, b in spans if (got := run_p(text[a:b]))]
+    return out
+
+
 def length_class(n: int) -> int:
     return min(15, n.bit_length() * 2 + (n >> (n.bit_length() - 2) & 1) - 8)
 
@@ -106,9 +124,9 @@ def scan_text(text: str | None) -> tuple[list, list]:
     words = text.encode("utf-8", "surrogatepass").translate(_ONLY_RUNS).split()
     if max(map(len, words), default=0) >= MIN_RUN:
         base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= 32]
-        for m in RUN.finditer(text):
-            if m.end() - m.start() >= MIN_RUN and (got := run_p(m[0])) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                runs.append((m.start(), m.end(), got[0], length_class(m.end() - m.start()), got[1]))
+        for start, end, kind, p in candidates(text):
+            if not any(a < end and start < b for a, b, _ in base):
+                runs.append((start, end, kind, length_class(end - start), p))
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return base, runs
 
@@ -141,7 +159,11 @@ def thresholds(docs: DataFrame, q: float = 0.05) -> dict[int, float]:
 def find(text: str | None, limits: dict[int, float]) -> tuple[list, list]:
     """Fixed-pattern spans, and all spans in order."""
     base, runs = scan_text(text)
-    extra = [(a, b, kind) for a, b, kind, size, p in runs if p > limits.get(size, 0.0)]
+    extra, end = [], -1
+    for a, b, kind, size, p in sorted(runs, key=lambda r: (r[0], -r[1])):
+        if p > limits.get(size, 0.0) and b > end:
+            extra.append((a, b, kind))
+            end = b
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -61,6 +61,23 @@ def test_secret_base_spans_and_random_runs(spark):
     assert secrets.redact(d, {}).where("doc_id = 0").first()["text"] is None and "AKIAABCDEFGHIJKL" not in secrets.redact_text(t, {})
 
 
+def test_secrets_in_key_value_form_and_beside_names():
+    key, b64 = "q8Zx7LmW2pK9vRt4YsB1nDc6", "q8Zx7LmW2pK9vRt4/sB1nDc6+A=="
+    for text, secret in (
+        ("aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY x", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        (f"AccountKey={b64};", b64),
+        (f"?sig={key}&x=1", key),
+        (f"a==={key}===", key + "==="),
+        (f"blob_name_{b64} x", b64),
+        (f"/srv/app_{key}-x/y", key),
+    ):
+        assert secret not in secrets.redact_text(text, {}), text
+        spans = [(a, b) for a, b, _ in secrets.find(text, {})[1]]
+        assert any(secret in text[a:b] for a, b in spans), text
+        assert not any(a <= c and d <= b for a, b in spans for c, d in spans if (a, b) != (c, d)), text
+    assert secrets.find(f"x={key}", {})[1] == [(2, 26, "random_base62")] and secrets.find("k1" * 9 + "=" * 9, {})[1] == []
+
+
 def test_packing_is_exact_and_tight(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ODD[1:]
     e = packing.encoder(packing.default_tokenizer())
