@@ -1,11 +1,16 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
 Native: DataFrame functions only. A text is read as units (its lines and its blank-line
-separated paragraphs); units are normalised to lower-case words. The Dice coefficient
+separated paragraphs) and as windows of words across all of them; units are normalised to lower-case words. The Dice coefficient
 of two bigram sets of sizes a and b is at most 2*min(a,b)/(a+b), so a unit meets only templates
 whose size lies within the bounds that the threshold allows; units outside every bound are
 dropped, as are those without any of the words that every match needs to contain.
 
+Windows find the notices that are only a part of their unit, or spread over comment lines. A
+window of best coefficient begins and ends with a bigram of its template, so only such windows
+of the allowed sizes are compared. They are taken best first, without overlap within a licence;
+the matching units of a licence stand for as many of its windows, the others are matches of their own.
+
 Defined edge cases
 - null or empty text: no match, n_matches 0, null license_id and dice.
 - units with fewer than two words have no bigrams and match nothing.
@@ -61,8 +66,13 @@ def normal_words(text: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Distinct pairs of neighbouring words; none for fewer than two words."""
+    return F.array_distinct(neighbours(words))
+
+
+def neighbours(words: Column) -> Column:
+    """All pairs of neighbouring words in order."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def _sizes(threshold: float) -> tuple[float, float]:
@@ -113,6 +123,46 @@ def _contains(normal: Column, words: list[str]) -> Column:
     return functools.reduce(lambda a, b: a | b, (F.contains(normal, F.lit(f" {w} ")) for w in words))
 
 
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def windows(text: Column, table: Column, threshold: float = THRESHOLD) -> Column:
+    """Array of (license_id, dice): windows of the whole text that reach the threshold, best first, disjoint within a licence."""
+    low, high = _sizes(threshold)
+
+    def of_template(t: Column, grams: Column) -> Column:
+        least = F.ceil(t["size"] * low - 1e-9).cast("int")  # of bigrams in a window, and of those that it shares
+        most = F.floor(t["size"] * high + 1e-9).cast("int")
+
+        def from_start(p: Column, at: Column) -> Column:
+            ends = F.filter(at, lambda q: (q >= p) & (q < p + most))
+            return F.when(F.size(ends) >= least, F.transform(ends, lambda q: scored(p, q))).otherwise(F.array().cast(kind))
+
+        def scored(p: Column, q: Column) -> Column:
+            part = F.slice(grams, p, q - p + 1)
+            dice = F.lit(2.0) * F.size(F.array_intersect(t["grams"], part)) / (F.size(F.array_distinct(part)) + t["size"])
+            return F.struct((-dice).alias("d"), (p - q).alias("l"), p.alias("p"), q.alias("q"), t["license_id"].alias("license_id"))
+
+        at = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i + 1)), lambda i: i.isNotNull())
+        enough = F.size(F.array_intersect(t["grams"], grams)) >= least
+        good = _let(at, lambda a: F.filter(F.flatten(F.transform(a, lambda p: from_start(p, a))), lambda w: w["d"] <= -threshold))
+        return F.when(enough, good).otherwise(F.array().cast(kind))
+
+    kind = "array<struct<d:double,l:int,p:int,q:int,license_id:string>>"
+    every = _let(neighbours(normal_words(text)), lambda grams: F.flatten(F.transform(table, lambda t: of_template(t, grams))))
+    free = lambda kept, w: ~F.exists(kept, lambda k: (k["license_id"] == w["license_id"]) & (k["p"] <= w["q"] + 1) & (w["p"] <= k["q"] + 1))
+    best = F.aggregate(F.array_sort(every), F.array().cast(kind), lambda kept, w: F.when(free(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+    return F.transform(best, lambda w: F.struct(w["license_id"].alias("license_id"), (-w["d"]).alias("dice")))
+
+
+def _with_others(units: Column, found: Column) -> Column:
+    """Matches of units, and the windows of each licence beyond as many as its units."""
+    same = lambda x, w: F.size(F.filter(x, lambda o: o["license_id"] == w["license_id"]))
+    return F.concat(units, F.filter(found, lambda w, i: same(F.slice(found, 1, i), w) >= same(units, w)))
+
+
 def matches(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) -> Column:
     """Array of (license_id, dice), one for each unit and licence that reaches the threshold."""
     low, high = _sizes(threshold)
@@ -136,13 +186,15 @@ def matches(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) ->
         # One entry for each licence: its best template.
         return F.filter(kept, lambda m: ~F.exists(kept, lambda o: (o["license_id"] == m["license_id"]) & (o["dice"] > m["dice"])))
 
+    by_units = F.flatten(F.transform(grams, lambda g: F.array_distinct(score(g))))
+    both = _let(by_units, lambda u: _let(windows(text, table, threshold), lambda w: _with_others(u, w)))
     # Texts without any needed word never reach the array functions, and most not even normalisation.
     plain = functools.reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in needed))
-    return F.when(plain, F.when(_contains(normal_text(text), needed), F.flatten(F.transform(grams, lambda g: F.array_distinct(score(g))))))
+    return F.when(plain, F.when(_contains(normal_text(text), needed), both))
 
 
 def summarise(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: n_matches (pairs of unit and licence), license_ids (sorted, comma-joined), license_id and dice of the best match.
+    """One row per document: n_matches (pairs of unit and licence, and further windows), license_ids (sorted, comma-joined), license_id and dice of the best match.
 
     A narrow projection: no join, no shuffle.
     """

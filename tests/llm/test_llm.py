@@ -220,6 +220,25 @@ def test_licences(spark):
     assert licenses.summarise(docs(spark, [])).count() == 0
 
 
+def test_licences_with_neighbours_in_their_unit(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    prose = "words of no licence " * 40
+    texts = [
+        "This project is released under the MIT License.", "Copyright (c) 2020 Jane Doe. Licensed under the Apache License, Version 2.0.", gpl,
+        f"{prose}Licensed under CC BY 4.0. {prose}Licensed under CC BY 4.0. Released under the MIT License. {prose}", "Released under the MIT License.\n" + prose + " Licensed under the MIT License.", prose,
+    ]
+    out = {r["doc_id"]: (r["n_matches"], r["license_ids"]) for r in licenses.summarise(docs(spark, texts)).collect()}
+    assert (out[0], out[1], out[3], out[4], out[5]) == ((1, "MIT"), (1, "Apache-2.0"), (3, "CC-BY-4.0,MIT"), (2, "MIT"), (0, ""))
+    assert "GPL-3.0" in out[2][1].split(",")
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(7)
     runs = [sorted(rng.choices(range(50), k=rng.randint(0, 9))) for _ in range(7)]
