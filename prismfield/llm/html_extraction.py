@@ -174,12 +174,11 @@ def path_scores(found: list[tuple[str, str, int, bool, bool]], radius: int = 2)
     return {p: sum(v) / len(v) for p, v in sums.items()}
 
 
-def extract(page: str | None, share: float = 0.05) -> str:
+def extract(page: str | None, share: float = 0.05, bonus: float = 2.0) -> str:
     """Blocks of the content paths, joined by line feeds.
 
-    A path is content if its fused ratio reaches `share` of the page's best. Where the page
-    names its article (`article` or `main` that holds text), only blocks inside it count and
-    all its paths that are not furniture do.
+    A path is content if its fused ratio, raised by `bonus` inside `article` or `main`, reaches
+    `share` of the page's best. The elements are evidence only: they neither admit nor exclude a path.
     """
     if not page:
         return ""
@@ -187,13 +186,10 @@ def extract(page: str | None, share: float = 0.05) -> str:
     scores = path_scores(found)
     if not scores:
         return ""
-    inside = any(good and not bad for _, _, _, bad, good in found)
+    for path in {path for path, _, _, bad, good in found if good and not bad}:
+        scores[path] *= bonus
     least = share * max(scores.values())
-    return "\n".join(
-        text
-        for path, text, linked, bad, good in found
-        if not bad and (good if inside else scores[path] >= least and linked * 2 <= len(text))
-    )
+    return "\n".join(text for path, text, _, bad, _ in found if not bad and scores[path] >= least)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

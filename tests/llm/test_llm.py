@@ -149,6 +149,15 @@ def test_html_extraction(spark):
     assert len(out) == 3 and sorted(r["n_chars"] for r in out)[0] == 0
 
 
+def test_html_path_ratios_decide_inside_and_outside_articles():
+    prose = "A long sentence, with a comma, and another clause; it goes on for a while. Then it stops. " * 4
+    links = "".join(f"<li><a href='/{i}'>Read more {i}</a></li>" for i in range(12))
+    inside = H.extract(f"<body><article><h1>Title</h1><p>{prose}</p><p>{prose}</p><ul>{links}</ul></article></body>")
+    assert "Read more 7" not in inside and inside.startswith("Title\n") and inside.count("A long sentence") == 8
+    outside = H.extract(f"<body><article><h3><a href='/t'>Teaser</a></h3></article><div><p>{prose}</p><p>{prose}</p></div></body>")
+    assert outside.count("A long sentence") == 8
+
+
 def test_quality_classifier(spark):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     even = lab.where(F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
