@@ -313,21 +313,27 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     """Local search: move, exchange one for one, exchange two for one, while squared fill grows.
 
     The emptiest bin gives, fuller underfull bins take; every step makes the sum of squared
-    fills larger, so the search ends. It stops early at the lower bound of the bin count.
+    fills larger, so the search ends: when no bin has a step left, or at the lower bound of the bin count.
     """
     bins = [list(b) for b in bins]
     least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
-    stuck: set[int] = set()
+    stuck: dict[int, set[int]] = {}  # bins without a step, and the bins changed since they were tried
     while sum(f > 0 for f in fill) > least:
         open_bins = sorted((b for b, f in enumerate(fill) if 0 < f < capacity), key=lambda b: (fill[b], b))
-        giver = next((b for b in open_bins if b not in stuck), None)
+        giver = next((b for b in open_bins if stuck.get(b, True)), None)
         if giver is None or len(open_bins) < 2:
             break
-        if not any(_step(bins, fill, lengths, capacity, giver, taker) for taker in reversed(open_bins) if taker != giver and fill[taker] >= fill[giver]):
-            stuck.add(giver)
-        elif fill[giver]:
-            stuck.discard(giver)
+        again = stuck.get(giver)
+        takers = (t for t in reversed(open_bins) if t != giver and fill[t] >= fill[giver] and (again is None or t in again))
+        taker = next((t for t in takers if _step(bins, fill, lengths, capacity, giver, t)), None)
+        if taker is None:
+            stuck[giver] = set()
+            continue
+        for b in (giver, taker):
+            stuck.pop(b, None)
+        for changed in stuck.values():
+            changed |= {giver, taker}
     return [b for b in bins if b]
 
 

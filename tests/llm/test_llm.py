@@ -98,6 +98,17 @@ def test_packing_is_exact_and_tight(spark):
         assert len(bins) <= -(-sum(lengths) // 100) + 1
 
 
+def test_packing_ends_without_a_step_left():
+    rng = random.Random(11)
+    for _ in range(300):
+        lengths = [rng.randint(20, 70) for _ in range(24)]
+        bins = packing.pack_lengths(lengths, 100)
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        if len(bins) > -(-sum(lengths) // 100):
+            pairs = [(g, t) for g in range(len(bins)) for t in range(len(bins)) if g != t and fill[g] <= fill[t] < 100]
+            assert not any(packing._step([list(b) for b in bins], list(fill), lengths, 100, g, t) for g, t in pairs)
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(2)
     w = lambda n: " ".join(rng.choice(["aa", "bb", "Cc", "dd,", "é"]) for _ in range(n))
