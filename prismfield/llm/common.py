@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 TABLES = ("documents", "pages", "benchmark", "labels")
 
@@ -24,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         made = spark.sparkContext.getCheckpointDir()
         if made:
             return made.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="prismfield-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -38,32 +43,57 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prismfield/{label}-{uuid.uuid4().hex}"
-    # Once the table is written, the shuffle files behind it only take up disk.
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files go as soon as the action that wrote them ends: nothing reads them again, they only take up disk."""
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, None)
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(cleanup)
         else:
             spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
-def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Narrow map of Arrow batches; `fn` takes one batch and returns one batch of `schema`."""
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            if "/prismfield/" in path:
+                where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+def with_fields(schema: StructType, more: str) -> StructType:
+    """Schema with the fields of a DDL string added."""
+    return StructType([*schema.fields, *_parse_datatype_string(more).fields])
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, so that few texts are Python strings at a time.
+
+    In the end memory that was freed goes back to the system: workers are reused and outlive their tasks.
+    """
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
-def blocks(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str | None], most_chars: int = 500_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most_chars` characters (a longer single text is its own range)."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -47,21 +47,48 @@ def test_viterbi_shortcut_equals_the_dynamic_program():
         assert cost(path) == pytest.approx(cost(free))
 
 
-def test_secret_base_spans_and_random_runs(spark):
-    t = 'x PASSWORD: "abcdefgh" token=short api_key\'=12345678 AKIAABCDEFGHIJKL AKIAABC ' + "deadbeef" * 4 + " Tr0ub4dor" + "q8Zx7LmW2pK9vRt4YsB1nDc6"
-    base, every = secrets.find(t, {})
-    plain = [(m.start(), m.end(), "assign") for m in re.finditer("(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 8]
-    assert [s for s in base if s[2] == "assign"] == plain and len(plain) == 2
-    assert [k for _, _, k in base] == ["assign", "assign", "access", "hex"] and every[-1][2].startswith("random")
-    p = lambda s: secrets.run_p(s)[1]
-    assert p("aaaaaaaaaaaaaaaaaaaa1") < 1e-6 < p("q8Zx7LmW2pK9vRt4YsB1nDc6")
-    d = docs(spark, [*ODD, t])
-    out = {r["doc_id"]: r for r in secrets.detect(d, secrets.thresholds(d)).collect()}
-    assert out[0]["base_sha256"] == out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[len(ODD)]["n_hex"] == 1
-    assert secrets.redact(d, {}).where("doc_id = 0").first()["text"] is None and "AKIAABCDEFGHIJKL" not in secrets.redact_text(t, {})
+def _plain_spans(t):
+    found = [(m.start(), m.end(), "assign") for m in re.finditer("(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 8]
+    found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 16]
+    found += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 32]
+    return sorted(found, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[2])))
+
+
+def test_secret_base_spans_counts_and_digests(spark):
+    rng = random.Random(8)
+    parts = ["password", "Secret", "api_key", "apikey", "=", ":", " ", "'", '"', "AKIA", "AKIAABCDEFGHIJKLMN", "deadbeef" * 4, "0123456789abcdef", "é", "abcdefgh", "-_.", "\n", "x" * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["word " * 30_000 + "token: abcdefgh1"]
+    d = docs(spark, [*texts, *ODD, *ODD])
+    got = {r["doc_id"]: r for r in secrets.detect(d, secrets.Limits({})).collect()}
+    for i, t in enumerate([*texts, *ODD, *ODD]):
+        want = _plain_spans(t or "")
+        assert [got[i][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(s[2] == k for s in want) for k in ("assign", "access", "hex")]
+        line = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest() and got[i]["spans"] == line
+    assert secrets.detect(docs(spark, []), secrets.thresholds(docs(spark, []))).count() == 0
+
+
+def test_secret_battery_finds_random_runs_and_controls_false_ones(spark):
+    rng = random.Random(9)
+    words = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    plain = [w for t in words for w in re.findall("[A-Za-z]+", t or "")]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = ["".join(rng.choice(letters) for _ in range(n)) for n in (32, 40, 40, 64) for _ in range(10)]
+    glued = ["".join(rng.choice(plain).title() for _ in range(9))[:40] for _ in range(400)]
+    texts = [t or "" for t in words] + [f"see {p} there" for p in planted] + [f"see {g} there" for g in glued]
+    d = docs(spark, texts)
+    limits = secrets.thresholds(d)
+    got = {r["doc_id"]: r["spans"] for r in secrets.detect(d, limits).collect()}
+    at = len(words)
+    assert sum("random" in got[at + i] for i in range(len(planted))) >= 0.9 * len(planted)
+    false = sum("random" in got[at + len(planted) + i] for i in range(len(glued)))
+    assert false <= 0.1 * len(planted)
+    assert secrets.redact_text(texts[at + 35], limits) == "see [SECRET] there"
+    assert not secrets.find("AccountKey=" + "z" * 40, limits)[1]
 
 
 def test_secrets_in_key_value_form_and_beside_names():
+    every = secrets.Limits({}, dict.fromkeys(range(len(secrets.LENGTHS)), 1.0))  # reports whatever fits an encoding
     key, b64 = "q8Zx7LmW2pK9vRt4YsB1nDc6", "q8Zx7LmW2pK9vRt4/sB1nDc6+A=="
     for text, secret in (
         ("aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY x", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
@@ -71,18 +98,28 @@ def test_secrets_in_key_value_form_and_beside_names():
         (f"blob_name_{b64} x", b64),
         (f"/srv/app_{key}-x/y", key),
     ):
-        assert secret not in secrets.redact_text(text, {}), text
-        spans = [(a, b) for a, b, _ in secrets.find(text, {})[1]]
+        assert secret not in secrets.redact_text(text, every), text
+        spans = [(a, b) for a, b, _ in secrets.find(text, every)[1]]
         assert any(secret in text[a:b] for a, b in spans), text
         assert not any(a <= c and d <= b for a, b in spans for c, d in spans if (a, b) != (c, d)), text
-    assert secrets.find(f"x={key}", {})[1] == [(2, 26, "random_base62")] and secrets.find("k1" * 9 + "=" * 9, {})[1] == []
+    assert secrets.find(f"x={key}", every)[1] == [(2, 26, "random_base62")]
+
+
+def test_many_batteries_at_once_equal_one():
+    rng = np.random.default_rng(1)
+    runs = np.concatenate([rng.integers(0, 62, (20, 24)), np.zeros((1, 24), np.int64)])
+    one = [-sum(np.log(max(p, 1e-300)) for p in secrets.battery(r.tolist(), 62)) for r in runs]
+    assert secrets.distances(runs, 62) == pytest.approx(one)
 
 
 def test_packing_is_exact_and_tight(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ODD[1:]
     e = packing.encoder(packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
     for text, ids in zip(texts, e(texts), strict=True):
-        assert np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids
+        assert np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids
     out = packing.pack(docs(spark, texts + [None])).toPandas()
     assert out.groupby("sequence_id")["length"].sum().max() <= 4096
     for _, g in out.sort_values("offset").groupby("sequence_id"):
@@ -90,6 +127,8 @@ def test_packing_is_exact_and_tight(spark):
     assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 4096) + 1
     assert out[out["doc_id"] == len(texts)][["length", "piece"]].values.tolist() == [[1, 0]]
     assert packing.pack(docs(spark, [])).count() == 0
+    same = packing.pack(spark.createDataFrame([(None, "one two")] * 900, "doc_id long, text string"), group=100).toPandas()
+    assert len(same) == 900 and same.groupby("sequence_id")["length"].sum().max() <= 4096 and same["sequence_id"].nunique() <= 9
     rng = random.Random(1)
     for _ in range(30):
         lengths = [rng.randint(1, 60) for _ in range(40)]
@@ -165,6 +204,13 @@ def test_html_path_ratios_decide_inside_and_outside_articles():
     links = "".join(f"<li><a href='/{i}'>Read more {i}</a></li>" for i in range(12))
     inside = H.extract(f"<body><article><h1>Title</h1><p>{prose}</p><p>{prose}</p><ul>{links}</ul></article></body>")
     assert "Read more 7" not in inside and inside.startswith("Title\n") and inside.count("A long sentence") == 8
+    assert H.extract(f"<body><article><div class='article-header'><h1>Mill, river</h1></div><p>{prose}</p><p>{prose}</p></article></body>").startswith("Mill, river\n")
+    marked = H.extract(f"<body><div>Home</div><div class='social-history'><p>{prose}</p><p>{prose}</p></div><ul>{links}</ul></body>")
+    assert marked.count("A long sentence") == 8 and "Read more" not in marked
+    ads = H.extract(f"<body><ul>{links}</ul><div class='ad'>Buy now.</div><div><p>{prose}</p><p>{prose}</p></div><div id='comments'><p>Nice, one. Really.</p></div></body>")
+    assert ads.count("A long sentence") == 8 and "Buy" not in ads and "Nice" not in ads
+    deep = H.extract("<div>" * 3000 + f"<p>{prose * 2000}</p>")
+    assert deep.count("A long sentence") == 8000
     outside = H.extract(f"<body><article><h3><a href='/t'>Teaser</a></h3></article><div><p>{prose}</p><p>{prose}</p></div></body>")
     assert outside.count("A long sentence") == 8
 
@@ -232,6 +278,22 @@ def test_ngram_join_equals_brute_force(spark):
         assert got == {i: (len(sets[i]), first[label[i]]) for i in range(len(texts))}
 
 
+def test_ngram_join_links_rows_without_or_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:i], "z", *words[i + 1 :]]) for i in (0, 59)]
+    rows = [(None, near[0]), (7, " ".join(words)), (7, near[1]), (9, "other words here"), (None, "other words here"), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.jaccard_components(df).collect())
+    assert got == sorted([(0, 56, 7), (7, 56, 7), (7, 56, 7), (9, 1, 9), (0, 1, 9), (0, 0, 0), (0, 0, 0)])
+
+
+def test_ngram_join_lists_with_the_same_members_are_read_once(spark):
+    rows = [(s, c, 30 << 24 | p) for s, p in ((10, 0), (12, 1), (14, 2)) for c in (1, 2, 3)] + [(16, 1, 30 << 24 | 3), (16, 2, 30 << 24 | 3), (18, 3, 30 << 24)]
+    lists = spark.createDataFrame(rows, "sig long, cls long, meta long")
+    torn = ngram_join._torn(lists, spark.createDataFrame([(2, 1), (1, 1)], "node long, component long"), 2)
+    assert sorted((r["sig"], r["cls"], r["members"]) for r in torn.collect()) == [(10, 1, 3), (10, 2, 3), (10, 3, 3)]
+
+
 def test_licences(spark):
     t = "Some prose here.\nReleased under the MIT License!\nand  more"
     out = {r["doc_id"]: r for r in licenses.summarise(docs(spark, [t, "released under mit license terms of the people", *ODD, "x\n\nThis work is licensed under\nthe GNU General Public License,\nversion 3.\n\ny"])).collect()}
@@ -275,6 +337,9 @@ def test_warc_round_trip(spark):
     want = sorted((p, len(data[p]), hashlib.sha256(data[p]).hexdigest(), "revisit" if p in refers else "response", refers.get(p, 0)) for p, _, _ in rows)
     assert got == want
     assert warc.read(warc.merge_index(warc.write(df.where("false")))).count() == 0
+    huge = [10**18, -(10**18), 2**63 - 1, -(2**63)]
+    odd = spark.createDataFrame([(p, "http://a.org/", "x") for p in huge], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.read(warc.merge_index(warc.write(odd))).collect()) == sorted(huge)
 
 
 def test_pipeline_keeps_columns_and_takes_effect(spark):
@@ -290,6 +355,24 @@ def test_pipeline_keeps_columns_and_takes_effect(spark):
         if name == "benchmark_decontamination":
             assert not D.decontaminate(now, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count()
         if name == "secret_scans":
-            assert secrets.detect(now, {99: 1.0}).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0] == 0
+            assert secrets.detect(now, secrets.Limits({})).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0] == 0
         d = now
     assert P.STAGES[-1][1](spark, d, SF).select("doc_id").distinct().count() == d.count()
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    import corpus_pipeline as P
+
+    extra = "score string, contaminated string, spans string, lang_pred string, n_words long, kept string, row long, component long"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    some = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and n_chars > 400").limit(6).collect()]
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t), "a", "b", "c", "d", 1, "e", 2, 3) for i, t in enumerate(some)]
+    rows += [(None, some[0], None, None, None, *[None] * 8), (None, "", None, None, 0, *[None] * 8), (50, None, *[None] * 11), rows[1], rows[1]]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for d in ("a", "b"):
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / d / "benchmark.parquet"))
+    out = P.run(spark, str(tmp_path / "a")).where("piece = 0")
+    ids = [r["doc_id"] for r in out.collect()]
+    assert None not in ids and len(ids) == len(set(ids)) and 50 not in ids and set(ids) <= set(range(6)) and 1 in ids
+    assert P.run(spark, str(tmp_path / "b")).count() == 0
