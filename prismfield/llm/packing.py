@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, code_points, materialize
+from .common import blocks, code_points, materialize, slices_of
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -162,7 +162,7 @@ class _Encoder:
 
     Texts of Latin characters are cut into words by array operations, by the tokenizer's own
     rule (contractions, letters, single digits, other marks); each different word of a block is
-    merged once. Texts with other characters, or with very long words, go to the tokenizer.
+    merged once. Texts with other characters, very long words or special tokens go to the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -174,19 +174,20 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.merges = _Merges(json.loads(self.tokenizer.to_str())["model"], _byte_symbols())
-
+        model = json.loads(self.tokenizer.to_str())
+        self.merges = _Merges(model["model"], _byte_symbols())
+        self.special = [t["content"] for t in model["added_tokens"]]
         self.keys, self.known = np.zeros(1, np.uint64), (np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32))
 
     def _remember(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> tuple:
         """Known words with new ones: sorted keys, start and number of ids, ids. Full, it keeps what it has."""
+        if not len(keys):
+            return self.known
         old = self.known
-        every = np.concatenate([old[0], keys])
-        order = np.argsort(every, kind="stable")
-        start = np.concatenate([old[1], len(old[3]) + np.cumsum(count) - count])
-        now = (every[order], start[order], np.concatenate([old[2], count])[order], np.concatenate([old[3], ids.astype(np.int32)]))
-        if len(every) <= self.most:
+        at = np.searchsorted(old[0], keys)
+        start = len(old[3]) + np.cumsum(count) - count
+        now = (np.insert(old[0], at, keys), np.insert(old[1], at, start), np.insert(old[2], at, count), np.concatenate([old[3], ids.astype(np.int32)]))
+        if len(now[0]) <= self.most:
             self.keys, self.known = now[0], now
         return now
 
@@ -202,6 +203,8 @@ class _Encoder:
         gaps = np.flatnonzero((codes == 32) | (codes == 10))
         far = np.flatnonzero(np.diff(gaps, prepend=-1) > 256)
         alone = np.unique(np.searchsorted(bounds, np.concatenate([np.flatnonzero(odd), gaps[far] - 1]), side="right") - 1).tolist()
+        marked = {i for i, t in enumerate(texts) if any(m in t for m in self.special)}
+        alone = sorted(marked.union(alone))
         if alone:
             codes = codes.copy()
             for i in alone:
@@ -273,7 +276,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def run(batches):
         encode = encoder(tokenizer or default_tokenizer())
-        for batch in batches:
+        for batch in slices_of(batches):
             texts = batch.column(1).to_pylist()
             rows = [cut(ids + end, capacity) for a, b in blocks(texts) for ids in encode(texts[a:b])]
             owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -383,11 +386,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    # Deals are by a hash that does not depend on partitioning, so reruns of lost tasks agree.
-    rest = materialize(pieces(docs, tokenizer, capacity, end_id, id_col), "pieces")
+    # Deals are by a hash of a stored row number: reruns of lost tasks agree, repeated rows spread.
+    rest = materialize(pieces(docs, tokenizer, capacity, end_id, id_col).withColumn("__row", F.monotonically_increasing_id()), "pieces")
     kind = rest.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, {PIECES}, sequence_id long, offset long, fill long"
-    order = [id_col, "piece", "start", "length", "ids_crc32"]
+    schema = f"`{id_col}` {kind}, {PIECES}, __row long, sequence_id long, offset long, fill long"
+    order = [id_col, "piece", "start", "length", "ids_crc32", "__row"]
     out = []
     for level in range(levels):
         n = rest.count()
@@ -395,7 +398,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
             break
         groups = max(1, round(n / group))
 
-        dealt = rest.select(*order, F.pmod(F.xxhash64(F.lit(level), *(F.col(c) for c in order)), F.lit(groups)).alias("__group"))
+        dealt = rest.select(*order, F.pmod(F.xxhash64("__row", F.lit(level)), F.lit(groups)).alias("__group"))
         packed = dealt.groupBy("__group").applyInPandas(_packer(order, capacity, level), schema)
         if level + 1 < levels and groups > 1:
             packed = materialize(packed, f"packed{level}")
@@ -405,11 +408,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
             out.append(packed.drop("fill"))
             break
     if not out:
-        return rest.select(*order, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return rest.select(*order[:-1], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
-    return result
+    return result.drop("__row")
 
 
 def _packer(order: list[str], capacity: int, level: int):
