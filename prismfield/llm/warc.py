@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir
 
 EPOCH = 1_600_000_000
+#: Pages carry no capture time: theirs are spread over this many seconds by page id, so that any id has a date.
+SPAN = 1_000_000_000
 INDEX = "url_key string, captured long, page_id {kind}, archive string, start long, size long, record_type string"
 
 
@@ -188,7 +190,7 @@ def write(pages: DataFrame, directory: str | None = None, least: int = 100, id_c
                 if sink is None:
                     name, sink = opened()
                     at, entries = 0, []
-                captured = EPOCH + (page or 0)
+                captured = EPOCH + (page or 0) % SPAN
                 member = gzip_member(record(page, url, text.encode("utf-8", "surrogatepass"), digest, refers, captured))
                 sink.write(member)
                 entries.append((url_key(url), captured, page, name, at, len(member), "response" if refers is None else "revisit"))
@@ -204,50 +206,37 @@ def write(pages: DataFrame, directory: str | None = None, least: int = 100, id_c
     return materialize(rows.mapInArrow(run, INDEX.format(kind=kind)), "warc-runs")
 
 
-def merge_index(runs: DataFrame, per_range: int = 200_000) -> DataFrame:
+def merge_index(runs: DataFrame, per_range: int = 100_000) -> DataFrame:
     """Globally ordered capture histories: `position` is the place of an entry in its range, `part` the range.
 
-    The order of (part, position) is that of (url_key, captured, page_id). Cut points are sampled
-    keys of full length, so that a URL with many captures is spread over ranges.
+    The order of (part, position) is that of (url_key, captured, page_id). Spark samples the
+    range bounds over the full key, so a URL with many captures is spread over ranges and
+    nothing but its bounded sample reaches the driver. Each range holds slices of the sorted runs.
     """
-    spark = runs.sparkSession
-    n = runs.count()
-    parts = max(1, min(-(-n // per_range), 10_000))
-    cuts = []
-    if parts > 1:
-        rate = min(1.0, 200.0 * parts / n)
-        seen = sorted((r["url_key"], r["captured"], r["page_id"] is None, r["page_id"]) for r in runs.select("url_key", "captured", "page_id").where(F.pmod(F.xxhash64("archive", "start"), F.lit(1 << 30)) < int(rate * (1 << 30))).collect())
-        cuts = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else []
     kind = runs.schema["page_id"].dataType
-    bounds = cuts
-
-    def deal(batches):
-        import bisect
-
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [x is None for x in ids], ids, strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bisect.bisect_right(bounds, k) for k in keys], pa.int32())], [*batch.schema.names, "part"])
-
+    parts = max(1, -(-runs.count() // per_range))
     fields = INDEX.format(kind=kind.simpleString())
-    dealt = runs.mapInArrow(deal, f"{fields}, part int") if bounds else runs.withColumn("part", F.lit(0))
+    id_type = runs.sparkSession.createDataFrame([], f"x {kind.simpleString()}").toArrow().schema.field(0).type
+    types = (pa.string(), pa.int64(), id_type, pa.string(), pa.int64(), pa.int64(), pa.string())
 
     def merge(batches):
-        """Rows of a task come sorted by (part, archive, run order): slices of sorted runs."""
+        """Rows of a task come sorted by (archive, run order): slices of sorted runs."""
         import itertools
 
-        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True))
-        for part, group in itertools.groupby(rows, key=lambda r: r[7]):
-            slices = [[(r[0], r[1], r[2] is None, r[2], r[3], r[4], r[5], r[6]) for r in run] for _, run in itertools.groupby(group, key=lambda r: r[3])]
-            out = list(LoserTree(slices))
-            for a in range(0, len(out), 10_000):
-                some = out[a : a + 10_000]
-                columns = [pa.array([r[i] for r in some], t) for i, t in ((0, pa.string()), (1, pa.int64()), (3, id_type), (4, pa.string()), (5, pa.int64()), (6, pa.int64()), (7, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(some), pa.int32()), pa.array(range(a, a + len(some)), pa.int64())], ["url_key", "captured", "page_id", "archive", "start", "size", "record_type", "part", "position"])
-
-    id_type = spark.createDataFrame([], f"x {kind.simpleString()}").toArrow().schema.field(0).type
-    order = ["part", "archive", "url_key", "captured", F.col("page_id").asc_nulls_last(), "start"]
-    return dealt.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions(*order).mapInArrow(merge, f"{fields}, part int, position long")
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True))
+        slices = [[(r[0], r[1], r[2] is None, r[2], r[3], r[4], r[5], r[6]) for r in run] for _, run in itertools.groupby(rows, key=lambda r: r[3])]
+        merged = iter(LoserTree(slices))
+        at = 0
+        while some := [(r[0], r[1], *r[3:]) for r in itertools.islice(merged, 10_000)]:
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in some], t) for i, t in enumerate(types)), pa.array([part] * len(some), pa.int32()), pa.array(range(at, at + len(some)), pa.int64())], ["url_key", "captured", "page_id", "archive", "start", "size", "record_type", "part", "position"])
+            at += len(some)
+
+    key = ["url_key", "captured", F.col("page_id").asc_nulls_last(), "archive", "start"]
+    dealt = runs.repartitionByRange(parts, *key).sortWithinPartitions("archive", *key[:3], "start")
+    return dealt.mapInArrow(merge, f"{fields}, part int, position long")
 
 
 def read(index: DataFrame) -> DataFrame:
