@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices_of, with_fields
 
 #: Bytes of UTF-8 that belong to words, lower-cased; all others become blanks.
 _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -109,7 +109,7 @@ def item_blocks(items: DataFrame, most_bytes: int, item_col: str = "item_id"):
     rows = items.select(F.col(item_col).cast("string").alias("item"), "text").where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most_bytes) or 1
-    block = F.pmod(F.xxhash64("text"), F.lit(n))
+    block = F.pmod(F.xxhash64("text", "item"), F.lit(n))
     for k in range(n):
         yield [(r["item"], r["text"]) for r in rows.where(block == k).collect()]
 
@@ -122,21 +122,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_byte
     the text in the shared folder, so that a worker never holds more than one block.
     """
     keep = keep or [id_col]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    kept = docs.select(*keep).schema
     src = docs.select(*keep, F.col("text").alias("__text"), F.expr("cast(array() as array<bigint>)").alias("__hits"), F.expr("cast(array() as array<string>)").alias("__found"))
     context = docs.sparkSession.sparkContext
     waiting = None
     for block in item_blocks(items, most_bytes, item_col):
         if waiting is not None:
-            src = materialize(src.mapInArrow(_pass(waiting, len(keep), False), f"{fields}, __text string, __hits array<bigint>, __found array<string>"), "decontaminated")
+            src = materialize(src.mapInArrow(_pass(waiting, len(keep), False), with_fields(kept, "__text string, __hits array<bigint>, __found array<string>")), "decontaminated")
         waiting = context.broadcast(build(block, window))
-    return src.mapInArrow(_pass(waiting, len(keep), True), f"{fields}, {COLUMNS}")
+    return src.mapInArrow(_pass(waiting, len(keep), True), with_fields(kept, COLUMNS))
 
 
 def _pass(shared, kept: int, last: bool):
     def run(batches):
         searchers = shared.value
-        for batch in batches:
+        for batch in slices_of(batches):
             names = batch.schema.names
             rows = []
             for text, hits, found in zip(*(batch.column(kept + i).to_pylist() for i in range(3)), strict=True):

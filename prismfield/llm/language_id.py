@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, code_points, sampled
+from .common import blocks, code_points, slices_of, with_fields
 
 BUCKETS = 1 << 16
+GRAIN = 1 << 40
 #: Unicode block ranges by script (fixed values of the Unicode standard).
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF),
@@ -74,27 +75,31 @@ class Model:
         self.langs, self.weights, self.uses, self.penalty, self.cap = langs, np.ascontiguousarray(weights.T), uses, penalty, cap
 
 
-def fit(labelled: DataFrame, max_docs: int = 20_000, max_langs: int = 128, penalty: float = 16.0, cap: float = 6.0, id_col: str = "doc_id") -> Model:
-    """Learn from at most about `max_docs` hash-sampled labelled rows; what is collected is BUCKETS x languages."""
+def fit(labelled: DataFrame, docs_per_lang: int = 5_000, penalty: float = 16.0, cap: float = 6.0, id_col: str = "doc_id") -> Model:
+    """Learn from about `docs_per_lang` hash-sampled labelled rows of each language, all rows of rarer ones; what is collected is BUCKETS x languages."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    by_lang = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in by_lang)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool), penalty, cap)
-    sample = sampled(rows.select(F.col(id_col).alias("id"), "text", "lang"), "id", sum(r["count"] for r in by_lang), max_docs, "language id")
+    share = F.create_map(*(F.lit(x) for r in by_lang for x in (r["lang"], int(GRAIN * min(1.0, docs_per_lang / r["count"])))))
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("language id")), F.lit(GRAIN)) < share[F.col("lang")]
+    sample = rows.where(drawn).select("text", "lang")
 
     def count(batches):
         names = {x: i for i, x in enumerate(langs)}
-        table = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)), np.int64)
+        found: dict[int, np.ndarray] = {}  # of the languages that the task meets
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if lang in names and text:
+                    row = found.setdefault(names[lang], np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
                     codes = code_points(text)
                     at, bucket, _ = _letters(codes)
-                    table[names[lang]] += np.bincount(bucket, minlength=table.shape[1])
-                    table[names[lang], BUCKETS:] += np.bincount(_tables()[2][codes[at]], minlength=len(SCRIPT_NAMES))
-        i, j = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(table[i, j], pa.int64())], ["lang", "bucket", "n"])
+                    row += np.bincount(bucket, minlength=len(row))
+                    row[BUCKETS:] += np.bincount(_tables()[2][codes[at]], minlength=len(SCRIPT_NAMES))
+        for i, row in found.items():
+            j = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i), pa.int32()), pa.array(j, pa.int32()), pa.array(row[j], pa.int64())], ["lang", "bucket", "n"])
 
     counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
     got = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -194,16 +199,16 @@ def label_block(model: Model, texts: list[str | None]) -> list[tuple[str, float,
 def label(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns `keep` of `docs` plus lang_pred, score (share of letters in spans of lang_pred) and spans.
 
-    The model is a fixed-size table (BUCKETS x at most 128 languages) and travels as a broadcast.
+    The model is a fixed-size table (BUCKETS x the learned languages) and travels as a broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    schema = with_fields(src.drop("__text").schema, RESULT)
 
     def run(batches):
         m = shared.value
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for batch in batches:
+        for batch in slices_of(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             got = [x for a, b in blocks(texts) for x in label_block(m, texts[a:b])]
             yield pa.RecordBatch.from_arrays(
@@ -211,7 +216,7 @@ def label(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 [*keep, "lang_pred", "score", "spans"],
             )
 
-    return src.mapInArrow(run, f"{fields}, {RESULT}")
+    return src.mapInArrow(run, schema)
 
 
 def held_out(col: str = "doc_id"):
