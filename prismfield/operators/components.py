@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], src: str = "src", dst: str = "dst", most_rounds: int = 60, drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(node, component) of every node that has an edge to another one; component is the smallest node.
 
-    `cut(df, label)` materialises a table to end its lineage (a checkpoint or a shared table).
+    `cut(df, label)` materialises a table to end its lineage (a checkpoint or a shared table);
+    `drop(df)` is told of each such table that nothing reads any more.
     Nulls and self-loops are ignored; repeated edges count once.
     """
     a, b = F.col(src), F.col(dst)
@@ -31,7 +32,9 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataF
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = linked.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        now = cut(small, "edges")
+        old, now = now, cut(small, "edges")
+        if drop:
+            drop(old)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             break
