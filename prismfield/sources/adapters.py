@@ -69,5 +69,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="prismfield-"))
     return df.checkpoint()

@@ -19,7 +19,11 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read what it wrote."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="prismfield-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="prismfield-stream-")
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
