@@ -55,29 +55,35 @@ def majority(points: DataFrame, keys: list[str], label: str, weight: Column | No
     return best.select(*keys, F.col(f"b.{label}").alias(label), "weight", "total", "labels")
 
 
-def range_join(left: DataFrame, boxes: DataFrame, axes: list[str], pads: list[float], size: float) -> DataFrame:
+def range_join(left: DataFrame, boxes: DataFrame, axes: list[str], pads: list[float], sizes: list[float]) -> DataFrame:
     """Rows of `left` with every box (lo_<axis>, hi_<axis>) whose padded closed range holds them.
 
-    Boxes are spread over the cells of the first axis that they cover; an equi-join on the cell
-    and a residual test replace the nested loop. The result is not exclusive.
+    Boxes are spread over the cells, of a size per axis, that they cover; an equi-join on the
+    cell and a residual test replace the nested loop. The result is not exclusive.
     """
-    a, pad = axes[0], pads[0]
-    spread = boxes.withColumn("__cell", F.explode(F.sequence(cell(F.col(f"lo_{a}") - pad, size), cell(F.col(f"hi_{a}") + pad, size))))
-    near = left.withColumn("__cell", cell(a, size)).join(spread, "__cell").drop("__cell")
+    cells = [f"__{a}" for a in axes]
+    spread = boxes
+    for a, pad, size, c in zip(axes, pads, sizes, cells, strict=True):
+        spread = spread.withColumn(c, F.explode(F.sequence(cell(F.col(f"lo_{a}") - pad, size), cell(F.col(f"hi_{a}") + pad, size))))
+        left = left.withColumn(c, cell(a, size))
+    near = left.join(spread, cells).drop(*cells)
     for axis, p in zip(axes, pads, strict=True):
         near = near.where((F.col(axis) >= F.col(f"lo_{axis}") - p) & (F.col(axis) <= F.col(f"hi_{axis}") + p))
     return near
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes=AXES) -> DataFrame:
-    """Pairs (structs `a`, `b`, distance `d`) within the radius: cells of that size, right rows copied to all neighbours."""
+    """Pairs (structs `a`, `b`, distance `d`) within the radius: cells of that size, rows of the smaller side (by count) copied to all neighbours."""
     names = [f"__{a}" for a in axes]
-    r = right.select(F.struct("*").alias("b"), *(cell(F.col(a), radius).alias(n) for a, n in zip(axes, names, strict=True)))
-    for n in names:
-        r = r.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
-    lt = left.select(F.struct("*").alias("a"), *(cell(F.col(a), radius).alias(n) for a, n in zip(axes, names, strict=True)))
+    copied = "b" if right.count() <= left.count() else "a"
+    sides = {}
+    for name, df in (("a", left), ("b", right)):
+        side = df.select(F.struct("*").alias(name), *(cell(F.col(a), radius).alias(n) for a, n in zip(axes, names, strict=True)))
+        for n in names if name == copied else ():
+            side = side.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
+        sides[name] = side
     d2 = sum(((F.col(f"a.{x}") - F.col(f"b.{x}")) * (F.col(f"a.{x}") - F.col(f"b.{x}")) for x in axes), F.lit(0.0))
-    return lt.join(r, names).select("a", "b", F.sqrt(d2).alias("d")).where(F.col("d") <= radius)
+    return sides["a"].join(sides["b"], names).select("a", "b", F.sqrt(d2).alias("d")).where(F.col("d") <= radius)
 
 
 def neighbour_edges(cells: DataFrame, key: str = "id", axes=("i", "j"), reach: int = 1) -> DataFrame:

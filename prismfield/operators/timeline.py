@@ -15,29 +15,41 @@ def _edges(samples: DataFrame, width: float, fields: list[str]) -> DataFrame:
     return samples.withColumn("b", F.floor(F.col("t") / width)).groupBy("b").agg(F.min_by(F.struct("t", *fields), "t").alias("lo"), F.max_by(F.struct("t", *fields), "t").alias("hi"))
 
 
-def bracket(targets: DataFrame, samples: DataFrame, fields: list[str], width: float = 86_400.0) -> DataFrame:
+def bucket_width(samples: DataFrame, per_bucket: int = 100_000) -> float:
+    """Seconds of a bucket that holds about `per_bucket` samples at the stream's mean rate."""
+    r = samples.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("n")).first()
+    if not r["n"] or r["hi"] <= r["lo"]:
+        return 1.0
+    return (r["hi"] - r["lo"]) / max(1.0, r["n"] / per_bucket) * 1.000001
+
+
+def bracket(targets: DataFrame, samples: DataFrame, fields: list[str], width: float | None = None) -> DataFrame:
     """Targets (any columns, `t`) with `prev` and `next`: the samples at or before, and after, each target.
 
-    Rows are bucketed by time. Inside a bucket a window finds the neighbours; where a bucket
-    has none on one side, the nearest edge of another bucket fills in. The table of edges has a
-    row per bucket and is ordered in one task, which its width keeps small.
+    Rows are bucketed by time (by the samples' rate where no width is given). Inside a bucket two
+    running windows, one in each direction, find the neighbours; where a bucket has none on one
+    side, the nearest edge of another bucket fills in. The table of edges has a row per bucket
+    and is ordered in one task, which the width keeps small.
     """
     s = samples.select("t", *fields)
+    width = width or bucket_width(s)
     tagged = s.select(F.floor(F.col("t") / width).alias("b"), "t", F.lit(0).alias("side"), F.struct("t", *fields).alias("s"), F.lit(None).alias("row"))
     t = targets.select(F.floor(F.col("t") / width).alias("b"), "t", F.lit(1).alias("side"), F.lit(None).cast(tagged.schema["s"].dataType).alias("s"), F.struct("*").alias("row"))
     both = tagged.withColumn("row", F.lit(None).cast(t.schema["row"].dataType)).unionByName(t)
-    w = Window.partitionBy("b").orderBy("t", "side")
-    both = both.withColumn("prev", F.last("s", True).over(w)).withColumn("next", F.first("s", True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("side = 1")
-    edges = _edges(s, width, fields).withColumn("mark", F.lit(0))
-    asked = both.select("b").distinct().withColumn("mark", F.lit(1))
-    all_b = edges.select("b", "lo", "hi").unionByName(asked.join(edges, "b", "left_anti").select("b", F.lit(None).cast(edges.schema["lo"].dataType).alias("lo"), F.lit(None).cast(edges.schema["hi"].dataType).alias("hi")))
-    ordered = Window.orderBy("b")
-    around = all_b.select("b", F.last("hi", True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    found = both.join(around, "b", "left")
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last("s", True).over(so_far(Window.partitionBy("b").orderBy("t", "side")))
+    ahead = F.last("s", True).over(so_far(Window.partitionBy("b").orderBy(F.desc("t"), F.desc("side"))))
+    both = both.withColumn("prev", back).withColumn("next", ahead).where("side = 1")
+    edges = _edges(s, width, fields)
+    none = F.lit(None).cast(edges.schema["lo"].dataType)
+    all_b = edges.unionByName(t.select("b").distinct().join(edges, "b", "left_anti").select("b", none.alias("lo"), none.alias("hi")))
+    before = F.last("hi", True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("lo", True).over(Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1))
+    found = both.join(all_b.select("b", before.alias("before"), after.alias("after")), "b", "left")
     return found.select("row.*", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
 
 
-def asof_nearest(targets: DataFrame, samples: DataFrame, fields: list[str], tolerance: float | None = None, width: float = 86_400.0) -> DataFrame:
+def asof_nearest(targets: DataFrame, samples: DataFrame, fields: list[str], tolerance: float | None = None, width: float | None = None) -> DataFrame:
     """Targets with `match`, the sample nearest in time; of equally near ones the earlier. Null beyond the tolerance."""
     b = bracket(targets, samples, fields, width)
     back, ahead = F.col("t") - F.col("prev.t"), F.col("next.t") - F.col("t")
@@ -48,7 +60,7 @@ def asof_nearest(targets: DataFrame, samples: DataFrame, fields: list[str], tole
     return out
 
 
-def interpolate(targets: DataFrame, samples: DataFrame, field: str, width: float = 86_400.0) -> DataFrame:
+def interpolate(targets: DataFrame, samples: DataFrame, field: str, width: float | None = None) -> DataFrame:
     """Targets with the linear interpolation of a field, held at both ends, and the gap to the nearest sample."""
     b = bracket(targets, samples, [field], width)
     p, n = F.col("prev"), F.col("next")
@@ -58,12 +70,12 @@ def interpolate(targets: DataFrame, samples: DataFrame, field: str, width: float
     return b.select("*", value.alias("interpolated"), gap.alias("gap")).drop("prev", "next")
 
 
-def gaps(df: DataFrame, key: str, multiple: float, least: float) -> DataFrame:
+def gaps(df: DataFrame, keys: list[str], multiple: float, least: float) -> DataFrame:
     """Gaps of each key's series: dt above max(multiple * median dt, least), with the number of missing samples."""
-    dt = df.withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t"))).where("dt IS NOT NULL")
-    stats = dt.groupBy(key).agg(F.median("dt").alias("med"))
-    wide = dt.join(stats, key).where(F.col("dt") > F.greatest(multiple * F.col("med"), F.lit(least)))
-    return wide.select(key, (F.col("t") - F.col("dt")).alias("start_t"), F.col("t").alias("end_t"), F.col("dt").alias("dur"), (F.rint(F.col("dt") / F.col("med")) - 1).cast("long").alias("missing"))
+    dt = df.withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t"))).where("dt IS NOT NULL")
+    stats = dt.groupBy(*keys).agg(F.median("dt").alias("med"))
+    wide = dt.join(stats, keys).where(F.col("dt") > F.greatest(multiple * F.col("med"), F.lit(least)))
+    return wide.select(*keys, (F.col("t") - F.col("dt")).alias("start_t"), F.col("t").alias("end_t"), F.col("dt").alias("dur"), (F.rint(F.col("dt") / F.col("med")) - 1).cast("long").alias("missing"))
 
 
 def sessions(df: DataFrame, key: str, gap: float) -> DataFrame:

@@ -118,7 +118,7 @@ SELECT t.id, round(u, 4) AS u, coalesce(n, 0) AS n_voxels, CASE WHEN n >= 3 THEN
 def tile_median_range_join(spark, sf_dir):
     """Median over all points in each padded tile: a range join that lets a point serve several tiles."""
     tiles = _tiles(spark, sf_dir)
-    hit = S.range_join(A.points(spark, sf_dir), tiles, ["x", "y"], [0.3, 0.3], 1.0)
+    hit = S.range_join(A.points(spark, sf_dir), tiles, ["x", "y"], [0.3, 0.3], [1.0, 2.5])
     m = hit.groupBy("id").agg(F.median(20 + 100 * F.col("l_discount")).alias("u"), F.count("*").alias("n"))
     return tiles.join(m, "id", "left").select("id", F.round("u", 4).alias("u"), F.coalesce("n", F.lit(0)).alias("n_voxels"), F.when(F.col("n") >= 3, "measured").otherwise("none").alias("u_source"))
 

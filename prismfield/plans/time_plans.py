@@ -62,21 +62,21 @@ def _events(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", (A.epoch_us("ts") / F.lit(1e6)).alias("t"), "value")
 
 
-@query(f"""WITH {_E}, d AS (SELECT event_type, t, t - lag(t) OVER (PARTITION BY event_type ORDER BY t) AS dt FROM e),
-s AS (SELECT event_type, median(dt) AS med FROM d WHERE dt IS NOT NULL GROUP BY event_type)
-SELECT event_type, round(t - dt, 3) AS start_t, round(t, 3) AS end_t, round(dt, 3) AS dur, (round_even(dt / med, 0) - 1)::BIGINT AS missing
-FROM d JOIN s USING (event_type) WHERE dt > greatest(5 * med, 60)""")
+@query(f"""WITH {_E}, d AS (SELECT event_type, user_id, t, t - lag(t) OVER (PARTITION BY event_type, user_id ORDER BY t) AS dt FROM e),
+s AS (SELECT event_type, user_id, median(dt) AS med FROM d WHERE dt IS NOT NULL GROUP BY event_type, user_id)
+SELECT event_type, user_id, round(t - dt, 3) AS start_t, round(t, 3) AS end_t, round(dt, 3) AS dur, (round_even(dt / med, 0) - 1)::BIGINT AS missing
+FROM d JOIN s USING (event_type, user_id) WHERE dt > greatest(5 * med, 60)""")
 def gap_detection(spark, sf_dir):
-    g = T.gaps(_events(spark, sf_dir), "event_type", 5.0, 60.0)
-    return g.select("event_type", *(F.round(c, 3).alias(c) for c in ("start_t", "end_t", "dur")), "missing")
+    g = T.gaps(_events(spark, sf_dir), ["event_type", "user_id"], 5.0, 60.0)
+    return g.select("event_type", "user_id", *(F.round(c, 3).alias(c) for c in ("start_t", "end_t", "dur")), "missing")
 
 
-@query(f"""WITH {_E}, d AS (SELECT event_type, t, t - lag(t) OVER (PARTITION BY event_type ORDER BY t) AS dt FROM e)
-SELECT event_type, count(*) AS n, round((count(*) - 1) / (max(t) - min(t)), 9) AS mean_hz, round(median(dt), 6) AS median_dt, round(stddev_pop(dt), 4) AS jitter, round(max(dt), 4) AS max_dt FROM d GROUP BY event_type""")
+@query(f"""WITH {_E}, d AS (SELECT event_type, user_id, t, t - lag(t) OVER (PARTITION BY event_type, user_id ORDER BY t) AS dt FROM e)
+SELECT event_type, user_id, count(*) AS n, round((count(*) - 1) / (max(t) - min(t)), 9) AS mean_hz, round(median(dt), 6) AS median_dt, round(stddev_pop(dt), 4) AS jitter, round(max(dt), 4) AS max_dt FROM d GROUP BY event_type, user_id""")
 def continuity_stats(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("t")
+    w = Window.partitionBy("event_type", "user_id").orderBy("t")
     d = _events(spark, sf_dir).withColumn("dt", F.col("t") - F.lag("t").over(w))
-    return d.groupBy("event_type").agg(F.count("*").alias("n"), F.round((F.count("*") - 1) / (F.max("t") - F.min("t")), 9).alias("mean_hz"), F.round(F.median("dt"), 6).alias("median_dt"), F.round(F.stddev_pop("dt"), 4).alias("jitter"), F.round(F.max("dt"), 4).alias("max_dt"))
+    return d.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round((F.count("*") - 1) / (F.max("t") - F.min("t")), 9).alias("mean_hz"), F.round(F.median("dt"), 6).alias("median_dt"), F.round(F.stddev_pop("dt"), 4).alias("jitter"), F.round(F.max("dt"), 4).alias("max_dt"))
 
 
 @query(f"""WITH {_E}, n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 1800 THEN 1 ELSE 0 END AS nw FROM e),
@@ -87,52 +87,52 @@ def sessionisation(spark, sf_dir):
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.round(F.max("t") - F.min("t"), 3).alias("dur"))
 
 
-@query(f"""WITH {_E}, f AS (SELECT event_type, event_id, value > 20 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - row_number() OVER (PARTITION BY event_type, value > 20 ORDER BY event_id) AS isl FROM e)
-SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM f WHERE ok GROUP BY event_type, isl HAVING count(*) >= 3""")
+@query(f"""WITH {_E}, f AS (SELECT event_type, user_id, event_id, value > 20 AS ok, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - row_number() OVER (PARTITION BY event_type, user_id, value > 20 ORDER BY event_id) AS isl FROM e)
+SELECT event_type, user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM f WHERE ok GROUP BY event_type, user_id, isl HAVING count(*) >= 3""")
 def runs_of_true(spark, sf_dir):
-    return T.runs(_events(spark, sf_dir), ["event_type"], "event_id", F.col("value") > 20, 3)
+    return T.runs(_events(spark, sf_dir), ["event_type", "user_id"], "event_id", F.col("value") > 20, 3)
 
 
-@query(f"""WITH {_E} SELECT event_id, round(quantile_cont(value, 0.9) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 4) AS local_level,
-  round(median(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS rolling_median FROM e""")
+@query(f"""WITH {_E} SELECT event_id, round(quantile_cont(value, 0.9) OVER (PARTITION BY event_type, user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 4) AS local_level,
+  round(median(value) OVER (PARTITION BY event_type, user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS rolling_median FROM e""")
 def rolling_percentile(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id")
+    w = Window.partitionBy("event_type", "user_id").orderBy("event_id")
     return _events(spark, sf_dir).select("event_id", F.round(F.percentile("value", 0.9).over(w.rowsBetween(-5, 5)), 4).alias("local_level"), F.round(F.percentile("value", 0.5).over(w.rowsBetween(-4, 0)), 4).alias("rolling_median"))
 
 
-@query(f"""WITH {_E}, j AS (SELECT event_type, event_id, t, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS jump FROM e),
-c AS (SELECT event_type, min(CASE WHEN jump > 150 THEN event_id END) AS cut FROM j GROUP BY event_type)
-SELECT j.event_type, count(*) AS kept, max(event_id) AS last_id FROM j JOIN c USING (event_type) WHERE cut IS NULL OR event_id < cut GROUP BY j.event_type""")
+@query(f"""WITH {_E}, j AS (SELECT event_type, user_id, event_id, t, abs(value - lag(value) OVER (PARTITION BY event_type, user_id ORDER BY event_id)) AS jump FROM e),
+c AS (SELECT event_type, user_id, min(CASE WHEN jump > 150 THEN event_id END) AS cut FROM j GROUP BY event_type, user_id)
+SELECT j.event_type, user_id, count(*) AS kept, max(event_id) AS last_id FROM j JOIN c USING (event_type, user_id) WHERE cut IS NULL OR event_id < cut GROUP BY j.event_type, user_id""")
 def divergence_truncation(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id")
+    w = Window.partitionBy("event_type", "user_id").orderBy("event_id")
     j = _events(spark, sf_dir).withColumn("jump", F.abs(F.col("value") - F.lag("value").over(w)))
-    c = j.groupBy("event_type").agg(F.min(F.when(F.col("jump") > 150, F.col("event_id"))).alias("cut"))
-    k = j.join(c, "event_type").where(F.col("cut").isNull() | (F.col("event_id") < F.col("cut")))
-    return k.groupBy("event_type").agg(F.count("*").alias("kept"), F.max("event_id").alias("last_id"))
+    c = j.groupBy("event_type", "user_id").agg(F.min(F.when(F.col("jump") > 150, F.col("event_id"))).alias("cut"))
+    k = j.join(c, ["event_type", "user_id"]).where(F.col("cut").isNull() | (F.col("event_id") < F.col("cut")))
+    return k.groupBy("event_type", "user_id").agg(F.count("*").alias("kept"), F.max("event_id").alias("last_id"))
 
 
-@query(f"""WITH {_E} SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY t) - 1 AS seq, round(t - min(t) OVER (PARTITION BY event_type), 3) AS elapsed, round(sum(value) OVER (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING), 4) AS travelled FROM e""")
+@query(f"""WITH {_E} SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY t) - 1 AS seq, round(t - min(t) OVER (PARTITION BY event_type, user_id), 3) AS elapsed, round(sum(value) OVER (PARTITION BY event_type, user_id ORDER BY t ROWS UNBOUNDED PRECEDING), 4) AS travelled FROM e""")
 def topic_sequence_numbers(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("t")
-    return _events(spark, sf_dir).select("event_type", "event_id", (F.row_number().over(w) - 1).cast("long").alias("seq"), F.round(F.col("t") - F.min("t").over(Window.partitionBy("event_type")), 3).alias("elapsed"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("travelled"))
+    w = Window.partitionBy("event_type", "user_id").orderBy("t")
+    return _events(spark, sf_dir).select("event_type", "user_id", "event_id", (F.row_number().over(w) - 1).cast("long").alias("seq"), F.round(F.col("t") - F.min("t").over(Window.partitionBy("event_type", "user_id")), 3).alias("elapsed"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("travelled"))
 
 
-@query(f"""WITH {_E}, m AS (SELECT event_type, median(value) AS med FROM e GROUP BY event_type), a AS (SELECT event_type, median(abs(value - med)) AS mad, any_value(med) AS med FROM e JOIN m USING (event_type) GROUP BY event_type)
-SELECT event_type, round(med, 6) AS med, round(greatest(mad, 1.0), 6) AS mad, round(med + 4 * greatest(mad, 1.0), 6) AS threshold, (SELECT count(*) FROM e WHERE e.event_type = a.event_type AND value > a.med + 4 * greatest(a.mad, 1.0)) AS above FROM a""")
+@query(f"""WITH {_E}, m AS (SELECT event_type, user_id, median(value) AS med FROM e GROUP BY event_type, user_id), a AS (SELECT event_type, user_id, median(abs(value - med)) AS mad, any_value(med) AS med FROM e JOIN m USING (event_type, user_id) GROUP BY event_type, user_id)
+SELECT event_type, user_id, round(med, 6) AS med, round(greatest(mad, 1.0), 6) AS mad, round(med + 4 * greatest(mad, 1.0), 6) AS threshold, (SELECT count(*) FROM e WHERE e.event_type = a.event_type AND e.user_id = a.user_id AND value > a.med + 4 * greatest(a.mad, 1.0)) AS above FROM a""")
 def mad_threshold(spark, sf_dir):
     e = _events(spark, sf_dir)
-    m = e.groupBy("event_type").agg(F.median("value").alias("med"))
-    d = e.join(m, "event_type")
-    a = d.groupBy("event_type", "med").agg(F.greatest(F.median(F.abs(F.col("value") - F.col("med"))), F.lit(1.0)).alias("mad"))
+    m = e.groupBy("event_type", "user_id").agg(F.median("value").alias("med"))
+    d = e.join(m, ["event_type", "user_id"])
+    a = d.groupBy("event_type", "user_id", "med").agg(F.greatest(F.median(F.abs(F.col("value") - F.col("med"))), F.lit(1.0)).alias("mad"))
     t = a.withColumn("threshold", F.col("med") + 4 * F.col("mad"))
-    n = e.join(t.select("event_type", "threshold"), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") > F.col("threshold")).alias("above"))
-    return t.join(n, "event_type").select("event_type", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.round("threshold", 6).alias("threshold"), "above")
+    n = e.join(t.select("event_type", "user_id", "threshold"), ["event_type", "user_id"]).groupBy("event_type", "user_id").agg(F.count_if(F.col("value") > F.col("threshold")).alias("above"))
+    return t.join(n, ["event_type", "user_id"]).select("event_type", "user_id", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.round("threshold", 6).alias("threshold"), "above")
 
 
-@query(f"""WITH {_E}, s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS d, count(*) AS n FROM e GROUP BY event_type)
-SELECT event_type, round(avg(CASE WHEN n < 3 OR d < 1e-12 OR abs(value - m) <= 1.0 * d THEN value END), 6) AS trimmed, round(any_value(m), 6) AS plain FROM e JOIN s USING (event_type) GROUP BY event_type""")
+@query(f"""WITH {_E}, s AS (SELECT event_type, user_id, avg(value) AS m, stddev_pop(value) AS d, count(*) AS n FROM e GROUP BY event_type, user_id)
+SELECT event_type, user_id, round(avg(CASE WHEN n < 3 OR d < 1e-12 OR abs(value - m) <= 1.0 * d THEN value END), 6) AS trimmed, round(any_value(m), 6) AS plain FROM e JOIN s USING (event_type, user_id) GROUP BY event_type, user_id""")
 def trimmed_mean(spark, sf_dir):
     e = _events(spark, sf_dir)
-    s = e.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d"), F.count("*").alias("n"))
+    s = e.groupBy("event_type", "user_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d"), F.count("*").alias("n"))
     keep = (F.col("n") < 3) | (F.col("d") < 1e-12) | (F.abs(F.col("value") - F.col("m")) <= F.col("d"))
-    return e.join(s, "event_type").groupBy("event_type").agg(F.round(F.avg(F.when(keep, F.col("value"))), 6).alias("trimmed"), F.round(F.first("m"), 6).alias("plain"))
+    return e.join(s, ["event_type", "user_id"]).groupBy("event_type", "user_id").agg(F.round(F.avg(F.when(keep, F.col("value"))), 6).alias("trimmed"), F.round(F.first("m"), 6).alias("plain"))
