@@ -118,3 +118,16 @@ def zone(bbox, cy: Column, area: Column, height: int) -> Column:
         F.when((c > 0.55) & (w > 1.6 * h) & (y1 >= height - 3) & (area / (w * h) > 0.5), "floor")
         .when((c < 0.30) & (w > 0.8 * h), "ceiling").when(h > 1.3 * w, "vertical").otherwise("any")
     )
+
+
+def rescaled_intrinsics(k, size, new_size) -> tuple:
+    """(fx, fy, cx, cy) for an image of another size."""
+    sx, sy = new_size[0] / size[0], new_size[1] / size[1]
+    return k[0] * sx, k[1] * sy, k[2] * sx, k[3] * sy
+
+
+def ray_plane(origin, direction: Vec, normal, offset: float, least_cos: float, most_depth: float) -> Column:
+    """Distance along a unit ray to the plane n.p = offset; null if the ray grazes it, for hits behind and beyond the depth."""
+    cos = sum((n * d for n, d in zip(normal, direction, strict=True)), F.lit(0.0))
+    t = (offset - sum(n * o for n, o in zip(normal, origin, strict=True))) / F.when(F.abs(cos) >= least_cos, cos)
+    return F.when((t > 0) & (t <= most_depth), t)

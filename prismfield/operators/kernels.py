@@ -151,3 +151,15 @@ def grouped(df, keys: list[str], schema: str, fn):
         return fn(pdf)
 
     return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def knn_mean(points: np.ndarray, k: int, block: int = 512) -> np.ndarray:
+    """Mean distance of each point to its `k` nearest others (fewer where there are fewer), in blocks of rows."""
+    out = np.empty(len(points))
+    for a in range(0, len(points), block):
+        part = points[a : a + block]
+        d = np.sqrt(((part[:, None, :] - points[None, :, :]) ** 2).sum(2))
+        d[np.arange(len(part)), np.arange(a, a + len(part))] = np.inf
+        most = min(k, len(points) - 1)
+        out[a : a + block] = np.partition(d, most - 1, axis=1)[:, :most].mean(1) if most else np.nan
+    return out
