@@ -163,3 +163,24 @@ def knn_mean(points: np.ndarray, k: int, block: int = 512) -> np.ndarray:
         most = min(k, len(points) - 1)
         out[a : a + block] = np.partition(d, most - 1, axis=1)[:, :most].mean(1) if most else np.nan
     return out
+
+
+def about_z(angles: np.ndarray) -> np.ndarray:
+    """Transposed rotations about z, one per angle."""
+    c, s, o, i = np.cos(angles), np.sin(angles), np.zeros_like(angles), np.ones_like(angles)
+    return np.stack([np.stack([c, s, o], 1), np.stack([-s, c, o], 1), np.stack([o, o, i], 1)], 1)
+
+
+def about_x(angles: np.ndarray) -> np.ndarray:
+    c, s, o, i = np.cos(angles), np.sin(angles), np.zeros_like(angles), np.ones_like(angles)
+    return np.stack([np.stack([i, o, o], 1), np.stack([o, c, s], 1), np.stack([o, -s, c], 1)], 1)
+
+
+def chain(turns: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Positions of a chain of relative poses: t -= R step, then R = R turn."""
+    r, t, out = np.eye(3), np.zeros(3), np.empty_like(steps, dtype=float)
+    for k in range(len(steps)):
+        t = t - r @ steps[k]
+        r = r @ turns[k]
+        out[k] = t
+    return out

@@ -73,3 +73,23 @@ def cut(df: DataFrame, label: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="prismfield-"))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir, one of our own on a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="prismfield-")
+    return found.rstrip("/")
+
+
+def checked_dimension(df: DataFrame, key: str, reserved: list[str]) -> DataFrame:
+    """A small dimension table whose keys are present, unique and not reserved; it raises otherwise."""
+    bad = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull() | F.col(key).isin(reserved)).limit(5).collect()
+    if bad:
+        raise ValueError(f"missing, repeated or reserved {key}: {[r[key] for r in bad]}")
+    return df
