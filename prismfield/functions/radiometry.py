@@ -87,3 +87,22 @@ def construction(u: Column, step: float, hsi: float, he: float, least_r: float)
     r = F.try_divide(F.lit(1.0), key) - 1 / hsi - 1 / he
     bad = r.isNull() & u.isNotNull() | (r <= least_r)
     return key, F.when(bad, F.lit(least_r)).otherwise(r), bad
+
+
+def wall_irradiance(ghi: Column, latitude: Column, azimuth: Column, hour: Column, day: Column, albedo: float = 0.2, most_dni: float = 950.0) -> tuple[Column, Column]:
+    """(irradiance on a vertical wall, direct normal irradiance) from the horizontal one.
+
+    Declination by day of year, hour angle by solar hour; `azimuth` counts from south to west.
+    The diffuse share follows Erbs' polynomial of the clearness index; the sky is isotropic and
+    the incidence loss is ASHRAE's with b = 0.05.
+    """
+    d, w, f = F.radians(23.45 * F.sin(F.radians(360.0 * (284 + day) / 365.0))), F.radians(15.0 * (hour - 12)), F.radians(latitude)
+    cz = F.greatest(F.lit(0.0), F.sin(f) * F.sin(d) + F.cos(f) * F.cos(d) * F.cos(w))
+    up = cz > 0.05
+    kt = F.when(up, F.least(F.lit(1.0), F.try_divide(ghi, 1361.0 * (1 + 0.033 * F.cos(F.radians(360.0 * day / 365.0))) * cz))).otherwise(0.0)
+    share = F.when(kt <= 0.22, 1 - 0.09 * kt).when(kt <= 0.8, 0.9511 - 0.1604 * kt + 4.388 * kt * kt - 16.638 * kt * kt * kt + 12.336 * kt * kt * kt * kt).otherwise(0.165)
+    dni = F.when(up, F.least(F.lit(most_dni), F.try_divide(ghi * (1 - share), cz))).otherwise(0.0)
+    south, west = F.sin(f) * F.cos(d) * F.cos(w) - F.cos(f) * F.sin(d), F.cos(d) * F.sin(w)
+    ci = F.greatest(F.lit(0.0), south * F.cos(F.radians(azimuth)) + west * F.sin(F.radians(azimuth)))
+    loss = F.when(ci > 0.05, F.greatest(F.lit(0.0), 1 - 0.05 * (F.try_divide(F.lit(1.0), ci) - 1))).otherwise(0.0)
+    return dni * ci * loss + (ghi - dni * cz) * 0.5 + ghi * albedo * 0.5, dni

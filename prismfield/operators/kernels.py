@@ -117,16 +117,6 @@ def subtract(rect: tuple, cuts: list[tuple]) -> list[tuple]:
     return pieces
 
 
-def pose_chain(turns: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Positions of a planar chain: R <- R @ T(turn), p <- p + R @ step (the product does not commute)."""
-    heading, p, out = 0.0, np.zeros(2), []
-    for a, s in zip(turns, steps, strict=True):
-        heading += a
-        p = p + np.array([np.cos(heading), np.sin(heading)]) * s
-        out.append(p)
-    return np.array(out) if out else np.zeros((0, 2))
-
-
 def ransac_plane(points: np.ndarray, threshold: float, trials: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
     """Normal, offset and inlier mask of the best plane through three seeded random points, refitted to its inliers."""
     draw = np.random.default_rng(seed)

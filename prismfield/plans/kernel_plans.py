@@ -1,4 +1,4 @@
-"""Queries over grouped kernels; they have no SQL and are tested against brute force."""
+"""Queries over grouped kernels and over streams; those that SQL cannot express are tested against brute force."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from prismfield.sources import adapters as A
 from .registry import query
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w(user_id, n, event_id, value, last, took) AS (SELECT user_id, n, event_id, value, value, true FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.event_id, e.value, CASE WHEN abs(e.value - w.last) >= 25 THEN e.value ELSE w.last END, abs(e.value - w.last) >= 25 FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, event_id, value FROM w WHERE took""")
 def keyframe_selection(spark, sf_dir):
     e = A.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
 
@@ -23,7 +25,10 @@ def keyframe_selection(spark, sf_dir):
     return K.grouped(e, ["user_id"], "user_id long, event_id long, value double", run)
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT p_brand, p_partkey, (p_partkey * 7 % 100)::DOUBLE AS x, (p_partkey * 13 % 100)::DOUBLE AS y, p_size::DOUBLE AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part),
+w(p_brand, n, kept) AS (SELECT p_brand, n, [{'id': p_partkey, 'x': x, 'y': y, 's': s}] FROM b WHERE n = 1 UNION ALL SELECT b.p_brand, b.n, CASE WHEN len(list_filter(w.kept, lambda k: greatest(0, least(k.x + k.s, b.x + b.s) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.s, b.y + b.s) - greatest(k.y, b.y)) >=
+ 0.5 * (k.s * k.s + b.s * b.s - greatest(0, least(k.x + k.s, b.x + b.s) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.s, b.y + b.s) - greatest(k.y, b.y))))) = 0 THEN list_append(w.kept, {'id': b.p_partkey, 'x': b.x, 'y': b.y, 's': b.s}) ELSE w.kept END FROM w JOIN b ON b.p_brand = w.p_brand AND b.n = w.n + 1),
+l AS (SELECT p_brand, unnest(arg_max(kept, n)) AS k FROM w GROUP BY p_brand) SELECT p_brand, k.id AS p_partkey FROM l""")
 def box_suppression(spark, sf_dir):
     p = A.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
 
@@ -74,21 +79,36 @@ def room_tiling(spark, sf_dir):
     return K.grouped(cells, ["hall"], "hall long, box long, area long, top long, left long, bottom long, right long", run)
 
 
-@query()
-def trajectory_chain(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "event_id", "value")
+@query("""WITH d AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM d)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 30 MINUTE < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def streaming_sessions(spark, sf_dir):
+    """Closed event-time sessions per user from a file stream, emitted once the watermark has passed them."""
+    from prismfield.streaming.sessions import closed_sessions
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("event_id")
-        p = K.pose_chain(np.radians(g["value"].to_numpy() % 90), np.ones(len(g)))
-        return pd.DataFrame({"user_id": g["user_id"], "event_id": g["event_id"], "px": p[:, 0], "py": p[:, 1]})
+    micros = lambda c: F.unix_micros(c)
+    return closed_sessions(spark, f"{sf_dir}/events.parquet").select("user_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n", "total")
 
-    return K.grouped(e, ["user_id"], "user_id long, event_id long, px double, py double", run)
 
+@query("""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS s FROM events, generate_series(0, 3) g(k)) SELECT event_type, epoch_us(s) AS start_us, count(*) AS n, CASE WHEN max(value) - min(value) <= 50 THEN round(avg(value), 6) END AS consensus FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
+def streaming_consensus(spark, sf_dir):
+    """Sliding-window consensus of a stream, unknown where values spread too far; windows that the watermark closed."""
+    from prismfield.streaming import sessions as R
 
-@query()
-def streaming_sessions(spark, sf_dir):
-    """Closed event-time sessions per user from a file stream, emitted once the watermark has passed them."""
-    from prismfield.streaming.sessions import closed_sessions
+    out = R.run_to_table(R.rolling_consensus(R.event_stream(spark, f"{sf_dir}/events.parquet")))
+    return out.select("event_type", F.unix_micros("start").alias("start_us"), "n", F.round("consensus", 6).alias("consensus"))
+
+
+@query("""WITH v AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT user_id, event_id AS click_id, ts AS ct FROM events WHERE event_type = 'click') SELECT event_id, arg_min(click_id, (abs(epoch_us(ct) - epoch_us(ts)), ct)) AS click_id, min(abs(epoch_us(ct) - epoch_us(ts))) AS off_us FROM v JOIN c ON v.user_id = c.user_id AND ct BETWEEN ts - INTERVAL 12 HOUR AND ts + INTERVAL 12 HOUR GROUP BY event_id""")
+def streaming_nearest(spark, sf_dir):
+    """As-of on streams: both sides wait within their watermarks for partners in range; the nearest one is the match."""
+    from prismfield.streaming import sessions as R
+
+    return R.nearest_in_range(spark, f"{sf_dir}/events.parquet", "view", "click", "12 hours")
+
+
+@query("""WITH d AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS dt FROM events) SELECT user_id, us - dt AS start_us, us AS end_us FROM d WHERE dt > 43200000000""")
+def streaming_gaps(spark, sf_dir):
+    """Gaps of each user's stream by a state that holds the last time seen."""
+    from prismfield.streaming import sessions as R
 
-    return closed_sessions(spark, f"{sf_dir}/events.parquet")
+    return R.stream_gaps(spark, f"{sf_dir}/events.parquet", 43_200_000_000)

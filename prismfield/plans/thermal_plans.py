@@ -163,7 +163,7 @@ def low_emissivity_gate(spark, sf_dir):
     per = r.groupBy("frame").agg(F.sum("s").alias("total"), F.collect_list(F.struct("s", "material", "emissivity")).alias("c"))
     ranked = F.array_sort(F.transform("c", lambda x: F.struct((-F.round(x["s"] / F.col("total"), 9)).alias("n"), x["material"].alias("material"), (x["s"] / F.col("total")).alias("conf"), x["emissivity"].alias("eps"))))
     p = per.select("frame", ranked.alias("r"))
-    top, rest = F.col("r")[0], F.slice("r", 2, 1000)
+    top, rest = F.col("r")[0], F.slice("r", F.lit(2), F.size("r"))
     margin = top["conf"] - F.coalesce(F.get("r", F.lit(1))["conf"], F.lit(0.0))
     strong = (top["eps"] >= 0.5) | ((top["conf"] >= 0.25) & (margin >= 0.15))
     other = F.get(F.filter(rest, lambda x: x["eps"] >= 0.5), F.lit(0))["material"]
