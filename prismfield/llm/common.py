@@ -35,13 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a table of so many short rows: by rows, not by a fixed count, as each task that writes costs files and processes."""
+    return min(max(spark.sparkContext.defaultParallelism, -(-rows // 1_000_000)), 50_000)
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder.
 
     A lost executor costs a reread, not a recomputation; unlike an RDD checkpoint the table
-    is compressed and later readers prune its columns.
+    is compressed and later readers prune its columns. Where a bound of its `rows` is known, a
+    small table is not spread over more files than that takes.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(tasks_for(spark, rows))
     path = f"{shared_dir(spark)}/prismfield/{label}-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.write.parquet(path)

@@ -290,7 +290,7 @@ def test_ngram_join_links_rows_without_or_with_repeated_ids(spark):
 def test_ngram_join_lists_with_the_same_members_are_read_once(spark):
     rows = [(s, c, 30 << 24 | p) for s, p in ((10, 0), (12, 1), (14, 2)) for c in (1, 2, 3)] + [(16, 1, 30 << 24 | 3), (16, 2, 30 << 24 | 3), (18, 3, 30 << 24)]
     lists = spark.createDataFrame(rows, "sig long, cls long, meta long")
-    torn = ngram_join._torn(lists, spark.createDataFrame([(2, 1), (1, 1)], "node long, component long"), 2)
+    torn = ngram_join._torn(lists, spark.createDataFrame([(2, 1), (1, 1)], "node long, component long"), 12)
     assert sorted((r["sig"], r["cls"], r["members"]) for r in torn.collect()) == [(10, 1, 3), (10, 2, 3), (10, 3, 3)]
 
 
