@@ -73,7 +73,11 @@ def range_join(left: DataFrame, boxes: DataFrame, axes: list[str], pads: list[fl
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes=AXES) -> DataFrame:
-    """Pairs (structs `a`, `b`, distance `d`) within the radius: cells of that size, rows of the smaller side (by count) copied to all neighbours."""
+    """Pairs (structs `a`, `b`, distance `d`) within the radius: cells of that size, rows of the smaller side (by count) copied to all neighbours.
+
+    The cells are sorted and merged rather than broadcast: candidates of a cell are many, and a shuffle by
+    cell spreads them over tasks however few files the other side has; it spills, and AQE splits hot cells.
+    """
     names = [f"__{a}" for a in axes]
     copied = "b" if right.count() <= left.count() else "a"
     sides = {}
@@ -81,7 +85,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes=AXES) ->
         side = df.select(F.struct("*").alias(name), *(cell(F.col(a), radius).alias(n) for a, n in zip(axes, names, strict=True)))
         for n in names if name == copied else ():
             side = side.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
-        sides[name] = side
+        sides[name] = side.hint("merge") if name == copied else side
     d2 = sum(((F.col(f"a.{x}") - F.col(f"b.{x}")) * (F.col(f"a.{x}") - F.col(f"b.{x}")) for x in axes), F.lit(0.0))
     return sides["a"].join(sides["b"], names).select("a", "b", F.sqrt(d2).alias("d")).where(F.col("d") <= radius)
 
