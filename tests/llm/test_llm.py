@@ -223,6 +223,43 @@ def test_quality_classifier(spark):
     empty = quality.train(d, lab.where("false"))
     assert quality.score(docs(spark, ODD), empty).select("score").distinct().collect()[0]["score"] == 0.5
     assert quality.score(docs(spark, []), empty).count() == 0
+    odd = quality.classify(docs(spark, ODD), lab).collect()
+    assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
+    repeated = d.unionByName(d).unionByName(d.withColumn("doc_id", F.lit(None).cast("long")))
+    assert quality.classify(repeated, even).groupBy("doc_id").agg(F.countDistinct("score").alias("n")).where("doc_id IS NOT NULL AND n > 1").count() == 0
+
+
+def test_quality_features_and_exchange_equal_plain_ones(spark):
+    texts = [None, "", "a b a", "x " * 3000, "Hello, wörld 42!"]
+    dense = np.zeros((len(texts), quality.DIMS))
+    for row, t in zip(dense, texts, strict=True):
+        tokens = t.encode().split() if t else []
+        for token in tokens:
+            for slot in quality.token_slots(token):
+                row[slot] += 10 / len(tokens)
+    got = quality.features(docs(spark, texts)).orderBy("id").collect()
+    some = quality.Features([r["n_tokens"] for r in got], *([bytes(r[c]) for r in got] for c in ("slots", "counts", "meta")))
+    text, meta = some.dense()
+    assert np.allclose(text, dense, rtol=1e-5)
+    draw = np.random.default_rng(4)
+    w, v = draw.normal(size=quality.DIMS + 1), draw.normal(size=quality.META + 1)
+    a, b = some.logits(w, v)
+    assert np.allclose(a, dense @ w[:-1] + w[-1], atol=1e-4) and np.allclose(b, meta @ v[:-1] + v[-1], atol=1e-4)
+    # The exchange finds the surest rows of the whole corpus, each text once, none that is taken.
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    feats = quality.features(d.unionByName(d)).cache()
+    rows = feats.dropDuplicates(["key"]).orderBy("key").toPandas()
+    logits = quality.Features(rows["n_tokens"], *([bytes(x) for x in rows[c]] for c in ("slots", "counts", "meta"))).logits(w, v)
+    keys = rows["key"].to_numpy()
+    taken = keys[::7]
+    found = quality.surest(feats, (w, v), taken, 5, 0.6)
+    assert not found["key"].isin(taken).any()
+    for view in (0, 1):
+        for good in (False, True):
+            m = logits[view] if good else -logits[view]
+            want = [k for x, k in sorted(zip(-m, keys, strict=True)) if -x >= np.log(0.6 / 0.4) and k not in taken][:5]
+            assert found[(found["view"] == view) & (found["good"] == good)]["key"].tolist()[:5] == want
+    feats.unpersist()
 
 
 def test_sketches_never_rule_out_similar_sets():
