@@ -52,6 +52,14 @@ def greedy_groups(same: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_without_clash(clash: np.ndarray) -> np.ndarray:
+    """Mask of the items, in order, that clash with none kept before them."""
+    kept = np.zeros(len(clash), bool)
+    for i in range(len(clash)):
+        kept[i] = not (clash[i, :i] & kept[:i]).any()
+    return kept
+
+
 def lattice(values: np.ndarray, divisors=(1, 2, 3, 4)) -> tuple[float, float, float]:
     """(pitch, phase, rms) of the lattice that fits sorted positions best.
 
