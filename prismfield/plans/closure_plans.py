@@ -163,8 +163,13 @@ def scan_deskew(spark, sf_dir):
     c = e.where("event_type = 'click'").groupBy("t").agg(F.min("value").alias("value"), F.min("event_id").alias("event_id"))
     v = e.where("event_type = 'view'").select("event_id", "t", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).selectExpr("event_id * 3 + k AS point", "t + k * 20000 AS t", "1D + k AS px", "2D - k AS py")
     b = T.bracket(v, c, ["value", "event_id"])
-    p, n = F.coalesce("prev", "next"), F.coalesce("next", "prev")
-    f = F.when(F.col("prev").isNull() | F.col("next").isNull(), 0.0).otherwise((F.col("t") - F.col("prev.t")) / (F.col("next.t") - F.col("prev.t")))
-    quat = lambda s: [F.lit(0.0), F.lit(0.0), F.sin(F.radians(s["event_id"] * 17 % 360 / 2)), F.cos(F.radians(s["event_id"] * 17 % 360 / 2))]
-    x, y, _ = G.quaternion_rotate(G.slerp(quat(p), quat(n), f), (F.col("px"), F.col("py"), F.lit(0.0)))
-    return b.select("point", F.round(x + p["value"] + (n["value"] - p["value"]) * f, 4).alias("x"), F.round(y, 4).alias("y"))
+    # Each step is a column of its own, so that the optimizer does not write out its terms at every use.
+    b = b.select("point", "t", "px", "py", F.coalesce("prev", "next").alias("p"), F.coalesce("next", "prev").alias("n"), (F.col("prev").isNull() | F.col("next").isNull()).alias("end"))
+    b = b.withColumn("f", F.when(F.col("end"), 0.0).otherwise((F.col("t") - F.col("p.t")) / (F.col("n.t") - F.col("p.t"))))
+    half = lambda s: F.radians(F.col(s)["event_id"] * 17 % 360 / 2)
+    for end in "pn":
+        b = b.withColumn("q" + end, F.array(F.lit(0.0), F.lit(0.0), F.sin(half(end)), F.cos(half(end))))
+    four = lambda c: [F.col(c)[i] for i in range(4)]
+    b = b.withColumn("q", F.array(*G.slerp(four("qp"), four("qn"), F.col("f"))))
+    x, y, _ = G.quaternion_rotate(four("q"), (F.col("px"), F.col("py"), F.lit(0.0)))
+    return b.select("point", F.round(x + F.col("p.value") + (F.col("n.value") - F.col("p.value")) * F.col("f"), 4).alias("x"), F.round(y, 4).alias("y"))
