@@ -173,3 +173,66 @@ def scan_deskew(spark, sf_dir):
     b = b.withColumn("q", F.array(*G.slerp(four("qp"), four("qn"), F.col("f"))))
     x, y, _ = G.quaternion_rotate(four("q"), (F.col("px"), F.col("py"), F.lit(0.0)))
     return b.select("point", F.round(x + F.col("p.value") + (F.col("n.value") - F.col("p.value")) * F.col("f"), 4).alias("x"), F.round(y, 4).alias("y"))
+
+
+@query("""WITH e AS (SELECT event_type, event_id, epoch_us(ts) / 1e6 AS t, value FROM events), v AS (SELECT event_id, t, value AS px, (event_id % 50)::DOUBLE AS py FROM e WHERE event_type = 'view'),
+k AS (SELECT t, min(value) AS rx, min(event_id) AS id FROM e WHERE event_type = 'click' GROUP BY t), c AS (SELECT t, id * 17 % 360 AS h, rx + 0.5 - (rx * cos(radians(id * 17 % 360)) - (id % 9) * sin(radians(id * 17 % 360))) AS x, (id % 9) - 0.25 - (rx * sin(radians(id * 17 % 360)) + (id % 9) * cos(radians(id * 17 % 360))) AS y FROM k),
+b AS (SELECT v.*, c.t AS pt, c.h AS ha, c.x AS xa, c.y AS ya FROM v ASOF LEFT JOIN c ON v.t >= c.t), n AS (SELECT v.event_id, c.t AS nt, c.h AS hb, c.x AS xb, c.y AS yb FROM v ASOF LEFT JOIN c ON v.t < c.t),
+m AS (SELECT event_id, px, py, coalesce(xa, xb) AS xa, coalesce(xb, xa) AS xb, coalesce(ya, yb) AS ya, coalesce(yb, ya) AS yb, coalesce(ha, hb) AS ha, coalesce(hb, ha) AS hb, CASE WHEN pt IS NULL OR nt IS NULL THEN 0 ELSE (b.t - pt) / (nt - pt) END AS f FROM b JOIN n USING (event_id)),
+q AS (SELECT *, cos(radians(ha / 2)) * cos(radians(hb / 2)) + sin(radians(ha / 2)) * sin(radians(hb / 2)) AS dot FROM m), d AS (SELECT *, CASE WHEN dot < 0 THEN -1 ELSE 1 END AS sg, acos(least(abs(dot), 1.0)) AS th, abs(dot) > 0.9995 AS near FROM q),
+w AS (SELECT *, CASE WHEN near THEN 1 - f ELSE sin((1 - f) * th) / CASE WHEN near THEN 1 ELSE sin(th) END END AS wa, sg * CASE WHEN near THEN f ELSE sin(f * th) / CASE WHEN near THEN 1 ELSE sin(th) END END AS wb FROM d),
+z AS (SELECT *, wa * sin(radians(ha / 2)) + wb * sin(radians(hb / 2)) AS s, wa * cos(radians(ha / 2)) + wb * cos(radians(hb / 2)) AS c FROM w), y AS (SELECT *, (c * c - s * s) / (s * s + c * c) AS co, 2 * s * c / (s * s + c * c) AS si FROM z),
+r AS (SELECT event_id, round(px * co - py * si + xa + (xb - xa) * f, 4) AS x, round(px * si + py * co + ya + (yb - ya) * f, 4) AS y FROM y) SELECT event_id, CASE WHEN x = 0 THEN 0.0 ELSE x END AS x, CASE WHEN y = 0 THEN 0.0 ELSE y END AS y FROM r""")
+def corrected_odometry(spark, sf_dir):
+    """A raw path corrected by its keyframes: each one's optimised pose times the inverse of its raw one, interpolated in time (held at both ends) and applied from the left."""
+    e = A.table(spark, sf_dir, "events").select("event_type", "event_id", (A.epoch_us("ts") / F.lit(1e6)).alias("t"), "value")
+    k = e.where("event_type = 'click'").groupBy("t").agg(F.min("value").alias("rx"), F.min("event_id").alias("id"))
+    h, side = F.col("id") * 17 % 360, F.col("id") % 9
+    c, s = F.cos(F.radians(h)), F.sin(F.radians(h))
+    k = k.select("t", h.alias("h"), (F.col("rx") + 0.5 - (F.col("rx") * c - side * s)).alias("x"), (side - 0.25 - (F.col("rx") * s + side * c)).alias("y"))
+    v = e.where("event_type = 'view'").select("event_id", "t", F.col("value").alias("px"), (F.col("event_id") % 50).cast("double").alias("py"))
+    b = T.bracket(v, k, ["h", "x", "y"])
+    b = b.select("event_id", "t", "px", "py", F.coalesce("prev", "next").alias("p"), F.coalesce("next", "prev").alias("n"), (F.col("prev").isNull() | F.col("next").isNull()).alias("end"))
+    b = b.withColumn("f", F.when(F.col("end"), 0.0).otherwise((F.col("t") - F.col("p.t")) / (F.col("n.t") - F.col("p.t"))))
+    for end in "pn":
+        half = F.radians(F.col(end)["h"] / 2)
+        b = b.withColumn("q" + end, F.array(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half)))
+    four = lambda c: [F.col(c)[i] for i in range(4)]
+    b = b.withColumn("q", F.array(*G.slerp(four("qp"), four("qn"), F.col("f"))))
+    x, y, _ = G.quaternion_rotate(four("q"), (F.col("px"), F.col("py"), F.lit(0.0)))
+    moved = lambda c: F.col("p")[c] + (F.col("n")[c] - F.col("p")[c]) * F.col("f")
+    return b.select("event_id", F.round(x + moved("x"), 4).alias("x"), F.round(y + moved("y"), 4).alias("y"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, p_partkey // 8 AS wall, p_partkey % 8 * 3 + 1.5 + ((p_partkey * 7) % 11 - 5) / 20 * CASE WHEN (p_partkey // 8) % 5 = 0 THEN 8 ELSE 1 END AS u,
+ 1.2 + (p_partkey % 4) / 40 + CASE WHEN (p_partkey // 8) % 7 = 3 THEN p_partkey % 2 ELSE 0 END AS width, 0.9 + p_partkey % 3 / 10 AS z0, 2.1 + p_partkey % 5 / 20 AS z1 FROM part WHERE p_size % 3 <> 0),
+g AS (SELECT wall, count(*) AS n, min(u) AS u0, quantile_cont(width, 0.95) - quantile_cont(width, 0.05) AS spread, median(width) AS w, median(z0) AS z0, median(z1) AS z1 FROM o GROUP BY wall), k AS (SELECT o.wall, id, u, round_even((u - u0) / 3, 0)::BIGINT AS slot FROM o JOIN g USING (wall)),
+l AS (SELECT wall, avg(u - 3 * slot) AS phase, count(DISTINCT slot) AS slots, min(slot) AS lo, max(slot) AS hi FROM k GROUP BY wall), d AS (SELECT wall, max(abs(u - (phase + 3 * slot))) AS worst FROM k JOIN l USING (wall) GROUP BY wall),
+s AS (SELECT *, CASE WHEN n < 3 THEN 'few' WHEN round(spread, 9) > 0.3 THEN 'uneven' WHEN slots < n THEN 'collision' WHEN round(worst, 9) > 1.5 THEN 'ambiguous' ELSE 'snapped' END AS status FROM g JOIN l USING (wall) JOIN d USING (wall)),
+a AS (SELECT wall, unnest(generate_series(least(lo, ceil(round((w / 2 - phase) / 3, 9))::BIGINT), greatest(hi, floor(round((24 - w / 2 - phase) / 3, 9))::BIGINT))) AS slot FROM s WHERE status = 'snapped'),
+r AS (SELECT s.wall, k.id, a.slot, round(phase + 3 * a.slot - w / 2, 6) AS u_min, round(phase + 3 * a.slot + w / 2, 6) AS u_max, s.z0 AS z_min, s.z1 AS z_max, status FROM a JOIN s USING (wall) LEFT JOIN k ON k.wall = a.wall AND k.slot = a.slot)
+SELECT wall, id, slot, u_min, u_max, round(z_min, 6) AS z_min, round(z_max, 6) AS z_max, CASE WHEN id IS NULL THEN 'inferred' ELSE status END AS status FROM r WHERE id IS NOT NULL OR (u_min >= 0 AND u_max <= 24)
+UNION ALL SELECT o.wall, id, NULL, round(u - width / 2, 6), round(u + width / 2, 6), round(o.z0, 6), round(o.z1, 6), status FROM o JOIN s USING (wall) WHERE status <> 'snapped'""")
+def regularised_openings(spark, sf_dir):
+    """The repeated openings of a wall on one size and the wall's pitch, its empty slots inferred; walls with few or uneven openings, two in one slot or one far off the lattice stay as measured and say why. A wall bounds its slots."""
+    o = A.table(spark, sf_dir, "part").where("p_size % 3 <> 0").selectExpr(
+        "p_partkey AS id", "p_partkey div 8 AS wall", "p_partkey % 8 * 3 + 1.5D + ((p_partkey * 7) % 11 - 5) / 20 * IF((p_partkey div 8) % 5 = 0, 8, 1) AS u",
+        "1.2D + (p_partkey % 4) / 40 + IF((p_partkey div 8) % 7 = 3, p_partkey % 2, 0) AS width", "0.9D + p_partkey % 3 / 10 AS z0", "2.1D + p_partkey % 5 / 20 AS z1",
+    )
+    g = o.groupBy("wall").agg(F.count("*").alias("n"), F.min("u").alias("u0"), F.expr("percentile(width, 0.95) - percentile(width, 0.05)").alias("spread"), F.median("width").alias("w"), F.median("z0").alias("low"), F.median("z1").alias("high"))
+    k = o.join(g, "wall").withColumn("slot", F.rint((F.col("u") - F.col("u0")) / 3).cast("long"))
+    w = Window.partitionBy("wall")
+    k = k.withColumn("phase", F.avg(F.col("u") - 3 * F.col("slot")).over(w)).withColumn("worst", F.max(F.abs(F.col("u") - (F.col("phase") + 3 * F.col("slot")))).over(w)).withColumn("taken", F.collect_set("slot").over(w))
+    status = F.when(F.col("n") < 3, "few").when(F.round("spread", 9) > 0.3, "uneven").when(F.size("taken") < F.col("n"), "collision").when(F.round("worst", 9) > 1.5, "ambiguous").otherwise("snapped")
+    k = k.withColumn("status", status)
+    placed = lambda at, size: (F.round(at - size / 2, 6).alias("u_min"), F.round(at + size / 2, 6).alias("u_max"))
+    lattice = F.col("phase") + 3 * F.col("slot")
+    heights = F.round("low", 6).alias("z_min"), F.round("high", 6).alias("z_max")
+    kept = k.where("status <> 'snapped'").select("wall", "id", F.lit(None).cast("long").alias("slot"), *placed(F.col("u"), F.col("width")), F.round("z0", 6).alias("z_min"), F.round("z1", 6).alias("z_max"), "status")
+    snapped = k.where("status = 'snapped'")
+    moved = snapped.select("wall", "id", "slot", *placed(lattice, F.col("w")), *heights, "status")
+    walls = snapped.groupBy("wall").agg(*(F.first(c).alias(c) for c in ("phase", "w", "low", "high", "taken")))
+    slots = F.expr("sequence(least(array_min(taken), CAST(ceil(round((w / 2 - phase) / 3, 9)) AS BIGINT)), greatest(array_max(taken), CAST(floor(round((24 - w / 2 - phase) / 3, 9)) AS BIGINT)))")
+    empty = walls.withColumn("slot", F.explode(F.array_except(slots, "taken")))
+    inferred = empty.select("wall", F.lit(None).cast("long").alias("id"), "slot", *placed(lattice, F.col("w")), *heights, F.lit("inferred").alias("status")).where("u_min >= 0 AND u_max <= 24")
+    return kept.unionByName(moved).unionByName(inferred)
