@@ -236,3 +236,44 @@ def regularised_openings(spark, sf_dir):
     empty = walls.withColumn("slot", F.explode(F.array_except(slots, "taken")))
     inferred = empty.select("wall", F.lit(None).cast("long").alias("id"), "slot", *placed(lattice, F.col("w")), *heights, F.lit("inferred").alias("status")).where("u_min >= 0 AND u_max <= 24")
     return kept.unionByName(moved).unionByName(inferred)
+
+
+_RADII = [f"sqrt(pow(x{i} - mx, 2) + pow(y{i} - my, 2)) AS r{i}" for i in range(1, 5)]
+_APART = [f"sqrt(pow(x{i} + x{j} - 2 * mx, 2) + pow(y{i} + y{j} - 2 * my, 2)) AS d{i}{j}" for i in range(1, 5) for j in range(i + 1, 5)]
+#: How far four points are from the corners of a centred rectangle: spread of the radii, distance of each point from its opposite.
+_SCORE = """round(CASE WHEN r1 + r2 + r3 + r4 < 0.004 THEN 1e9 ELSE sqrt((pow(r1 - (r1 + r2 + r3 + r4) / 4, 2) + pow(r2 - (r1 + r2 + r3 + r4) / 4, 2) + pow(r3 - (r1 + r2 + r3 + r4) / 4, 2) + pow(r4 - (r1 + r2 + r3 + r4) / 4, 2)) / 4) / ((r1 + r2 + r3 + r4) / 4)
+ + (least(d12, d13, d14) + least(d12, d23, d24) + least(d13, d23, d34) + least(d14, d24, d34)) / (r1 + r2 + r3 + r4) END, 9) AS s"""
+
+
+def _scored_sql(name: str, source: str, who: str) -> str:
+    return f"{name}r AS (SELECT *, {', '.join(_RADII + _APART)} FROM {source}), {name} AS (SELECT image, {who} AS who, mx, my, {_SCORE} FROM {name}r)"
+
+
+_BLOBS = "p_partkey AS id; p_partkey {div} 8 AS image; CASE WHEN p_partkey % 8 < 4 THEN 100 + 30 * (p_partkey % 2 * 2 - 1) + (p_partkey * 7 % 5 - 2) * CAST(0.5 AS DOUBLE) ELSE p_partkey * 37 % 200 END AS x; CASE WHEN p_partkey % 8 < 4 THEN 80 + CASE WHEN p_partkey % 4 < 2 THEN 20 ELSE -20 END + (p_partkey * 3 % 5 - 2) * CAST(0.5 AS DOUBLE) ELSE p_partkey * 53 % 160 END AS y; 20 + p_size AS area; p_partkey * 11 % 17 AS unround".split("; ")
+_FOUR = "sqrt((pow(x1 - mx, 2) + pow(x2 - mx, 2) + pow(x3 - mx, 2) + pow(x4 - mx, 2)) / 4) >= 4 OR sqrt((pow(y1 - my, 2) + pow(y2 - my, 2) + pow(y3 - my, 2) + pow(y4 - my, 2)) / 4) >= 4"
+_CORNER = "sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) >= 6 AND sqrt(pow(x3 - x1, 2) + pow(y3 - y1, 2)) >= 6 AND abs((x2 - x1) * (x3 - x1) + (y2 - y1) * (y3 - y1)) <= 0.25 * sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) * sqrt(pow(x3 - x1, 2) + pow(y3 - y1, 2))"
+_MIDDLE = ["(x1 + x2 + x3 + x4) / 4 AS mx", "(y1 + y2 + y3 + y4) / 4 AS my"]
+
+
+@query(f"""WITH b AS (SELECT {', '.join(_BLOBS).format(div='//')} FROM part WHERE p_size % 4 <> 0), c AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY unround, id) AS k FROM b QUALIFY k <= 8),
+f AS (SELECT a.image, [a.k, b.k, c.k, d.k] AS who, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3, d.x AS x4, d.y AS y4 FROM c a JOIN c b ON a.image = b.image AND a.k < b.k JOIN c c ON b.image = c.image AND b.k < c.k JOIN c d ON c.image = d.image AND c.k < d.k
+ WHERE greatest(a.area, b.area, c.area, d.area) <= 3.5 * least(a.area, b.area, c.area, d.area)), fm AS (SELECT *, {', '.join(_MIDDLE)} FROM f), fw AS (SELECT * FROM fm WHERE {_FOUR}), {_scored_sql("fs", "fw", "who")},
+t AS (SELECT a.image, list_sort([a.k, b.k, c.k]) AS trio, a.k AS corner, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3, b.x + c.x - a.x AS x4, b.y + c.y - a.y AS y4 FROM c a JOIN c b ON a.image = b.image AND a.k <> b.k JOIN c c ON b.image = c.image AND b.k < c.k AND a.k <> c.k
+ WHERE greatest(a.area, b.area, c.area) <= 3.5 * least(a.area, b.area, c.area)), tm AS (SELECT *, {', '.join(_MIDDLE)} FROM t WHERE {_CORNER}), {_scored_sql("ts", "tm", "trio || [corner]")},
+a AS (SELECT image, 'four' AS kind, 0 AS turn, who, mx, my, s FROM fs UNION ALL SELECT image, 'three', 1, who, mx, my, s FROM ts), r AS (SELECT * FROM a WHERE s <= 0.15 QUALIFY row_number() OVER (PARTITION BY image ORDER BY turn, s, who) = 1)
+SELECT i.image, coalesce(kind, 'none') AS kind, round(s, 6) AS score, round(mx, 4) AS cx, round(my, 4) AS cy FROM (SELECT DISTINCT image FROM c) i LEFT JOIN r USING (image)""")
+def board_holes(spark, sf_dir):
+    """The four candidates of an image that are most like the corners of a rectangle; failing that, three about a right angle with the fourth completed. At most the eight roundest candidates of an image count (the operator's own limit), so its combinations are bounded."""
+    b = A.table(spark, sf_dir, "part").where("p_size % 4 <> 0").select(*(F.expr(e.format(div="div")) for e in _BLOBS))
+    c = b.withColumn("k", F.row_number().over(Window.partitionBy("image").orderBy("unround", "id"))).where("k <= 8")
+    a = [c.select("image", *(F.col(n).alias(f"{n}{i}") for n in ("k", "x", "y", "area"))) for i in range(1, 5)]
+    alike = lambda n: F.greatest(*(f"area{i}" for i in range(1, n + 1))) <= 3.5 * F.least(*(f"area{i}" for i in range(1, n + 1)))
+    middle = [F.expr(e) for e in _MIDDLE]
+    spans = [F.expr(e) for e in _RADII + _APART]  # columns of their own: written out at every use they pass the limit of compiled code
+    pairs = a[0].join(a[1], "image").join(a[2], "image")
+    four = pairs.where("k1 < k2 AND k2 < k3").join(a[3], "image").where("k3 < k4").where(alike(4)).select("*", *middle).where(_FOUR).select("*", *spans)
+    four = four.select("image", F.lit("four").alias("kind"), F.lit(0).alias("turn"), F.array("k1", "k2", "k3", "k4").alias("who"), "mx", "my", F.expr(_SCORE))
+    three = pairs.where("k1 <> k2 AND k2 < k3 AND k1 <> k3").where(alike(3)).withColumns({"x4": F.expr("x2 + x3 - x1"), "y4": F.expr("y2 + y3 - y1")}).where(_CORNER).select("*", *middle).select("*", *spans)
+    three = three.select("image", F.lit("three").alias("kind"), F.lit(1).alias("turn"), F.concat(F.sort_array(F.array("k1", "k2", "k3")), F.array("k1")).alias("who"), "mx", "my", F.expr(_SCORE))
+    best = four.unionByName(three).where("s <= 0.15").groupBy("image").agg(F.min(F.struct("turn", "s", "who", "kind", "mx", "my")).alias("r"))
+    return c.select("image").distinct().join(best, "image", "left").select("image", F.coalesce("r.kind", F.lit("none")).alias("kind"), F.round("r.s", 6).alias("score"), F.round("r.mx", 4).alias("cx"), F.round("r.my", 4).alias("cy"))
