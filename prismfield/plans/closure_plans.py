@@ -43,7 +43,7 @@ def board_templates(spark, sf_dir):
 s AS (SELECT rec, anchor, idx, round(list_dot_product(v, d), 6) AS sim FROM a JOIN f USING (rec) WHERE idx BETWEEN guess - 5 AND guess + 5), b AS (SELECT rec, anchor, max(sim) AS top, arg_min(idx, (-sim, idx)) AS best FROM s GROUP BY ALL),
 t AS (SELECT rec, anchor, best, top, greatest(best - min(idx), max(idx) - best) AS spread FROM s JOIN b USING (rec, anchor) WHERE sim >= top - 0.05 GROUP BY rec, anchor, best, top),
 k AS (SELECT *, max(CASE WHEN spread <= 3 THEN best END) OVER (PARTITION BY rec ORDER BY anchor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM t)
-SELECT rec, anchor, best, round(top, 5) AS ncc, spread, CASE WHEN spread > 3 THEN 'ambiguous' WHEN best <= last THEN 'non-monotonic' ELSE 'ok' END AS status FROM k""")
+SELECT rec, anchor, best, top AS ncc, spread, CASE WHEN spread > 3 THEN 'ambiguous' WHEN best <= last THEN 'non-monotonic' ELSE 'ok' END AS status FROM k""")
 def descriptor_match(spark, sf_dir):
     """Anchors against the frames about their expected index by the product of descriptors; ties that lie wide apart are ambiguous, matches not beyond the last kept one are refused.
 
@@ -58,7 +58,7 @@ def descriptor_match(spark, sf_dir):
     t = s.groupBy("rec", "anchor", "best", "top").agg(F.greatest(F.col("best") - F.min("idx"), F.max("idx") - F.col("best")).alias("spread"))
     last = F.max(F.when(F.col("spread") <= 3, F.col("best"))).over(Window.partitionBy("rec").orderBy("anchor").rowsBetween(Window.unboundedPreceding, -1))
     status = F.when(F.col("spread") > 3, "ambiguous").when(F.col("best") <= last, "non-monotonic").otherwise("ok")
-    return t.select("rec", "anchor", "best", F.round("top", 5).alias("ncc"), "spread", status.alias("status"))
+    return t.select("rec", "anchor", "best", F.col("top").alias("ncc"), "spread", status.alias("status"))
 
 
 _PLANES = """p AS (SELECT p_partkey AS id, p_partkey // 20 AS building, p_size % 4 = 0 AS flat, p_partkey % 2 AS axis, CASE WHEN p_partkey % 3 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS sg,
@@ -277,3 +277,32 @@ def board_holes(spark, sf_dir):
     three = three.select("image", F.lit("three").alias("kind"), F.lit(1).alias("turn"), F.concat(F.sort_array(F.array("k1", "k2", "k3")), F.array("k1")).alias("who"), "mx", "my", F.expr(_SCORE))
     best = four.unionByName(three).where("s <= 0.15").groupBy("image").agg(F.min(F.struct("turn", "s", "who", "kind", "mx", "my")).alias("r"))
     return c.select("image").distinct().join(best, "image", "left").select("image", F.coalesce("r.kind", F.lit("none")).alias("kind"), F.round("r.s", 6).alias("score"), F.round("r.mx", 4).alias("cx"), F.round("r.my", 4).alias("cy"))
+
+
+@query()
+def merge_touching_openings(spark, sf_dir):
+    """Openings of one face and class that touch become their bounding rectangle, until none touch; points add up. A face bounds its openings."""
+    o = A.table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey div 30 AS face", "p_type AS class", "double(p_partkey * 7 % 60) / 4 AS u0", "double(p_partkey % 3) AS z0", "1 + p_size % 3 / 4 AS width", "1 + p_size % 5 / 4 AS height", "p_size AS n_points")
+
+    def run(pdf):
+        pdf = pdf.sort_values("id", ignore_index=True)
+        boxes, group = RS.fused(np.stack([pdf["u0"], pdf["u0"] + pdf["width"], pdf["z0"], pdf["z0"] + pdf["height"]], 1), RS.touching(0.1))
+        out = pdf.assign(group=group).groupby("group").agg(face=("face", "first"), **{"class": ("class", "first")}, first_id=("id", "min"), merged=("id", "size"), n_points=("n_points", "sum")).reset_index()
+        for k, name in enumerate(("u_min", "u_max", "z_min", "z_max")):
+            out[name] = boxes[out["group"], k]
+        return out.drop(columns="group")
+
+    return K.grouped(o, ["face", "class"], "face long, class string, first_id long, merged long, n_points long, u_min double, u_max double, z_min double, z_max double", run)
+
+
+@query()
+def room_groups(spark, sf_dir):
+    """Rectangles of a storey's tiling grouped into rooms: wide ones that touch and agree in height, slivers with the neighbour of the longest shared edge. A storey bounds its rectangles."""
+    r = A.table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey div 36 AS storey", "p_partkey % 36 div 6 * 4 AS r0", "p_partkey % 6 * 4 AS c0", "p_size % 4 AS cut", "double(p_size % 2) / 10 AS low", "2.5D + p_partkey % 5 / 10 AS high")
+
+    def run(pdf):
+        pdf = pdf.sort_values("id", ignore_index=True)
+        rects = list(zip(pdf["r0"], pdf["r0"] + 3 - pdf["cut"], pdf["c0"], pdf["c0"] + 3, strict=True))
+        return pdf.assign(room=RS.rooms(rects, pdf[["low", "high"]].to_numpy(), (pdf["cut"] < 2).to_numpy(), 0.15))[["id", "storey", "room"]]
+
+    return K.grouped(r, ["storey"], "id long, storey long, room long", run)

@@ -111,3 +111,36 @@ def test_row_rules(spark):
     assert [r[0] for r in df.where("x < 3").select(R.box_label(("x", "y", "z"), boxes)).collect()] == [0, 1]
     with pytest.raises(ValueError, match="repeated"):
         A.checked_dimension(spark.createDataFrame([("a",), ("a",)], "k string"), "k", [])
+
+
+def test_fused_rectangles_do_not_depend_on_order():
+    draw = np.random.default_rng(11)
+    near = RS.touching(0.1)
+    for _ in range(60):
+        low = draw.integers(0, 12, (9, 2))
+        boxes = np.stack([low[:, 0], low[:, 0] + draw.integers(1, 4, 9), low[:, 1], low[:, 1] + draw.integers(1, 4, 9)], 1).astype(float)
+        got, group = RS.fused(boxes, near)
+        final = {g: tuple(got[g]) for g in group.tolist()}
+        # Plainly: any near pair is replaced by its bounding box, in another order.
+        plain = [tuple(b) for b in boxes[::-1]]
+        while pair := next(((a, b) for i, a in enumerate(plain) for b in plain[:i] if near(a, b)), None):
+            plain.remove(pair[0])
+            plain.remove(pair[1])
+            plain.append((min(pair[0][0], pair[1][0]), max(pair[0][1], pair[1][1]), min(pair[0][2], pair[1][2]), max(pair[0][3], pair[1][3])))
+        assert sorted(final.values()) == sorted(plain)
+        for b, g in zip(boxes, group.tolist(), strict=True):
+            assert final[g][0] <= b[0] and b[1] <= final[g][1] and final[g][2] <= b[2] and b[3] <= final[g][3]
+    assert not near((0, 1, 0, 1), (1, 2, 1, 2)) and near((0, 1, 0, 1), (1.05, 2, 0.5, 2)) and not near((0, 1, 0, 1), (1.2, 2, 0.5, 2))
+
+
+def test_rooms_join_seeds_and_slivers():
+    # Two agreeing halls, a taller one beside them, a sliver along two rooms, one behind the sliver, an island.
+    rects = [(0, 3, 0, 3), (0, 3, 4, 7), (0, 3, 8, 11), (4, 4, 2, 9), (5, 5, 9, 9), (20, 20, 20, 20)]
+    heights = np.array([(0, 2.5), (0, 2.6), (0, 4.0), (0, 1), (0, 1), (0, 1)], float)
+    seed = np.array([True, True, True, False, False, False])
+    assert RS.rooms(rects, heights, seed, 0.15).tolist() == [0, 0, 1, 0, 0, 2]
+    assert RS.rooms(rects, heights, np.zeros(6, bool), 0.15).tolist() == [0, 1, 2, 3, 4, 5]
+    assert RS.shared_edge(rects[0], rects[1]) == 4 and RS.shared_edge(rects[1], rects[3]) == 4 and RS.shared_edge(rects[3], rects[4]) == 1
+    assert RS.shared_edge((0, 1, 0, 1), (2, 3, 2, 3)) == 0
+    clash = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], bool)
+    assert RS.first_without_clash(clash).tolist() == [True, False, True]
