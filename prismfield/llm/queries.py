@@ -1,11 +1,11 @@
-"""Queries op1 .. op10 and the pipeline, and the SQL of those that SQL can express."""
+"""Queries op1 .. op13 and the pipeline, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_extraction, language_id, licenses, ngram_join, packing, quality, secrets, warc
+from . import decontamination, dominance, fingerprints, html_extraction, importance, language_id, licenses, ngram_join, packing, quality, secrets, warc
 from .common import table
 
 
@@ -55,13 +55,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.dominance(table(spark, sf_dir, "sales"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_best_fit_packing, op4_quality_classifier, op5_document_fingerprints, op6_html_extraction, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_license_scans, op10_warc, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_best_fit_packing, op4_quality_classifier, op5_document_fingerprints, op6_html_extraction, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_license_scans, op10_warc, op12_importance_resampling, op13_dominance_counting, pipeline)}
 
 
 def _license_sql() -> str:
@@ -107,9 +115,68 @@ FROM docs LEFT JOIN found USING (r)
 """
 
 
+# Unsigned crc32 of a list of bytes, from the 256 states that one byte leaves in the register.
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS states FROM range(256) t(i))"
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, in a query over crc_table."""
+    octets = f"list_transform(range(0, strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, states[xor(a & 255, b) + 1])), 4294967295)"
+
+
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _resampling_sql() -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    grams = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+    return f"""
+WITH {_CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+items AS (SELECT {words} AS w FROM benchmark),
+grams AS (SELECT r, unnest({grams}) AS f FROM docs),
+held AS (SELECT r, f, count(*) AS n FROM grams GROUP BY r, f),
+wanted AS (SELECT f, count(*) AS n FROM (SELECT unnest({grams}) AS f FROM items) GROUP BY f),
+known AS (SELECT f, {_crc_sql('f')} % 10000 AS bucket FROM (SELECT f FROM held UNION SELECT f FROM wanted), crc_table),
+raw AS (SELECT bucket, sum(n) AS s FROM held JOIN known USING (f) GROUP BY bucket),
+goal AS (SELECT bucket, sum(n) AS t FROM wanted JOIN known USING (f) GROUP BY bucket),
+both_ AS (SELECT bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM raw FULL JOIN goal USING (bucket)),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM both_) + 10000) / ((s + 1) * ((SELECT sum(t) FROM both_) + 10000))))::BIGINT AS g FROM both_),
+weighed AS (SELECT r, sum(n * g)::BIGINT AS weight FROM held JOIN known USING (f) JOIN gain USING (bucket) GROUP BY r),
+drawn AS (
+  SELECT r, doc_id, len(w) AS n_words, (SELECT coalesce(sum(greatest(len(w) - k, 0)), 0) FROM range(3) t(k))::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM docs LEFT JOIN weighed USING (r)
+),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM drawn),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+_DOMINANCE_SQL = f"""
+WITH {_CRC_TABLE},
+placed AS (
+  SELECT sale_id, floor(epoch(sold_at) / 3600)::BIGINT AS slot, floor(floor(100 * total + 0.5) / 100)::BIGINT AS level,
+         1 + {_crc_sql('sale_id::VARCHAR')} % 2 AS n_rows
+  FROM sales, crc_table
+),
+points AS (SELECT slot, level, count(*) AS n_sales, sum(n_rows) AS n_rows FROM placed WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY slot, level),
+above AS (
+  SELECT q.slot, q.level, sum(p.n_sales)::BIGINT AS n_sales, sum(p.n_rows)::BIGINT AS n_rows
+  FROM points q JOIN points p ON p.slot <= q.slot AND p.level > q.level GROUP BY q.slot, q.level
+)
+SELECT sale_id, slot, level, CASE WHEN slot IS NOT NULL AND level IS NOT NULL THEN coalesce(a.n_sales, 0) END AS n_sales,
+       CASE WHEN slot IS NOT NULL AND level IS NOT NULL THEN coalesce(a.n_rows, 0) END AS n_rows
+FROM placed LEFT JOIN above a USING (slot, level)
+"""
+
 ORACLE_SQL = {
-    "op6_html_extraction": None,
     "op9_license_scans": _license_sql(),
+    "op12_importance_resampling": _resampling_sql(),
+    "op13_dominance_counting": _DOMINANCE_SQL,
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -120,4 +187,3 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d JOIN f USING (payload_digest)
 """,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
