@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, dominance, fingerprints, html_extraction, importance, language_id, licenses, ngram_join, packing, quality, secrets, warc
+from . import decontamination, dominance, fingerprints, html_extraction, importance, language_id, licenses, minhash, ngram_join, packing, quality, secrets, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_best_fit_packing, op4_quality_classifier, op5_document_fingerprints, op6_html_extraction, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_license_scans, op10_warc, op12_importance_resampling, op13_dominance_counting, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_best_fit_packing, op4_quality_classifier, op5_document_fingerprints, op6_html_extraction, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_license_scans, op10_warc, op11_minhash_near_dedup, op12_importance_resampling, op13_dominance_counting, pipeline)}
 
 
 def _license_sql() -> str:
@@ -156,6 +160,24 @@ FROM scored LEFT JOIN ranked USING (r)
 """
 
 
+_NEAR_DUPLICATE_SQL = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM docs
+),
+classes AS (SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS least FROM shingled WHERE len(s) > 0 GROUP BY s),
+elements AS (SELECT c, n, hash(e) AS e FROM (SELECT c, n, unnest(s) AS e FROM classes)),
+pairs AS (SELECT a.c AS x, b.c AS y, count(*) AS shared, a.n + b.n AS total FROM elements a JOIN elements b ON a.e = b.e AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n),
+links AS (SELECT x, y FROM pairs WHERE 100 * shared >= 85 * (total - shared)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(c, m) AS (SELECT c, least FROM classes UNION SELECT ways.y, reach.m FROM reach JOIN ways ON ways.x = reach.c),
+named AS (SELECT c, min(m) AS component_id FROM reach GROUP BY c)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(component_id, doc_id) AS kept
+FROM shingled LEFT JOIN classes USING (s) LEFT JOIN named USING (c)
+"""
+
+
 _DOMINANCE_SQL = f"""
 WITH {_CRC_TABLE},
 placed AS (
@@ -175,6 +197,7 @@ FROM placed LEFT JOIN above a USING (slot, level)
 
 ORACLE_SQL = {
     "op9_license_scans": _license_sql(),
+    "op11_minhash_near_dedup": _NEAR_DUPLICATE_SQL,
     "op12_importance_resampling": _resampling_sql(),
     "op13_dominance_counting": _DOMINANCE_SQL,
     "op10_warc": """
