@@ -8,7 +8,8 @@ limit of 0.85 a pair falls below 40 of 64 with probability 2.4e-6.
 - Posting: a class is posted under (coordinate, value) pairs, rare ones first in one global order. Two signatures that
   agree in t of k coordinates share one of the first k - t + 1 pairs of either, so only this prefix is posted.
 - Counting: the lists are merged in order of set size; members whose sizes cannot fit are skipped by a binary search, and
-  for the others all coordinates are compared at once, a byte each. Bytes agree where values do, so nothing is lost.
+  for the others all coordinates are compared at once, a byte each. Bytes agree where values do, so nothing is lost. What two sets of
+  known sizes share is bounded by the counts of their elements in BUCKETS; pairs that this bound rules out are not made.
 - Links: a candidate is compared exactly on the full sets. No pairs are made within a group that is linked already: first every
   class meets the smallest fitting member of each of its lists, then components are formed, then in turns each class asks a few
   members of other components, and the last turn asks all that are left. Lists of one component are never looked at again.
@@ -41,6 +42,7 @@ from .ngram_join import Threshold, mix, shingles
 COORDINATES = 64
 MATCHES = 40
 SLAB = 2000
+BUCKETS = 256
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADDENDS = mix(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 
@@ -57,6 +59,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return least
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's elements by their leading bits, a byte each; empty, and ruling nothing out, if a count exceeds a byte."""
+    counts = np.bincount((s >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def tokens(sig: np.ndarray) -> np.ndarray:
     """The (coordinate, value) pairs of a signature as 64-bit hashes."""
     return mix(sig ^ _ADDENDS)
@@ -111,7 +119,7 @@ def _near_duplicates(docs, k, limit, matches, id_col, sample_docs, most_common,
         """One pass over the texts: size, class and, for the first copy that the task meets, signature and posted pairs."""
         seen: set[bytes] = set()
         for batch in slices_of(batches):
-            ns, keys, sigs, posted = [], [], [], []
+            ns, keys, sigs, posted, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, k)
                 key = set_key(s) if len(s) else None
@@ -120,16 +128,17 @@ def _near_duplicates(docs, k, limit, matches, id_col, sample_docs, most_common,
                 ns.append(len(s))
                 keys.append(key)
                 sigs.append((sig & np.uint64(255)).astype(np.uint8).tobytes() if first else None)
+                sketches.append(sketch(s) if first else None)
                 posted.append(in_order(tokens(sig), *shared.value, prefix).view(np.int64) if first else None)
                 if first:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-            made = [pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(posted, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], ["id", "h1", "h2", "n", "cls", "sig", "posted"])
+            made = [pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(posted, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], ["id", "h1", "h2", "n", "cls", "sig", "posted", "sketch"])
 
-    sets = materialize(src.mapInArrow(read, f"id {kind}, h1 long, h2 long, n long, cls binary, sig binary, posted array<long>"), "sets")
-    one = F.min_by(F.struct("n", "sig", "posted", "h1", "h2"), F.struct("h1", "h2")).alias("c")
+    sets = materialize(src.mapInArrow(read, f"id {kind}, h1 long, h2 long, n long, cls binary, sig binary, posted array<long>, sketch binary"), "sets")
+    one = F.min_by(F.struct("n", "sig", "posted", "sketch", "h1", "h2"), F.struct("h1", "h2")).alias("c")
     classes = materialize(sets.where(F.col("sig").isNotNull()).groupBy("cls").agg(one).select("cls", "c.*"), "classes", n_docs)
     rows = materialize(sets.select("id", "n", "cls"), "rows", n_docs)
     discard(sets)
@@ -147,12 +156,12 @@ def _near_duplicates(docs, k, limit, matches, id_col, sample_docs, most_common,
     lists, changed = met.select("pair", "cls", "n", "sig"), True
     for q in (*asks, None):
         if changed:
-            torn = _torn(lists, label, most)
+            torn = _torn(lists, label, classes.select("cls", "sketch"), most)
             discard(lists)
             lists = torn
         dealt = lists.withColumn("slabs", F.ceil(F.col("members") / slab)).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("slabs")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slabs") - 1)))
-        dealt = dealt.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")}).select("pair", "a", "b", "cls", "n", "sig", "component", "mine")
+        dealt = dealt.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")}).select("pair", "a", "b", "cls", "n", "sig", "component", "mine", "sketch")
         dealt = dealt.repartition(tasks(most), "pair", "a", "b").sortWithinPartitions("pair", "a", "b", "n", "cls")
         found = dealt.mapInArrow(_cross_pairs(limit, matches, q), "asker binary, other binary, agree int")
         if q is not None:
@@ -184,8 +193,8 @@ def _components(links: list[DataFrame], most: int) -> DataFrame:
     return connected_components(functools.reduce(DataFrame.unionByName, links), lambda df, label: materialize(df, label, most), "x", "y", drop=discard)
 
 
-def _torn(lists: DataFrame, label: DataFrame, most: int) -> DataFrame:
-    """Rows of the lists that hold two components or more, with component and number of members.
+def _torn(lists: DataFrame, label: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """Rows of the lists that hold two components or more, with component, number of members and sketch.
 
     Of lists with the very same members (by 128 bits over hashes of them) one stays: the same pairs meet in all of them.
     """
@@ -193,7 +202,7 @@ def _torn(lists: DataFrame, label: DataFrame, most: int) -> DataFrame:
     tagged = named.select("pair", "cls", "n", "sig", F.coalesce("component", "cls").alias("component"))
     by = tagged.groupBy("pair").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("m2"))
     kept = by.where("a < b").groupBy("m1", "m2", "members").agg(F.min("pair").alias("pair")).select("pair", "members")
-    return materialize(tagged.join(kept, "pair"), "torn", most)
+    return materialize(tagged.join(kept, "pair").join(sketches, "cls"), "torn", most)
 
 
 def _table(column) -> np.ndarray:
@@ -275,6 +284,9 @@ def _cross_pairs(limit: Threshold, matches: int, q: int | None):
         component = (component.combine_chunks() if isinstance(component, pa.ChunkedArray) else component).indices.to_numpy()
         sig = _table(rows.column("sig"))
         low = np.searchsorted(n * limit.den, n * limit.num)  # smaller members are skipped
+        held = rows.column("sketch").to_pylist()
+        bounded = np.array([len(x) > 0 for x in held])
+        counts_of = np.frombuffer(b"".join(x or bytes(BUCKETS) for x in held), np.uint8).reshape(-1, BUCKETS)
         askers, others, counts = [], [], []
         for i in range(1, len(n)):
             near = component[low[i] : i] != component[i]
@@ -285,6 +297,10 @@ def _cross_pairs(limit: Threshold, matches: int, q: int | None):
                 continue
             agree = (sig[j] == sig[i]).sum(1)
             fine = agree >= matches
+            if fine.any() and bounded[i]:
+                at = j[fine]
+                shared = np.minimum(counts_of[at], counts_of[i]).sum(1, dtype=np.int64)
+                fine[fine] = (shared * (limit.num + limit.den) >= limit.num * (n[at] + n[i])) | ~bounded[at]
             j, agree = j[fine], agree[fine]
             if q is not None and len(j) > q:
                 top = np.argsort(-agree, kind="stable")[:q]
