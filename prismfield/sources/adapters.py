@@ -84,9 +84,19 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="prismfield-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """End a lineage by a table in the shared folder. It is computed once (a checkpoint computes twice), and later readers read the columns they need."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/prismfield/{label.replace(' ', '-')}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checked_dimension(df: DataFrame, key: str, reserved: list[str]) -> DataFrame:
     """A small dimension table whose keys are present, unique and not reserved; it raises otherwise."""
     bad = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull() | F.col(key).isin(reserved)).limit(5).collect()
