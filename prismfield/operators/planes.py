@@ -83,12 +83,43 @@ def refit(inliers: DataFrame, keys: list[str]) -> DataFrame:
     return s.selectExpr(*keys, "inliers", "cx", "cy", "cz", "nx", "ny", "nz", "-(nx * cx + ny * cy + nz * cz) AS d", f"sqrt(greatest({spread}, 0)) AS rms")
 
 
+def _counts(points: DataFrame, each: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, trial, n): points within the threshold of each hypothesis, added up by every task before the shuffle.
+
+    Up to MOST_BROADCAST keys the hypotheses (a bounded number a key) go to all tasks as arrays; more of them are joined and unrolled.
+    """
+    if each.count() > MOST_BROADCAST:
+        met = beside(points, each, keys).select(*keys, *AXES, F.explode("h").alias("h")).where(F.expr(_off("h")) < threshold)
+        return met.groupBy(*keys, F.col("h.trial").alias("trial")).agg(F.count("*").alias("n"))
+    models = {tuple(r[k] for k in keys): (np.array([m["trial"] for m in r["h"]]), np.array([tuple(m)[1:] for m in r["h"]], float).T) for r in each.collect()}
+    shared = points.sparkSession.sparkContext.broadcast(models)
+    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        found = {}
+        for p in batches:
+            xyz = p[list(AXES)].to_numpy(float)
+            for key, at in p.groupby(keys, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in shared.value:
+                    continue
+                _, (hx, hy, hz, hd) = shared.value[key]
+                total = found.setdefault(key, np.zeros(len(hd), np.int64))
+                for a in range(0, len(at), 4096):
+                    x, y, z = xyz[at[a : a + 4096]].T[:, :, None]
+                    total += (np.abs(hx * x + hy * y + hz * z + hd) < threshold).sum(0)
+        for key, total in found.items():
+            yield pd.DataFrame({k: [v] * len(total) for k, v in zip(keys, key, strict=True)} | {"trial": shared.value[key][0], "n": total})
+
+    sent = points.select(*keys, *AXES).mapInPandas(run, f"{kinds}, trial long, n long").where("n > 0")
+    return sent.groupBy(*keys, "trial").agg(F.sum("n").alias("n"))
+
+
 def best_planes(points: DataFrame, keys: list[str], threshold: float, trials: int, salt: Column, id_col: str, cut) -> DataFrame:
     """One plane a key: the hypothesis (hx, hy, hz, hd) with most points within the threshold, refitted to them."""
     drawn = draw(points, keys, trials, salt, id_col)
     each = cut(drawn.groupBy(*keys).agg(F.collect_list(F.struct("trial", "hx", "hy", "hz", "hd")).alias("h")), "models")
-    met = beside(points, each, keys).select(*keys, *AXES, F.explode("h").alias("h")).where(F.expr(_off("h")) < threshold)
-    counts = met.groupBy(*keys, F.col("h.trial").alias("trial")).agg(F.count("*").alias("n"))
+    counts = _counts(points, each, keys, threshold)
     top = counts.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("trial")).alias("t"))).alias("b")).select(*keys, (-F.col("b.t")).alias("top"))
     best = cut(top.join(each, keys).select(*keys, F.expr("filter(h, m -> m.trial = top)[0]").alias("m")).select(*keys, "m.hx", "m.hy", "m.hz", "m.hd"), "best")
     near = beside(points, best.select(*keys, F.struct("hx", "hy", "hz", "hd").alias("h")), keys).where(F.expr(_off("h")) < threshold)

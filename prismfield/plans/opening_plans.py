@@ -9,7 +9,7 @@ from prismfield.sources import adapters as A
 
 from .registry import query
 
-_CENTS = "cast(round(l_extendedprice * 100) AS bigint)"
+_CENTS = "cast(floor(l_extendedprice * 100 + 0.5e0) AS bigint)"
 # Two boxes side by side in each of eight buildings; a camera for each supplier; masks of 7 by 9 pixels, one a supplier and line number, from all of lineitem.
 _BOXES = """SELECT building, box, CASE box WHEN 0 THEN 0.0e0 ELSE 6.0e0 END AS x0, CASE box WHEN 0 THEN 6.0e0 ELSE 10.0e0 END AS x1, 0.0e0 AS y0, 4.0e0 AS y1, 0.0e0 AS z0, 3.0e0 AS z1
 FROM (SELECT DISTINCT s_suppkey % 8 AS building FROM supplier) CROSS JOIN (SELECT 0 AS box UNION ALL SELECT 1 AS box)"""
@@ -144,7 +144,7 @@ def stacked_pitches(spark, sf_dir):
 @query()
 def wall_bays(spark, sf_dir):
     """Bays of each wall: phase, walked-out widths, sills and heads by contrast runs of the height bands."""
-    out = O.bays(_walls(spark, sf_dir), ["wall"], least_points=30)
+    out = O.bays(_walls(spark, sf_dir), ["wall"], 0.2, 0.4, 0.2, least_points=30, least_correlation=0.1)
     return out.selectExpr("wall", "slot", "width_outlier", "n_runs", "reaches_floor", *(f"round({c}, 5) AS {c}" for c in ("u_slot", "u0", "u1", "sill", "head", "pitch")))
 
 

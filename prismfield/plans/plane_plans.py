@@ -28,16 +28,17 @@ _XYZ = {
 }
 _ROOMS = f"""SELECT hall, id, {', '.join(f'{e} AS {c}' for c, e in _XYZ.items())} FROM (
   SELECT {', '.join(f'{e} AS {c}' for c, e in _POINT.items())} FROM (
-    SELECT *, cast(round(l_extendedprice * 100) AS bigint) AS cents, (l_orderkey + l_linenumber * 3 + l_partkey) % 7 AS face FROM lineitem))"""
+    SELECT *, cast(floor(l_extendedprice * 100 + 0.5e0) AS bigint) AS cents, (l_orderkey + l_linenumber * 3 + l_partkey) % 7 AS face FROM lineitem))"""
 
 
 def rooms(spark, sf_dir):
-    """Clouds of halls, from all of lineitem."""
-    return spark.sql(_ROOMS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=A.table(spark, sf_dir, "lineitem"))
+    """Clouds of halls, from all of lineitem: made once and stored, as every round of a peel reads them again."""
+    made = spark.sql(_ROOMS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=A.table(spark, sf_dir, "lineitem"))
+    return A.stored(made.repartition(spark.sparkContext.defaultParallelism), "rooms")
 
 
-def _peeled(spark, sf_dir):
-    return P.peel(rooms(spark, sf_dir), ["hall"], A.stored, THRESHOLD, TRIALS, SHARE, 3, 20, ATTEMPTS)
+def _peeled(cloud):
+    return P.peel(cloud, ["hall"], A.stored, THRESHOLD, TRIALS, SHARE, 3, 20, ATTEMPTS)
 
 
 def _peel_sql() -> str:
@@ -75,7 +76,7 @@ _ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in ("nx", "ny", "nz", "d", "rms
 @query(f"WITH {_peel_sql()} SELECT hall, attempt, inliers, accepted, CASE WHEN accepted THEN (sum(accepted::INT) OVER (PARTITION BY hall ORDER BY attempt) - 1)::BIGINT END AS plane, CASE WHEN abs(nz) > 0.5 THEN 'floor_ceiling' ELSE 'wall' END AS orientation, {_ROUND} FROM fits")
 def plane_peel(spark, sf_dir):
     """Planes of whole clouds, each round's best hypothesis refitted and its inliers left out; tilted ones are noise; residual of each plane."""
-    out = _peeled(spark, sf_dir)
+    out = _peeled(rooms(spark, sf_dir))
     return out.selectExpr("hall", "attempt", "inliers", "accepted", "plane", "orientation", *(f"round({c}, 6) AS {c}" for c in ("nx", "ny", "nz", "d", "rms", "tilt")))
 
 
@@ -98,7 +99,8 @@ FROM cells JOIN named USING (hall, attempt, i, j) JOIN chosen USING (hall, attem
 @query(_RECT_SQL)
 def plane_rectangles(spark, sf_dir):
     """Rectangles of the largest patch of each plane's inliers, along the structure."""
-    cloud, found = rooms(spark, sf_dir), A.stored(_peeled(spark, sf_dir), "planes")
+    cloud = rooms(spark, sf_dir)
+    found = A.stored(_peeled(cloud), "planes")
     taken = P.members(cloud, found, ["hall"], THRESHOLD, A.stored)
     out = P.rectangles(taken, found.where("accepted"), ["hall", "attempt"], GAP, A.stored)
     return out.selectExpr("hall", "attempt", *(f"round({c}, 6) AS {c}" for c in ("u0", "u1", "v0", "v1", "area")))
@@ -107,7 +109,8 @@ def plane_rectangles(spark, sf_dir):
 @query()
 def plane_least_rectangles(spark, sf_dir):
     """Rectangles of least area around the hull of the largest patch of each plane's inliers, turned as they may be."""
-    cloud, found = rooms(spark, sf_dir), A.stored(_peeled(spark, sf_dir), "planes")
+    cloud = rooms(spark, sf_dir)
+    found = A.stored(_peeled(cloud), "planes")
     keys, planes = ["hall", "attempt"], found.where("accepted")
     flat = P.on_plane(P.members(cloud, found, ["hall"], THRESHOLD, A.stored), planes, keys, A.stored)
     cell = {"i": F.floor(F.col("u") / GAP), "j": F.floor(F.col("v") / GAP)}
@@ -118,7 +121,8 @@ def plane_least_rectangles(spark, sf_dir):
 
 def closed_boxes(spark, sf_dir):
     """Planes, rectangles, one plane a surface, the largest plane of each side, a second look at open sides, caps, shared edges."""
-    cloud, found = rooms(spark, sf_dir), A.stored(_peeled(spark, sf_dir), "planes")
+    cloud = rooms(spark, sf_dir)
+    found = A.stored(_peeled(cloud), "planes")
     sized = found.where("accepted").join(P.rectangles(P.members(cloud, found, ["hall"], THRESHOLD, A.stored), found.where("accepted"), ["hall", "attempt"], GAP, A.stored), ["hall", "attempt"])
     planes = A.stored(P.unlike(sized, ["hall"]), "unlike")
     out = P.close_box(planes, cloud, ["hall"], A.stored, THRESHOLD, TRIALS, 3, 0.05, 0.5, 0.4, GAP)
