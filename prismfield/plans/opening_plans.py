@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismfield.operators import frames as FR
 from prismfield.operators import openings as O
 from prismfield.sources import adapters as A
 
@@ -167,3 +168,55 @@ def histogram_peak_runs(spark, sf_dir):
         return pd.DataFrame([(g["l_suppkey"].iloc[0], p, a, b) for a, b, p in found], columns=["l_suppkey", "peak", "first", "last"])
 
     return li.groupBy("l_suppkey").applyInPandas(run, StructType.fromDDL("l_suppkey long, peak long, first long, last long"))
+
+
+# Frames of 60 by 100 pixels, one a supplier, from all of lineitem: each line number is a segment at its own place; a strip of floor lies at the bottom.
+_FRAME_LIMITS = {"dilation": 1, "floor_gap": 6, "edge_band": 5, "edge_share": 0.2, "door_width": 5, "area": 20, "wall_height": 0.5}
+_FRAME_CLASSES = "CASE WHEN l_linenumber IN (1, 2) THEN 'window' WHEN l_linenumber = 7 THEN 'other' ELSE 'door' END"
+_FRAME_PIXELS = f"""SELECT frame, row, col, min(segment) AS segment FROM (SELECT l_suppkey AS frame, l_linenumber AS segment,
+    CASE WHEN l_linenumber = 7 THEN 57 + l_partkey % 3 ELSE 30 + l_linenumber * 5 % 17 + l_suppkey % 5 + l_partkey % (7 + l_linenumber * 2) - l_linenumber * 2 END AS row,
+    CASE WHEN l_linenumber = 7 THEN {_CENTS} % 100 ELSE 6 + l_linenumber * 9 + l_suppkey * l_linenumber % 7 + {_CENTS} % (4 + l_linenumber) END AS col FROM lineitem) GROUP BY frame, row, col"""
+
+
+def _regions_sql(name: str, kind: str) -> str:
+    reach = 2 * _FRAME_LIMITS["dilation"] + 1
+    return f"""{name}_px AS MATERIALIZED (SELECT p.frame, row, col FROM px p JOIN segs s ON s.frame = p.frame AND s.segment = p.segment WHERE class = '{kind}'),
+{name}_links AS MATERIALIZED (SELECT a.frame, a.row, a.col, b.row AS r2, b.col AS c2 FROM {name}_px a JOIN {name}_px b ON a.frame = b.frame AND abs(a.row - b.row) <= {reach} AND abs(a.col - b.col) <= {reach} AND least(abs(a.row - b.row), abs(a.col - b.col)) < {reach}),
+{name}_reach(frame, row, col, r0, c0) AS (SELECT frame, row, col, row, col FROM {name}_px UNION SELECT r.frame, l.r2, l.c2, r.r0, r.c0 FROM {name}_reach r JOIN {name}_links l ON l.frame = r.frame AND l.row = r.row AND l.col = r.col),
+{name} AS MATERIALIZED (SELECT frame, row, col, min((r0, c0)) AS region FROM {name}_reach GROUP BY frame, row, col)"""
+
+
+_L = _FRAME_LIMITS
+_FRAMES_SQL = f"""WITH RECURSIVE px AS MATERIALIZED ({_FRAME_PIXELS}), segs AS (SELECT DISTINCT l_suppkey AS frame, l_linenumber AS segment, {_FRAME_CLASSES} AS class FROM lineitem),
+{_regions_sql('win', 'window')}, {_regions_sql('door', 'door')},
+glass AS (SELECT w.frame, row, col FROM win w JOIN (SELECT frame, region FROM win GROUP BY frame, region HAVING count(*) >= {_L['area']}) k ON k.frame = w.frame AND k.region = w.region),
+floors AS (SELECT p.frame, row, col FROM px p WHERE p.segment = 7),
+sized AS (SELECT frame, region, count(*) AS area, (max(row) - min(row) + 1) / 60.0e0 AS height, max(col) - min(col) + 1 AS width FROM door GROUP BY frame, region),
+low AS (SELECT frame, region, col, max(row) AS low FROM door GROUP BY frame, region, col),
+gaps AS (SELECT frame, region, floor(median(gap))::INT AS gap FROM (SELECT l.frame, l.region, l.col, min(f.row) - l.low AS gap FROM low l JOIN floors f ON f.frame = l.frame AND f.col = l.col AND f.row > l.low GROUP BY l.frame, l.region, l.col, l.low) GROUP BY frame, region),
+ends AS (SELECT frame, region, row, min(col) AS x0, max(col) AS x1 FROM door GROUP BY frame, region, row),
+room AS (SELECT frame, region, sum(least(x0, {_L['edge_band']})) AS rl, sum(least(99 - x1, {_L['edge_band']})) AS rr FROM ends GROUP BY frame, region),
+held AS (SELECT e.frame, e.region, count(*) FILTER (g.col < x0 AND g.col >= x0 - {_L['edge_band']}) AS nl, count(*) FILTER (g.col > x1 AND g.col <= x1 + {_L['edge_band']}) AS nr FROM ends e JOIN glass g ON g.frame = e.frame AND g.row = e.row GROUP BY e.frame, e.region),
+m AS (SELECT s.*, coalesce(gap, -1) AS gap, coalesce(nl / greatest(rl, 1), 0) AS l, coalesce(nr / greatest(rr, 1), 0) AS r FROM sized s JOIN room USING (frame, region) LEFT JOIN gaps USING (frame, region) LEFT JOIN held USING (frame, region))
+SELECT frame, region[1] AS top, region[2] AS side, area, width, gap, round(height, 6) AS height, round(l, 6) AS at_left, round(r, 6) AS at_right,
+  CASE WHEN greatest(l, r) > {_L['edge_share']} THEN '{FR.RULES[1]}' WHEN area < {_L['area']} THEN '{FR.RULES[2]}' WHEN width < {_L['door_width']} THEN '{FR.RULES[3]}' WHEN height >= {_L['wall_height']} THEN '{FR.RULES[4]}' WHEN gap NOT BETWEEN 0 AND {_L['floor_gap']} THEN '{FR.RULES[5]}' END AS rule FROM m"""
+
+
+def _frames(spark, sf_dir):
+    li = A.table(spark, sf_dir, "lineitem")
+    pixels = spark.sql(_FRAME_PIXELS.replace("FROM lineitem", "FROM {li}"), li=li)
+    segments = li.selectExpr("l_suppkey AS frame", "l_linenumber AS segment", f"{_FRAME_CLASSES} AS class", "CASE WHEN l_linenumber = 7 THEN 'floor' ELSE 'wall' END AS zone", "0.1e0 * l_linenumber AS confidence").distinct()
+    return FR.judge(A.stored(pixels, "pixels"), A.stored(segments, "segments"), (60, 100), A.stored, limits=_FRAME_LIMITS)
+
+
+@query(_FRAMES_SQL)
+def frame_door_rules(spark, sf_dir):
+    """Door candidates merged across gaps, their floor gaps, the glass beside them, and the first rule that turns them down."""
+    out = _frames(spark, sf_dir).regions.where("class = 'door'")
+    return out.select("frame", F.col("region.i").alias("top"), F.col("region.j").alias("side"), "area", "width", "gap", F.round("height", 6).alias("height"), F.round("left", 6).alias("at_left"), F.round("right", 6).alias("at_right"), "rule")
+
+
+@query()
+def frame_records(spark, sf_dir):
+    """Records of all segments after windows and doors were merged and judged, in line with the rewritten pixels."""
+    return _frames(spark, sf_dir).segments.selectExpr("frame", "segment", "class", "rule", "residual", "n_merged", "area", "round(confidence, 6) AS confidence", "x0", "y0", "x1", "y1")

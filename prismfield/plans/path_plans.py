@@ -32,3 +32,32 @@ def pose_graph_optimisation(spark, sf_dir):
     floors = poses.select("graph", "node", F.when(F.col("node") % 3 != 1, F.lit(1.2)).alias("distance"))
     out = G.optimise(poses, G.graph_edges(poses, loops, floors), most_steps=4)
     return out.select("graph", "node", *(F.round(F.get("t", F.lit(k)), 4).alias(c) for k, c in enumerate("xyz")), F.round(F.abs(F.get("q", F.lit(3))), 5).alias("w"))
+
+
+def revisited_rooms(spark, sf_dir):
+    """Scans and poses of a path of twelve stops in each hall: stops four apart see the same points, displaced; the path's own poses drift."""
+    from .plane_plans import rooms
+
+    stop = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("round")
+    cloud = rooms(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4)))
+    p = cloud.select(F.col("hall").cast("long").alias("graph"), "part", "x", "y", "z", stop).withColumn("node", F.col("part") + 4 * F.col("round"))
+    yaw, cx, cy = F.col("round") * 0.15, 3 + 0.3 * F.col("round"), 2 - 0.2 * F.col("round")
+    dx, dy = F.col("x") - cx, F.col("y") - cy
+    scans = p.select("graph", "node", (F.cos(yaw) * dx + F.sin(yaw) * dy).alias("x"), (F.cos(yaw) * dy - F.sin(yaw) * dx).alias("y"), (F.col("z") - 1.2).alias("z"))
+    nodes = p.select("graph", "node", "round").distinct()
+    off = F.col("node") * 0.02
+    half = yaw / 2 + off / 4
+    poses = nodes.select("graph", "node", F.array(cx + off, cy - off / 2, 1.2 + off).alias("t"), F.array(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half)).alias("q"))
+    return A.stored(scans, "scans"), A.stored(poses, "poses")
+
+
+@query()
+def loop_closures(spark, sf_dir):
+    """Revisits by appearance and by place, registered by closest points from two guesses, with the first reason that turns a loop down."""
+    from prismfield.operators import registration as R
+
+    scans, poses = revisited_rooms(spark, sf_dir)
+    seen = R.appearance_candidates(A.stored(R.descriptors(scans, radius=8.0), "descriptors"), 0.35, 0.35, excluded=2)
+    pairs = A.stored(seen.select("graph", "i", "j").union(R.place_candidates(poses, 1.0, 4).select("graph", "i", "j")).distinct(), "candidates")
+    out = R.close_loops(pairs, poses, scans, A.stored, distance=0.5, coarse=1.0, steps=(5, 3), most_rmse=0.2)
+    return out.select("graph", "i", "j", "reason", F.round("rmse", 4).alias("rmse"), F.round("overlap", 4).alias("overlap"), F.round("shift", 3).alias("shift"))

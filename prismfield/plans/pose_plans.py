@@ -68,7 +68,7 @@ def rolling_turn_class(spark, sf_dir):
 
 @query(f"""WITH {_E}, f AS (SELECT user_id, row_number() OVER {_W} AS n, value > 15 AS up FROM e), g AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, up ORDER BY n) AS isl FROM f), r AS (SELECT user_id, isl, count(*) AS len FROM g WHERE up GROUP BY ALL) SELECT user_id, coalesce(sum(len) FILTER (len >= 3), 0)::BIGINT AS opened, sum(len)::BIGINT AS before, coalesce(max(len), 0)::BIGINT AS longest FROM r GROUP BY user_id""")
 def binary_opening(spark, sf_dir):
-    """Runs shorter than k vanish, others keep their whole extent."""
+    """Runs shorter than k vanish, others keep their whole extent."""
     e = _events(spark, sf_dir).withColumn("n", F.row_number().over(_path()))
     r = T.runs(e, ["user_id"], "n", F.col("value") > 15)
     return r.groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("length") >= 3, F.col("length"))), F.lit(0)).alias("opened"), F.sum("length").alias("before"), F.coalesce(F.max("length"), F.lit(0)).alias("longest"))

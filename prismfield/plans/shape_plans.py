@@ -64,7 +64,7 @@ def grid_cleanup_and_voids(spark, sf_dir):
 l AS (SELECT frame, cls, i, j, min(a * 100 + b) AS root FROM r GROUP BY ALL), g AS (SELECT l.frame, l.cls, root, count(*) AS area, min(l.i) AS i0, max(l.i) AS i1, round(avg(n), 5) AS confidence FROM l JOIN c USING (frame, i, j) GROUP BY ALL HAVING count(*) >= 4)
 SELECT frame, cls, row_number() OVER (PARTITION BY frame, cls ORDER BY root) AS region, area, i0, i1, confidence FROM g""")
 def class_raster_regions(spark, sf_dir):
-    """Connected regions of each class of a raster; small ones go; numbers in row order, bounds, mean confidence."""
+    """Connected regions of each class of a raster; small ones go; numbers in row order, bounds, mean confidence."""
     c = A.points(spark, sf_dir).groupBy("frame", F.least(F.lit(11), F.floor(F.col("x") / 4.2)).cast("long").alias("i"), F.least(F.lit(11), F.floor(F.col("y") / 8.5)).cast("long").alias("j")).agg(F.count("*").alias("n"))
 
     def run(k, pdf):
@@ -95,7 +95,7 @@ def chained_clusters(spark, sf_dir):
 @query(f"""WITH c AS (SELECT l_suppkey AS face, l_extendedprice / 1000 AS a, l_extendedprice / 1000 + l_quantity / 40 AS b FROM lineitem WHERE l_linenumber = 1), m AS (SELECT face, a, b, max(b) OVER (PARTITION BY face ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
 s AS (SELECT face, greatest(0, coalesce(reach, 0)) AS a, least(100, a) AS b FROM m UNION ALL SELECT face, max(b), 100.0 FROM c GROUP BY face) SELECT face, count(*) AS segments, round(sum(b - a), 5) AS free, round(max(b - a), 5) AS longest FROM s WHERE b - a > 0.05 GROUP BY face""")
 def wall_segments(spark, sf_dir):
-    """What the covers of a face leave free, as segments."""
+    """What the covers of a face leave free, as segments."""
     w = Window.partitionBy("face").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     c = A.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("face"), (F.col("l_extendedprice") / 1000).alias("a"), (F.col("l_extendedprice") / 1000 + F.col("l_quantity") / 40).alias("b"))
     inner = c.select("face", F.greatest(F.lit(0.0), F.coalesce(F.max("b").over(w), F.lit(0.0))).alias("p"), F.least(F.lit(100.0), "a").alias("q"))
@@ -114,7 +114,7 @@ def snapped_grid_lines(spark, sf_dir):
 
 @query("""SELECT p_partkey, CASE WHEN p_size < 3 THEN 'too_narrow' WHEN p_size > 45 THEN 'too_wide' WHEN p_retailprice < 950 THEN 'too_low' WHEN p_brand LIKE '%5' THEN 'sparse' END AS reason, (p_size BETWEEN 3 AND 45) AND p_retailprice >= 950 AND p_brand NOT LIKE '%5' AS accepted FROM part""")
 def window_gates(spark, sf_dir):
-    """Quality gates in order, the first that fails is the reason."""
+    """Quality gates in order, the first that fails is the reason."""
     p = A.table(spark, sf_dir, "part")
     reason = F.when(F.col("p_size") < 3, "too_narrow").when(F.col("p_size") > 45, "too_wide").when(F.col("p_retailprice") < 950, "too_low").when(F.col("p_brand").endswith("5"), "sparse")
     return p.select("p_partkey", reason.alias("reason"), reason.isNull().alias("accepted"))
@@ -132,7 +132,7 @@ def floor_gap_and_grow(spark, sf_dir):
 @query("""WITH b AS (SELECT o_custkey AS wall, o_totalprice % 1000 AS a, o_totalprice % 1000 + 60 + o_orderkey % 90 AS z, CASE WHEN o_orderstatus = 'F' THEN 'door' ELSE 'window' END AS cls FROM orders), g AS (SELECT wall, generate_series * 100.0 AS lo, generate_series * 100.0 + 80 AS hi FROM (SELECT DISTINCT wall FROM b), generate_series(0, 9)),
 v AS (SELECT g.wall, lo, cls, sum(least(hi, z) - greatest(lo, a)) AS w FROM g JOIN b ON b.wall = g.wall AND least(hi, z) - greatest(lo, a) > 0 GROUP BY ALL) SELECT wall, (lo / 100)::BIGINT AS bay, arg_min(cls, (-round(w, 6), cls)) AS cls, round(sum(w), 4) AS overlap FROM v GROUP BY wall, lo""")
 def bay_class_votes(spark, sf_dir):
-    """Bays of a wall take the class of the openings that overlap them most; a door wins ties."""
+    """Bays of a wall take the class of the openings that overlap them most; a door wins ties."""
     b = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("wall"), (F.col("o_totalprice") % 1000).alias("a"), (F.col("o_totalprice") % 1000 + 60 + F.col("o_orderkey") % 90).alias("z"), F.when(F.col("o_orderstatus") == "F", "door").otherwise("window").alias("cls"))
     g = b.withColumn("bay", F.explode(F.sequence(F.floor(F.col("a") / 100), F.least(F.lit(9), F.floor(F.col("z") / 100)))))
     g = g.withColumn("w", F.least(F.col("bay") * 100 + 80, "z") - F.greatest(F.col("bay") * 100, "a")).where("w > 0").groupBy("wall", "bay", "cls").agg(F.sum("w").alias("w"))
