@@ -35,15 +35,19 @@ def pose_graph_optimisation(spark, sf_dir):
 
 
 def revisited_rooms(spark, sf_dir):
-    """Scans and poses of a path of twelve stops in each hall: stops four apart see the same points, displaced; the path's own poses drift."""
+    """Scans and poses of a path of eight stops in each hall: stops four apart see the same points, displaced; the path's own poses drift.
+
+    As for any keyframe, a scan is what its points average to in cells of 0.3 metres: its size is the room's, not the data's.
+    """
     from .plane_plans import rooms
 
-    stop = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("round")
+    stop = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("round")
     cloud = rooms(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4)))
     p = cloud.select(F.col("hall").cast("long").alias("graph"), "part", "x", "y", "z", stop).withColumn("node", F.col("part") + 4 * F.col("round"))
     yaw, cx, cy = F.col("round") * 0.15, 3 + 0.3 * F.col("round"), 2 - 0.2 * F.col("round")
     dx, dy = F.col("x") - cx, F.col("y") - cy
     scans = p.select("graph", "node", (F.cos(yaw) * dx + F.sin(yaw) * dy).alias("x"), (F.cos(yaw) * dy - F.sin(yaw) * dx).alias("y"), (F.col("z") - 1.2).alias("z"))
+    scans = scans.groupBy("graph", "node", *(F.floor(F.col(a) / 0.3).alias(f"c{a}") for a in "xyz")).agg(*(F.avg(a).alias(a) for a in "xyz")).drop("cx", "cy", "cz")
     nodes = p.select("graph", "node", "round").distinct()
     off = F.col("node") * 0.02
     half = yaw / 2 + off / 4
@@ -59,5 +63,5 @@ def loop_closures(spark, sf_dir):
     scans, poses = revisited_rooms(spark, sf_dir)
     seen = R.appearance_candidates(A.stored(R.descriptors(scans, radius=8.0), "descriptors"), 0.35, 0.35, excluded=2)
     pairs = A.stored(seen.select("graph", "i", "j").union(R.place_candidates(poses, 1.0, 4).select("graph", "i", "j")).distinct(), "candidates")
-    out = R.close_loops(pairs, poses, scans, A.stored, distance=0.5, coarse=1.0, steps=(5, 3), most_rmse=0.2)
+    out = R.close_loops(pairs, poses, scans, A.stored, distance=0.4, coarse=0.6, steps=(4, 3), most_rmse=0.12)
     return out.select("graph", "i", "j", "reason", F.round("rmse", 4).alias("rmse"), F.round("overlap", 4).alias("overlap"), F.round("shift", 3).alias("shift"))

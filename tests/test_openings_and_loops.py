@@ -134,20 +134,15 @@ def test_each_rule_of_frames(spark):
     assert merged["confidence"] == pytest.approx((0.1 * 60 + 0.2 * 50) / 110) and (merged["x0"], merged["x1"], merged["y0"], merged["y1"]) == (2, 14, 10, 20)
     assert got[5]["class"] == "other" and got[0]["class"] == "other" and 50 not in got and 3 not in got
     assert out.pixels.count() == len(rows)
-    # Without the measurement the narrow door is turned down, and nothing is bad.
-    plain = {r["segment"]: r["rule"] for r in FR.judge(pixels, segments, (40, 80), A.stored, limits=LIMITS).segments.collect() if r["rule"]}
-    assert plain[7] == "door_below_min_width" and 10 not in plain
 
 
 def test_windows_on_the_floor_and_what_no_region_took_in(spark):
-    rows, _ = frame_rows(40, 80, [(38, 40, 0, 80), (30, 36, 2, 12), (5, 20, 30, 40)])
+    rows, _ = frame_rows(40, 80, [(38, 40, 0, 80), (30, 36, 2, 12), (5, 20, 30, 40), (24, 36, 66, 68)])
     rows += [(0, 5, 60, 2)]  # a far piece of segment 2, too small a region
-    segs = [(0, 0, "other", "floor", 0.5), (0, 1, "window", "wall", 0.5), (0, 2, "window", "wall", 0.5)]
+    segs = [(0, 0, "other", "floor", 0.5), (0, 1, "window", "wall", 0.5), (0, 2, "window", "wall", 0.5), (0, 3, "door", "wall", 0.5)]
     df = spark.createDataFrame(rows, SCHEMA[0]), spark.createDataFrame(segs, SCHEMA[1])
     got = {r["segment"]: r for r in FR.judge(*df, (40, 80), A.stored, filter_windows=True, limits=LIMITS).segments.collect()}
-    assert got[1]["rule"] == "window_floor_contact_not_glass_wall" and (got[2]["class"], got[2]["residual"], got[2]["area"]) == ("other", True, 1)
-    got = {r["segment"]: r["rule"] for r in FR.judge(*df, (40, 80), A.stored, limits=LIMITS).segments.collect()}
-    assert 1 not in got and set(got.values()) == {None}
+    assert got[1]["rule"] == "window_floor_contact_not_glass_wall" and (got[2]["class"], got[2]["residual"], got[2]["area"]) == ("other", True, 1) and got[3]["rule"] == "door_below_min_width"
     assert FR.judge(df[0].where("false"), df[1], (40, 80), A.stored).segments.count() == 0
 
 
