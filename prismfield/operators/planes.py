@@ -60,27 +60,44 @@ def draw(points: DataFrame, keys: list[str], trials: int, salt: Column, id_col:
     return out.selectExpr(*keys, "trial", "hx", "hy", "hz", "-(hx * x0 + hy * y0 + hz * z0) AS hd")
 
 
-# Least-squares plane from second moments: the axis with the largest determinant is solved for.
+#: Least-squares plane from second moments: the axis with the largest determinant is solved for.
 _DET = {"x": "yy * zz - yz * yz", "y": "xx * zz - xz * xz", "z": "xx * yy - xy * xy"}
 _XY, _XZ, _YZ = "xz * yz - xy * zz", "xy * yz - xz * yy", "xy * xz - yz * xx"
 _SOLVED = {"x": (_DET["x"], _XY, _XZ), "y": (_XY, _DET["y"], _YZ), "z": (_XZ, _YZ, _DET["z"])}
+_PAIRS = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+
+
+def _from_moments(p: pd.DataFrame) -> pd.DataFrame:
+    """(nx, ny, nz, d, rms) of each row of means; nulls for points on a line."""
+    c = {a: p[f"c{a}"].to_numpy(float) for a in AXES}
+    m = {a + b: p[f"m{a}{b}"].to_numpy(float) - c[a] * c[b] for a, b in _PAIRS}
+    table = pd.DataFrame(m)
+    value = lambda e: table.eval(e, engine="python").to_numpy()
+    det = np.stack([value(_DET[a]) for a in AXES])
+    first = np.where((det[0] >= det[1]) & (det[0] >= det[2]), 0, np.where(det[1] >= det[2], 1, 2))
+    raw = [np.choose(first, [value(_SOLVED[a][i]) for a in AXES]) for i in range(3)]
+    size = np.where(det.max(0) > 1e-18, np.sqrt(raw[0] * raw[0] + raw[1] * raw[1] + raw[2] * raw[2]), np.nan)
+    nx, ny, nz = (r / size for r in raw)
+    spread = nx * nx * m["xx"] + ny * ny * m["yy"] + nz * nz * m["zz"] + 2 * (nx * ny * m["xy"] + nx * nz * m["xz"] + ny * nz * m["yz"])
+    return pd.DataFrame({"nx": nx, "ny": ny, "nz": nz, "d": -(nx * c["x"] + ny * c["y"] + nz * c["z"]), "rms": np.sqrt(np.maximum(spread, 0))}, index=p.index)
 
 
 def refit(inliers: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, inliers, cx, cy, cz, nx, ny, nz, d, rms) of the least-squares plane of each key's points; the largest part of the normal is positive.
 
-    Points on a line or a single one have a null normal.
+    Points on a line or a single one have a null normal. The points are summed up by columns; a row of sums a key is solved in whole arrays,
+    as nested column formulas would be written out again and again by the optimiser.
     """
-    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    sums = inliers.groupBy(*keys).agg(F.count("*").alias("inliers"), *(F.avg(a).alias(f"c{a}") for a in AXES), *(F.avg(F.col(a) * F.col(b)).alias(f"m{a}{b}") for a, b in pairs))
-    s = sums.selectExpr(*keys, "inliers", "cx", "cy", "cz", *(f"m{a}{b} - c{a} * c{b} AS {a}{b}" for a, b in pairs))
-    s = s.selectExpr("*", *(f"{v} AS det_{a}" for a, v in _DET.items()))
-    pick = lambda i: f"CASE WHEN det_x >= det_y AND det_x >= det_z THEN {_SOLVED['x'][i]} WHEN det_y >= det_z THEN {_SOLVED['y'][i]} ELSE {_SOLVED['z'][i]} END"
-    s = s.selectExpr("*", *(f"{pick(i)} AS r{a}" for i, a in enumerate(AXES)))
-    s = s.selectExpr("*", "CASE WHEN greatest(det_x, det_y, det_z) > 1e-18 THEN sqrt(rx * rx + ry * ry + rz * rz) END AS size")
-    s = s.selectExpr("*", "rx / size AS nx", "ry / size AS ny", "rz / size AS nz")
-    spread = "nx * nx * xx + ny * ny * yy + nz * nz * zz + 2 * (nx * ny * xy + nx * nz * xz + ny * nz * yz)"
-    return s.selectExpr(*keys, "inliers", "cx", "cy", "cz", "nx", "ny", "nz", "-(nx * cx + ny * cy + nz * cz) AS d", f"sqrt(greatest({spread}, 0)) AS rms")
+    sums = inliers.groupBy(*keys).agg(F.count("*").alias("inliers"), *(F.avg(a).alias(f"c{a}") for a in AXES), *(F.avg(F.col(a) * F.col(b)).alias(f"m{a}{b}") for a, b in _PAIRS))
+    kept = [*keys, "inliers", "cx", "cy", "cz"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields if f.name in kept)
+
+    def run(batches):
+        for p in batches:
+            if len(p):
+                yield pd.concat([p[kept], _from_moments(p)], axis=1)
+
+    return sums.mapInPandas(run, f"{kinds}, nx double, ny double, nz double, d double, rms double")
 
 
 def _counts(points: DataFrame, each: DataFrame, keys: list[str], threshold: float) -> DataFrame:

@@ -65,3 +65,18 @@ def loop_closures(spark, sf_dir):
     pairs = A.stored(seen.select("graph", "i", "j").union(R.place_candidates(poses, 1.0, 4).select("graph", "i", "j")).distinct(), "candidates")
     out = R.close_loops(pairs, poses, scans, A.stored, distance=0.4, coarse=0.6, steps=(4, 3), most_rmse=0.12)
     return out.select("graph", "i", "j", "reason", F.round("rmse", 4).alias("rmse"), F.round("overlap", 4).alias("overlap"), F.round("shift", 3).alias("shift"))
+
+
+@query()
+def drift_correction(spark, sf_dir):
+    """Paths whose attitude tilts more and more: levelled on the floor of each scan, then turned on its walls."""
+    from prismfield.operators import drift as D
+
+    scans, poses = revisited_rooms(spark, sf_dir)
+    a, s, c = F.col("node") * 0.005, F.get("q", F.lit(2)), F.get("q", F.lit(3))
+    tilted = A.stored(poses.select("graph", "node", "t", F.array(F.sin(a) * c, -F.sin(a) * s, F.cos(a) * s, F.cos(a) * c).alias("q")), "tilted")
+    scans = scans.withColumn("id", F.concat_ws("/", *(F.round(x, 6) for x in ("x", "y", "z"))))
+    levelled, tilts = D.level(tilted, A.stored(D.floors(scans, A.stored, fewest=(40, 20, 15)), "floors"), A.stored)
+    levelled = A.stored(levelled, "levelled")
+    out = D.straighten(levelled, A.stored(D.walls(scans, levelled, 1.0), "walls"), A.stored, 2, 3)
+    return out.join(tilts, ["graph", "node"], "left").select("graph", "node", F.round("tilt", 3).alias("tilt"), *(F.round(F.get("t", F.lit(k)), 4).alias(x) for k, x in enumerate("xyz")))
