@@ -6,7 +6,7 @@ unknown ones the distance of b from the plane of t and R p, free of the length o
 normal equations (28 numbers a step) within batches of sightings and then over them, followed by a small update of one row a step, so a step's sightings need no single task.
 
 A first pass over all sightings is followed by one without those whose residual is beyond the median and three deviations (by the median) of its kind.
-Rejection happens once: where a seventh of the sightings is off by a tenth to one side, a few of them stay and the motion remains off; a fiftieth goes wholly.
+Rejection happens once: where a seventh of the sightings is off by a tenth to one side, a few of them stay and the motion remains off; of a fiftieth all go in most steps, not in all.
 Every step starts from the same small forward motion, not from its predecessor's, as steps are solved side by side; where FEWEST sightings have a known depth,
 these are met alone first, as sightings of unknown depth hold a short motion back (their direction turns the faster the shorter it is).
 
