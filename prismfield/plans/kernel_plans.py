@@ -112,3 +112,30 @@ def streaming_gaps(spark, sf_dir):
     from prismfield.streaming import sessions as R
 
     return R.stream_gaps(spark, f"{sf_dir}/events.parquet", 43_200_000_000)
+
+
+@query("""WITH w AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 AS passed FROM events), v AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'view'), c AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click'),
+b AS (SELECT v.user_id, v.event_id, arg_min(c.event_id, (abs(c.us - v.us), c.us, c.event_id)) AS match_id, min(abs(c.us - v.us)) AS off_us FROM v LEFT JOIN c ON v.user_id = c.user_id AND abs(c.us - v.us) <= 43200000000 WHERE (v.us // 604800000000 + 1) * 604800000000 + 43200000000 <= (SELECT passed FROM w) GROUP BY ALL)
+SELECT user_id, event_id, match_id, off_us FROM b""")
+def streaming_asof_closed(spark, sf_dir):
+    """J2 on a stream: each target is emitted once, when the watermark has passed its stretch and its tolerance, with the nearest sample or none; a timer settles it and empties the state."""
+    from prismfield.streaming import sessions as R
+    from prismfield.streaming import timers as S
+
+    out = S.asof_when_closed(R.event_stream(spark, f"{sf_dir}/events.parquet"), F.col("event_type") == "view", F.col("event_type") == "click", 43_200_000_000, 604_800_000_000, "1 hour")
+    with S.rocks_state(spark):
+        return R.run_to_table(out)
+
+
+@query("""WITH w AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 AS passed FROM events), f AS (SELECT user_id, event_id, epoch_us(ts) AS us, coalesce(value > 40, false) AS moving, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, moving ORDER BY n) AS isl FROM f), r AS (SELECT *, count(*) OVER (PARTITION BY user_id, moving, isl) AS len FROM g), h AS (SELECT *, NOT (moving AND len >= 2) AS still FROM r),
+k AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, still ORDER BY n) AS isl2 FROM h), p AS (SELECT user_id, min(n) AS first_n, max(n) AS last_n, count(*) AS length, min(us) AS start_us, max(us) AS end_us FROM k WHERE still GROUP BY user_id, isl2 HAVING count(*) >= 3)
+SELECT p.* FROM p JOIN f ON f.user_id = p.user_id AND f.n = p.last_n + 2 WHERE (f.us // 604800000000 + 1) * 604800000000 <= (SELECT passed FROM w)""")
+def streaming_poses(spark, sf_dir):
+    """W4 on a stream: poses between moves, each emitted when the watermark has passed the stretch of the move that ended it."""
+    from prismfield.streaming import sessions as R
+    from prismfield.streaming import timers as S
+
+    out = S.poses_when_closed(R.event_stream(spark, f"{sf_dir}/events.parquet"), F.col("value") > 40, 604_800_000_000, "1 hour")
+    with S.rocks_state(spark):
+        return R.run_to_table(out)
