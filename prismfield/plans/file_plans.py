@@ -222,3 +222,21 @@ def building_model_export(spark, sf_dir):
     """Surfaces as objects of a building model in its text form, one per row: an external exporter writes them as they are."""
     kind = F.element_at(F.array(F.lit("Floor"), F.lit("Wall"), F.lit("RoofCeiling")), (F.col("s_nationkey") % 3 + 1).cast("int"))
     return A.table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("OS:Surface,\n  {%d},\n  %s,\n  %s,\n  0, 0, %d;\n", "s_suppkey", "s_name", kind, "s_nationkey").alias("object"))
+
+
+@query("""SELECT user_id % 20 AS recording, '/rig/' || replace(event_type, 'view', 'camera') AS topic, count(*) AS n, min(epoch_us(ts)) AS first_stamp, max(epoch_us(ts)) AS last_stamp, round(sum(value), 4) AS total
+FROM events WHERE event_type IN ('click', 'view', 'purchase') AND ts >= TIMESTAMP '2024-01-10' GROUP BY ALL""")
+def recording_rewrite(spark, sf_dir):
+    """All events written as recordings in splits, converted to others with topics filtered and renamed, read back from a time on; splits are the partitions."""
+    from prismfield.sources import recordings as S
+
+    S.register(spark)
+    stamp = A.epoch_us("ts").alias("stamp")
+    e = A.table(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL")
+    m = e.select((F.col("user_id") % 20).cast("long").alias("recording"), F.concat(F.lit("/"), "event_type").alias("topic"), F.col("event_id").cast("long").alias("id"), stamp, F.col("value").cast("string").cast("binary").alias("data"))
+    base = f"{A.shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    S.sorted_for_writing(m).write.format("recording").mode("overwrite").save(f"{base}/taken")
+    S.convert(spark, f"{base}/taken", f"{base}/converted", ["/click", "/view", "/purchase"], {"/": "/rig/", "/view": "/rig/camera"})
+    got = spark.read.format("recording").load(f"{base}/converted").where(F.col("stamp") >= 1_704_844_800_000_000)
+    total = F.round(F.sum(F.col("data").cast("string").cast("double")), 4).alias("total")
+    return got.groupBy("recording", "topic").agg(F.count("*").alias("n"), F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp"), total)
