@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prismfield.functions import geometry as G
 from prismfield.operators import space as S
+from prismfield.operators.quantiles import spread_quantiles
 from prismfield.sources import adapters as A
 
 from .registry import query
@@ -177,7 +178,7 @@ SELECT band::INTEGER AS band, bin, n, round((SELECT lo FROM z), 5) AS floor_y, r
 def banded_profile(spark, sf_dir):
     """Counts per bin in overlapping bands (each row serves two), with the percentile floor and ceiling."""
     p = A.points(spark, sf_dir)
-    z = p.agg(F.percentile("y", F.array(F.lit(0.02), F.lit(0.98))).alias("q")).select(F.round(F.col("q")[0], 5).alias("floor_y"), F.round(F.col("q")[1], 5).alias("ceiling_y"))
+    z = spread_quantiles(p, [], "y", {"floor": 0.02, "ceiling": 0.98}).select(*(F.round(n, 5).alias(f"{n}_y") for n in ("floor", "ceiling")))
     top = F.floor(F.col("y") / 10).cast("int")
     b = p.withColumn("band", F.explode(F.array(top - 1, top))).where(F.col("band").between(0, 9))
     return b.groupBy("band", F.floor("x").cast("bigint").alias("bin")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(z))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prismfield.functions import radiometry as R
 from prismfield.operators import space as S
+from prismfield.operators.quantiles import spread_quantiles
 from prismfield.sources import adapters as A
 
 from .registry import query
@@ -124,9 +125,10 @@ def construction_binning(spark, sf_dir):
 SELECT material, round(quantile_cont(t_c, 0.05), 4) AS p05, round(quantile_cont(t_c, 0.1), 4) AS p10, round(quantile_cont(t_c, 0.5), 4) AS p50,
   round(quantile_cont(t_c, 0.95), 4) AS p95, round(quantile_cont(t_c, 0.1) - 20.0, 4) AS offset_c FROM p GROUP BY material""")
 def sensor_offset_percentiles(spark, sf_dir):
-    p = A.thermal_obs(spark, sf_dir).groupBy("material").agg(F.percentile("t_c", F.array(*map(F.lit, (0.05, 0.1, 0.5, 0.95)))).alias("q"))
-    names = ("p05", "p10", "p50", "p95")
-    return p.select("material", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(names)), F.round(F.col("q")[1] - 20.0, 4).alias("offset_c"))
+    """Percentiles of each material and its offset; no task holds a material's temperatures."""
+    shares = {"p05": 0.05, "p10": 0.1, "p50": 0.5, "p95": 0.95}
+    q = spread_quantiles(A.thermal_obs(spark, sf_dir), ["material"], "t_c", shares)
+    return q.select("material", *(F.round(n, 4).alias(n) for n in shares), F.round(F.col("p10") - 20.0, 4).alias("offset_c"))
 
 
 @query(f"""WITH {A.THERMAL_SQL}, {A.MATERIALS_SQL},

@@ -1,9 +1,9 @@
 """Recordings as a partitioned source and sink: `spark.read.format("recording")` and `df.write.format("recording")`.
 
-A recording is a folder of splits, each an SQLite database of topics and messages of at most `messages` rows, as recorders cut long runs into files. Beside the splits lies a
+A recording is a folder of splits, each an SQLite database of topics and messages of at most `messages` rows and, but for its last message, `bytes` of payload, as recorders cut long runs into files. Beside the splits lies a
 list with one line a split: its file, recording, topics, first and last stamp, and number of messages. A partition is one split, so a recording of any length is read
-and written in parts of bounded size, by as many tasks as it has splits. Filters on recording, topic and stamp pass over whole splits by the list, and what a split's own index
-answers is asked of it, not of Spark.
+and written in parts of bounded size, by as many tasks as it has splits. Filters on recording, topic and stamp pass over whole splits by the list, and what is left of them
+is asked of a split's database, not of Spark.
 
 Writing streams: a task closes a split when it is full or the recording changes, and never holds more than one. A split is written under a name of its attempt; the
 list, made when all tasks have reported, names only what counts, so a retried or speculative task adds nothing. Reporting is one line a split. Rows come in the order of the
@@ -144,6 +144,7 @@ class Writer(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool) -> None:
         self.base = options["path"].rstrip("/")
         self.most = int(options.get("messages", 100_000))
+        self.most_bytes = int(options.get("bytes", 64 << 20))
         if not overwrite:
             raise ValueError("a folder of recordings is written as a whole: use mode('overwrite') and a new folder")
 
@@ -156,7 +157,7 @@ class Writer(DataSourceArrowWriter):
         def close():
             if not open_split:
                 return
-            db, names, recording, low, high, n = open_split
+            db, names, recording, low, high, n, _ = open_split
             db.commit()
             path = f"{recording}-{uuid.uuid4().hex}.db3"
             with store.open_output_stream(f"{folder}/{path}", compression=None) as f:
@@ -169,19 +170,19 @@ class Writer(DataSourceArrowWriter):
             for recording, topic, number, stamp, data in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in FIELDS), strict=True):
                 if recording is None or topic is None or stamp is None:
                     raise ValueError(f"message {number} without a recording, topic or stamp")
-                if open_split and (open_split[2] != recording or open_split[5] >= self.most):
+                if open_split and (open_split[2] != recording or open_split[5] >= self.most or open_split[6] >= self.most_bytes):
                     close()
                 if not open_split:
                     db = sqlite3.connect(":memory:")
                     db.execute("CREATE TABLE topics (id INTEGER PRIMARY KEY, name TEXT)")
                     db.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER, number INTEGER, timestamp INTEGER, data BLOB)")
-                    open_split[:] = [db, {}, recording, stamp, stamp, 0]
+                    open_split[:] = [db, {}, recording, stamp, stamp, 0, 0]
                 db, names, *_ = open_split
                 if topic not in names:
                     names[topic] = len(names) + 1
                     db.execute("INSERT INTO topics VALUES (?, ?)", (names[topic], topic))
                 db.execute("INSERT INTO messages (topic_id, number, timestamp, data) VALUES (?, ?, ?, ?)", (names[topic], number, stamp, data))
-                open_split[3:] = [min(open_split[3], stamp), max(open_split[4], stamp), open_split[5] + 1]
+                open_split[3:] = [min(open_split[3], stamp), max(open_split[4], stamp), open_split[5] + 1, open_split[6] + len(data or b"")]
         close()
         return Written(splits)
 

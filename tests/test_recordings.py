@@ -37,6 +37,13 @@ def test_all_rows_come_back_from_splits_of_bounded_size(spark, base):
     assert max(s["n"] for s in splits) == 16 and sum(s["n"] for s in splits) == len(ROWS) and _read(spark, base).rdd.getNumPartitions() == len(splits)
 
 
+def test_long_payloads_end_a_split_early(spark, base, tmp_path):
+    rows = [(1, "/a", k, k, b"x" * 100) for k in range(20)]
+    df = S.sorted_for_writing(spark.createDataFrame(rows, S.SCHEMA), 1)
+    df.write.format("recording").option("bytes", 250).mode("overwrite").save(f"{tmp_path}/long")
+    assert [s["n"] for s in _list(f"{tmp_path}/long")] == [3] * 6 + [2] and _plain(_read(spark, f"{tmp_path}/long").collect()) == _plain(rows)
+
+
 @pytest.mark.parametrize("rule", ["recording = 2", "topic = '/a' AND stamp > 1010", "stamp = 1005", "topic IN ('/b', '/c') AND stamp BETWEEN 1004 AND 1020", "topic = '/none'", "stamp < 1000 OR id = 3", "topic = '/a' AND topic = '/b'", "data IS NULL AND stamp <= 1004"])
 def test_filters_equal_spark_filters(spark, base, rule):
     want = spark.createDataFrame(ROWS, S.SCHEMA).where(rule).collect()
