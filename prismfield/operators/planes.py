@@ -225,9 +225,9 @@ def largest_patches(flat: DataFrame, keys: list[str], gap: float, cut, fewest: i
     ahead = [(0, 1), (1, -1), (1, 0), (1, 1)]
     moves = F.explode(F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ahead))).alias("m")
     asked = cells.select(*keys, node.alias("src"), "i", "j", moves).select(*keys, "src", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"))
-    edges = asked.join(cells.select(*keys, "i", "j", node.alias("dst")), [*keys, "i", "j"]).select("src", "dst")
-    label = connected_components(edges, cut)
-    named = cells.withColumn("node", node).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    edges = asked.join(cells.select(*keys, "i", "j", node.alias("dst")).hint("merge"), [*keys, "i", "j"]).select("src", "dst")
+    label = connected_components(edges, cut, merge=True)
+    named = cells.withColumn("node", node).join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy(*keys, "component").agg(F.sum("n").alias("size"))
     whole = Window.partitionBy(*keys)
     chosen = sizes.withColumn("all", F.sum("size").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.desc("size"), "component")))

@@ -226,3 +226,41 @@ def test_candidates_by_appearance_and_by_place(spark):
     p = np.array([[k % 10, 0.1 * k] for k in range(40)])
     want = {(i, j) for i in range(40) for j in range(40) if j - i >= 8 and np.hypot(*(p[i] - p[j])) <= 1.5}
     assert {(r["i"], r["j"]) for r in R.place_candidates(at, 1.5, 8).collect()} == want and len(want) > 10
+
+
+def _plans_of_judge(spark):
+    """Plans of all tables that `judge` stores, and of its records, for a few pixels: as small to Spark as millions that compress well."""
+    pixels = spark.createDataFrame([(f, 3, c, 1 + c // 5) for f in range(3) for c in range(10)], "frame long, row int, col int, segment int")
+    segments = spark.createDataFrame([(f, s, k, "wall", 0.5) for f in range(3) for s, k in ((1, "door"), (2, "window"))], "frame long, segment int, class string, zone string, confidence double")
+    plans = []
+
+    def cut(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return A.stored(df, label)
+
+    out = FR.judge(pixels, segments, (10, 10), cut)
+    return plans, out.segments._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frame_rules_broadcast_no_table_of_pixels(spark):
+    plans, _ = _plans_of_judge(spark)
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_frame_regions_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(8)
+    cells = {f: {(rng.randrange(30), rng.randrange(40)) for _ in range(110)} for f in range(3)}
+    df = spark.createDataFrame([(f, r, c, 0) for f, s in cells.items() for r, c in s], "frame long, row int, col int, segment int")
+    got = {(x.frame, x.row, x.col): tuple(x.region) for x in FR.regions_of(df, 1, A.stored).collect()}
+    want = {}
+    for f, s in cells.items():
+        for start in sorted(s):
+            todo = [] if (f, *start) in want else [start]
+            while todo:
+                r, c = todo.pop()
+                if (f, r, c) not in want:
+                    want[f, r, c] = start
+                    todo += [(a, b) for a, b in s if max(abs(a - r), abs(b - c)) <= 3 and min(abs(a - r), abs(b - c)) < 3]
+    assert got == want
