@@ -264,3 +264,7 @@ def test_frame_regions_equal_a_plain_search(spark):
                     want[f, r, c] = start
                     todo += [(a, b) for a, b in s if max(abs(a - r), abs(b - c)) <= 3 and min(abs(a - r), abs(b - c)) < 3]
     assert got == want
+
+
+def test_frame_records_broadcast_no_table_of_segments(spark):
+    assert "BroadcastHashJoin" not in _plans_of_judge(spark)[1]
