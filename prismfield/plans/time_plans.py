@@ -71,12 +71,18 @@ def gap_detection(spark, sf_dir):
     return g.select("event_type", "user_id", *(F.round(c, 3).alias(c) for c in ("start_t", "end_t", "dur")), "missing")
 
 
+def _rate(steps, span):
+    """Steps a second as doubles divide: infinite over no time, NaN for no step."""
+    return F.when(span != 0, steps / F.nullif(span, F.lit(0.0))).when((span == 0) & (steps > 0), F.lit(float("inf"))).when(span == 0, F.lit(float("nan")))
+
+
 @query(f"""WITH {_E}, d AS (SELECT event_type, user_id, t, t - lag(t) OVER (PARTITION BY event_type, user_id ORDER BY t) AS dt FROM e)
 SELECT event_type, user_id, count(*) AS n, round((count(*) - 1) / (max(t) - min(t)), 9) AS mean_hz, round(median(dt), 6) AS median_dt, round(stddev_pop(dt), 4) AS jitter, round(max(dt), 4) AS max_dt FROM d GROUP BY event_type, user_id""")
 def continuity_stats(spark, sf_dir):
+    """Rate and steps of each series; samples at one time have an infinite rate, a single one has none (NaN)."""
     w = Window.partitionBy("event_type", "user_id").orderBy("t")
     d = _events(spark, sf_dir).withColumn("dt", F.col("t") - F.lag("t").over(w))
-    return d.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round((F.count("*") - 1) / (F.max("t") - F.min("t")), 9).alias("mean_hz"), F.round(F.median("dt"), 6).alias("median_dt"), F.round(F.stddev_pop("dt"), 4).alias("jitter"), F.round(F.max("dt"), 4).alias("max_dt"))
+    return d.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round(_rate(F.count("*") - 1, F.max("t") - F.min("t")), 9).alias("mean_hz"), F.round(F.median("dt"), 6).alias("median_dt"), F.round(F.stddev_pop("dt"), 4).alias("jitter"), F.round(F.max("dt"), 4).alias("max_dt"))
 
 
 @query(f"""WITH {_E}, n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 1800 THEN 1 ELSE 0 END AS nw FROM e),
