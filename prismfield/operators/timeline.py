@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def _edges(samples: DataFrame, width: float, fields: list[str]) -> DataFrame:
-    """First and last sample of each bucket: small, one row per bucket."""
-    return samples.withColumn("b", F.floor(F.col("t") / width)).groupBy("b").agg(F.min_by(F.struct("t", *fields), "t").alias("lo"), F.max_by(F.struct("t", *fields), "t").alias("hi"))
+    """First and last sample of each bucket, of those at one time the one with the smallest fields: small, one row per bucket."""
+    by = samples.withColumn("b", F.floor(F.col("t") / width)).groupBy("b").agg(F.min(F.struct("t", *fields)).alias("lo"), F.min(F.struct((-F.col("t")).alias("back"), *fields)).alias("hi"))
+    return by.select("b", "lo", F.struct((-F.col("hi.back")).alias("t"), *(F.col("hi")[f].alias(f) for f in fields)).alias("hi"))
 
 
 def bucket_width(samples: DataFrame, per_bucket: int = 100_000) -> float:
@@ -24,21 +25,21 @@ def bucket_width(samples: DataFrame, per_bucket: int = 100_000) -> float:
 
 
 def bracket(targets: DataFrame, samples: DataFrame, fields: list[str], width: float | None = None) -> DataFrame:
-    """Targets (any columns, `t`) with `prev` and `next`: the samples at or before, and after, each target.
+    """Targets (any columns, `t`) with `prev` and `next`: the samples at or before, and after, each target. Of samples at one time it is the one with the smallest fields.
 
     Rows are bucketed by time (by the samples' rate where no width is given). Inside a bucket two
     running windows, one in each direction, find the neighbours; where a bucket has none on one
     side, the nearest edge of another bucket fills in. The table of edges has a row per bucket
     and is ordered in one task, which the width keeps small.
     """
-    s = samples.select("t", *fields)
+    s = samples.where("t IS NOT NULL").select("t", *fields)
     width = width or bucket_width(s)
     tagged = s.select(F.floor(F.col("t") / width).alias("b"), "t", F.lit(0).alias("side"), F.struct("t", *fields).alias("s"), F.lit(None).alias("row"))
     t = targets.select(F.floor(F.col("t") / width).alias("b"), "t", F.lit(1).alias("side"), F.lit(None).cast(tagged.schema["s"].dataType).alias("s"), F.struct("*").alias("row"))
     both = tagged.withColumn("row", F.lit(None).cast(t.schema["row"].dataType)).unionByName(t)
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    back = F.last("s", True).over(so_far(Window.partitionBy("b").orderBy("t", "side")))
-    ahead = F.last("s", True).over(so_far(Window.partitionBy("b").orderBy(F.desc("t"), F.desc("side"))))
+    back = F.last("s", True).over(so_far(Window.partitionBy("b").orderBy("t", "side", F.desc("s"))))
+    ahead = F.last("s", True).over(so_far(Window.partitionBy("b").orderBy(F.desc("t"), F.desc("side"), F.desc("s"))))
     both = both.withColumn("prev", back).withColumn("next", ahead).where("side = 1")
     edges = _edges(s, width, fields)
     none = F.lit(None).cast(edges.schema["lo"].dataType)
@@ -50,7 +51,7 @@ def bracket(targets: DataFrame, samples: DataFrame, fields: list[str], width: fl
 
 
 def asof_nearest(targets: DataFrame, samples: DataFrame, fields: list[str], tolerance: float | None = None, width: float | None = None) -> DataFrame:
-    """Targets with `match`, the sample nearest in time; of equally near ones the earlier. Null beyond the tolerance."""
+    """Targets with `match`, the sample nearest in time; of equally near ones the earlier, of those at one time the one with the smallest fields. Null beyond the tolerance."""
     b = bracket(targets, samples, fields, width)
     back, ahead = F.col("t") - F.col("prev.t"), F.col("next.t") - F.col("t")
     match = F.when(F.col("next").isNull() | (back <= ahead), F.col("prev")).otherwise(F.col("next"))
@@ -60,9 +61,9 @@ def asof_nearest(targets: DataFrame, samples: DataFrame, fields: list[str], tole
     return out
 
 
-def interpolate(targets: DataFrame, samples: DataFrame, field: str, width: float | None = None) -> DataFrame:
-    """Targets with the linear interpolation of a field, held at both ends, and the gap to the nearest sample."""
-    b = bracket(targets, samples, [field], width)
+def interpolate(targets: DataFrame, samples: DataFrame, field: str, width: float | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Targets with the linear interpolation of a field, held at both ends, and the gap to the nearest sample. Of samples at one time the one with the smallest `ties` counts, then the smallest field."""
+    b = bracket(targets, samples, [*(ties or []), field], width)
     p, n = F.col("prev"), F.col("next")
     share = F.try_divide(F.col("t") - p["t"], n["t"] - p["t"])
     value = F.when(n.isNull(), p[field]).when(p.isNull(), n[field]).otherwise(p[field] + (n[field] - p[field]) * share)

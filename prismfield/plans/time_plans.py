@@ -14,8 +14,10 @@ _V, _C, _P = A.stream_sql("view", "v"), A.stream_sql("click", "c"), A.stream_sql
 _NEAR = """b AS (SELECT v.id, v.t, max(c.t) AS pt FROM v LEFT JOIN c ON c.t <= v.t GROUP BY v.id, v.t),
 n AS (SELECT v.id, min(c.t) AS nt FROM v LEFT JOIN c ON c.t > v.t GROUP BY v.id),
 m AS (SELECT b.id, b.t, CASE WHEN nt IS NULL OR b.t - pt <= nt - b.t THEN pt ELSE nt END AS mt FROM b JOIN n USING (id))"""
-_ASOF = """b AS (SELECT v.id, v.t, c.t AS pt, c.id AS pid, c.value AS pv FROM v ASOF LEFT JOIN c ON v.t >= c.t),
-n AS (SELECT v.id, c.t AS nt, c.id AS nid, c.value AS nv FROM v ASOF LEFT JOIN c ON v.t < c.t),
+# Of samples at one time the one with the smallest id counts.
+_ASOF = """c1 AS (SELECT t, min(id) AS id, arg_min(value, id) AS value FROM c GROUP BY t),
+b AS (SELECT v.id, v.t, c1.t AS pt, c1.id AS pid, c1.value AS pv FROM v ASOF LEFT JOIN c1 ON v.t >= c1.t),
+n AS (SELECT v.id, c1.t AS nt, c1.id AS nid, c1.value AS nv FROM v ASOF LEFT JOIN c1 ON v.t < c1.t),
 m AS (SELECT b.id, b.t, pt, nt, pv, nv, CASE WHEN nt IS NULL OR b.t - pt <= nt - b.t THEN pid ELSE nid END AS mid, CASE WHEN nt IS NULL OR b.t - pt <= nt - b.t THEN pt ELSE nt END AS mt FROM b JOIN n USING (id))"""
 
 
@@ -34,12 +36,13 @@ def asof_within_tolerance(spark, sf_dir):
 @query(f"""WITH {_V}, {_C}, {_ASOF} SELECT id,
   round(CASE WHEN nt IS NULL THEN pv WHEN pt IS NULL THEN nv ELSE pv + (nv - pv) * ((t - pt) / (nt - pt)) END, 4) AS interpolated, round(least(abs(t - pt), abs(nt - t)), 3) AS gap FROM m""")
 def pose_interpolation(spark, sf_dir):
-    out = T.interpolate(A.stream(spark, sf_dir, "view").select("id", "t"), A.stream(spark, sf_dir, "click"), "value")
+    out = T.interpolate(A.stream(spark, sf_dir, "view").select("id", "t"), A.stream(spark, sf_dir, "click"), "value", ties=["id"])
     return out.select("id", F.round("interpolated", 4).alias("interpolated"), F.round("gap", 3).alias("gap"))
 
 
 @query(f"""WITH {_V}, {_C}, {_P}, {_ASOF},
-b2 AS (SELECT v.id, v.t, p.t AS pt, p.id AS pid FROM v ASOF LEFT JOIN p ON v.t >= p.t), n2 AS (SELECT v.id, p.t AS nt, p.id AS nid FROM v ASOF LEFT JOIN p ON v.t < p.t),
+p1 AS (SELECT t, min(id) AS id FROM p GROUP BY t),
+b2 AS (SELECT v.id, v.t, p1.t AS pt, p1.id AS pid FROM v ASOF LEFT JOIN p1 ON v.t >= p1.t), n2 AS (SELECT v.id, p1.t AS nt, p1.id AS nid FROM v ASOF LEFT JOIN p1 ON v.t < p1.t),
 m2 AS (SELECT b2.id, CASE WHEN nt IS NULL OR b2.t - pt <= nt - b2.t THEN pid ELSE nid END AS mid, CASE WHEN nt IS NULL OR b2.t - pt <= nt - b2.t THEN pt ELSE nt END AS mt FROM b2 JOIN n2 USING (id))
 SELECT m.id, m.mid AS image_id, m2.mid AS pose_id, round(m.mt - m.t, 3) AS d_image, round(m2.mt - m.t, 3) AS d_pose,
   concat_ws('+', CASE WHEN abs(m.mt - m.t) > 300 THEN 'image' END, CASE WHEN abs(m2.mt - m.t) > 300 THEN 'pose' END) AS exceeds,

@@ -32,3 +32,11 @@ def test_rate_of_one_sample_and_of_samples_at_one_time(spark, tmp_path):
     got, want = both(spark, tmp_path, "continuity_stats", "events", rows, EVENTS, "user_id")
     assert [repr(r) for r in got] == [repr(r) for r in want]
     assert [repr(r[3]) for r in got] == ["nan", "inf", "0.25"]
+
+
+TIED = [(10, at(100), 1, "view", 0.0), (11, at(200), 1, "view", 0.0), (12, at(300), 1, "view", 0.0), *((i, at(90), 1, "click", float(v)) for i, v in ((25, 3.0), (21, 9.0), (23, 1.0))), *((i, at(240), 1, "click", float(v)) for i, v in ((35, 2.0), (31, 5.0), (33, 1.0))), *((i, at(280), 1, "purchase", 0.0) for i in (47, 41, 44))]
+
+
+def test_nearest_of_events_at_one_time_is_the_one_of_smallest_id(spark, tmp_path):
+    got, want = both(spark, tmp_path, "asof_nearest_events", "events", TIED, EVENTS)
+    assert got == want == [(10, 21, -10.0), (11, 31, 40.0), (12, 31, -60.0)]
