@@ -40,3 +40,8 @@ TIED = [(10, at(100), 1, "view", 0.0), (11, at(200), 1, "view", 0.0), (12, at(30
 def test_nearest_of_events_at_one_time_is_the_one_of_smallest_id(spark, tmp_path):
     got, want = both(spark, tmp_path, "asof_nearest_events", "events", TIED, EVENTS)
     assert got == want == [(10, 21, -10.0), (11, 31, 40.0), (12, 31, -60.0)]
+
+
+def test_within_tolerance_of_events_at_one_time_is_the_one_of_smallest_id(spark, tmp_path):
+    got, want = both(spark, tmp_path, "asof_within_tolerance", "events", [*TIED, (13, at(5000), 1, "view", 0.0)], EVENTS)
+    assert got == want == [(10, 21), (11, 31), (12, 31), (13, None)]
