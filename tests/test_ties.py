@@ -50,3 +50,8 @@ def test_within_tolerance_of_events_at_one_time_is_the_one_of_smallest_id(spark,
 def test_fan_out_asks_the_message_of_smallest_id(spark, tmp_path):
     got, want = both(spark, tmp_path, "nearest_fan_out", "events", TIED, EVENTS, "message")
     assert got == want == [(21, 1, "10", 10.0), (31, 2, "11,12", 60.0)]
+
+
+def test_triplets_take_images_and_poses_of_smallest_id(spark, tmp_path):
+    got, want = both(spark, tmp_path, "sync_triplets", "events", TIED, EVENTS)
+    assert got == want and [r[:3] for r in got] == [(10, 21, 41), (11, 31, 41), (12, 31, 41)]
