@@ -55,3 +55,8 @@ def test_fan_out_asks_the_message_of_smallest_id(spark, tmp_path):
 def test_triplets_take_images_and_poses_of_smallest_id(spark, tmp_path):
     got, want = both(spark, tmp_path, "sync_triplets", "events", TIED, EVENTS)
     assert got == want and [r[:3] for r in got] == [(10, 21, 41), (11, 31, 41), (12, 31, 41)]
+
+
+def test_interpolation_between_samples_at_one_time_is_between_those_of_smallest_id(spark, tmp_path):
+    got, want = both(spark, tmp_path, "pose_interpolation", "events", TIED, EVENTS)
+    assert got == want == [(10, pytest.approx(9.0 - 4.0 * 10 / 150, abs=1e-4), 10.0), (11, pytest.approx(9.0 - 4.0 * 110 / 150, abs=1e-4), 40.0), (12, 5.0, 60.0)]
