@@ -60,3 +60,10 @@ def test_triplets_take_images_and_poses_of_smallest_id(spark, tmp_path):
 def test_interpolation_between_samples_at_one_time_is_between_those_of_smallest_id(spark, tmp_path):
     got, want = both(spark, tmp_path, "pose_interpolation", "events", TIED, EVENTS)
     assert got == want == [(10, pytest.approx(9.0 - 4.0 * 10 / 150, abs=1e-4), 10.0), (11, pytest.approx(9.0 - 4.0 * 110 / 150, abs=1e-4), 40.0), (12, 5.0, 60.0)]
+
+
+def test_means_that_spread_by_just_the_limit_are_known(spark, tmp_path):
+    line = "l_suppkey long, l_partkey long, l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp_ntz"
+    rows = [(n, 1, 1, 1, 1.0, 1.0, d, 0.0, "A", at(0)) for n, d in ((0, 0.01), (1, 0.07))]  # 0.07 * 100 - 0.01 * 100 is above 6 in doubles
+    got, want = both(spark, tmp_path, "temporal_consensus", "lineitem", rows, line, "pixel")
+    assert got == want == [(1, 2, 4.0, 6.0)]
