@@ -59,14 +59,15 @@ def range_join(left: DataFrame, boxes: DataFrame, axes: list[str], pads: list[fl
     """Rows of `left` with every box (lo_<axis>, hi_<axis>) whose padded closed range holds them.
 
     Boxes are spread over the cells, of a size per axis, that they cover; an equi-join on the
-    cell and a residual test replace the nested loop. The result is not exclusive.
+    cell and a residual test replace the nested loop; it merges, as boxes of few bytes become many rows
+    once they are spread. The result is not exclusive.
     """
     cells = [f"__{a}" for a in axes]
     spread = boxes
     for a, pad, size, c in zip(axes, pads, sizes, cells, strict=True):
         spread = spread.withColumn(c, F.explode(F.sequence(cell(F.col(f"lo_{a}") - pad, size), cell(F.col(f"hi_{a}") + pad, size))))
         left = left.withColumn(c, cell(a, size))
-    near = left.join(spread, cells).drop(*cells)
+    near = left.join(spread.hint("merge"), cells).drop(*cells)
     for axis, p in zip(axes, pads, strict=True):
         near = near.where((F.col(axis) >= F.col(f"lo_{axis}") - p) & (F.col(axis) <= F.col(f"hi_{axis}") + p))
     return near

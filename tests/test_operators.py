@@ -88,3 +88,10 @@ def test_runs_and_sessions(spark):
     assert sorted(r["length"] for r in T.runs(df, ["k"], "t", F.col("v") == 1).collect()) == [2, 2]
     assert T.sessions(df, "k", 30.0).agg(F.max("session")).first()[0] == 1
     assert T.gaps(df, "k", 5.0, 10.0).collect()[0]["missing"] == 56
+
+
+def test_range_join_broadcasts_no_spread_boxes(spark):
+    p = spark.createDataFrame([(0.5, 0.5)], "x double, y double")
+    boxes = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0)], "id int, lo_x double, hi_x double, lo_y double, hi_y double")
+    near = S.range_join(p, boxes, ["x", "y"], [0.3, 0.3], [1.0, 1.0])
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 1
