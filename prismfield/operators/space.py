@@ -73,14 +73,14 @@ def range_join(left: DataFrame, boxes: DataFrame, axes: list[str], pads: list[fl
     return near
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes=AXES) -> DataFrame:
-    """Pairs (structs `a`, `b`, distance `d`) within the radius: cells of that size, rows of the smaller side (by count) copied to all neighbours.
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes=AXES, copied: str | None = None) -> DataFrame:
+    """Pairs (structs `a`, `b`, distance `d`) within the radius: cells of that size, rows of the smaller side (by count, or the one named by `copied`) copied to all neighbours.
 
     The cells are sorted and merged rather than broadcast: candidates of a cell are many, and a shuffle by
     cell spreads them over tasks however few files the other side has; it spills, and AQE splits hot cells.
     """
     names = [f"__{a}" for a in axes]
-    copied = "b" if right.count() <= left.count() else "a"
+    copied = copied or ("b" if right.count() <= left.count() else "a")
     sides = {}
     for name, df in (("a", left), ("b", right)):
         side = df.select(F.struct("*").alias(name), *(cell(F.col(a), radius).alias(n) for a, n in zip(axes, names, strict=True)))
@@ -91,6 +91,16 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes=AXES) ->
     return sides["a"].join(sides["b"], names).select("a", "b", F.sqrt(d2).alias("d")).where(F.col("d") <= radius)
 
 
+def radius_places(left: DataFrame, right: DataFrame, radius: float, axes=AXES) -> DataFrame:
+    """Pairs (structs `a`, `b`, distance `d`) of distinct places within the radius; `a.n` and `b.n` count the rows at a place.
+
+    Rows at one place have the same partners: what is counted or averaged over pairs comes from places, whose number repeated rows leave alone.
+    """
+    copied = "b" if right.count() <= left.count() else "a"
+    at = lambda df: df.groupBy(*axes).agg(F.count("*").alias("n"))
+    return radius_pairs(at(left), at(right), radius, axes, copied)
+
+
 def neighbour_edges(cells: DataFrame, key: str = "id", axes=("i", "j"), reach: int = 1) -> DataFrame:
     """Edges between occupied cells within Chebyshev distance `reach`."""
     near = cells.select(F.col(key).alias("src"), *axes)

@@ -95,3 +95,12 @@ def test_range_join_broadcasts_no_spread_boxes(spark):
     boxes = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0)], "id int, lo_x double, hi_x double, lo_y double, hi_y double")
     near = S.range_join(p, boxes, ["x", "y"], [0.3, 0.3], [1.0, 1.0])
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 1
+
+
+def test_places_within_a_radius_are_counted_once_for_all_copies(spark):
+    rng = random.Random(6)
+    a, b = ([(float(rng.randrange(5)), float(rng.randrange(5)), 0.0) for _ in range(30)] for _ in range(2))
+    frame = lambda pts: spark.createDataFrame(pts, "x double, y double, z double")
+    got = S.radius_places(frame(a * 4), frame(b * 3), 1.5).collect()
+    assert len(got) == len({(p, q) for p in a for q in b if sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) <= 2.25})
+    assert sum(r.a.n * r.b.n for r in got) == 12 * sum(sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) <= 2.25 for p in a for q in b)
