@@ -148,9 +148,9 @@ SELECT s.p_partkey, count(c.x) AS n, round(min(sqrt((s.x-c.x)*(s.x-c.x) + (s.y-c
 FROM s LEFT JOIN c ON abs(s.x-c.x) <= 2.0 AND sqrt((s.x-c.x)*(s.x-c.x) + (s.y-c.y)*(s.y-c.y) + (s.z-c.z)*(s.z-c.z)) <= 2.0 GROUP BY s.p_partkey""")
 def radius_join_mean(spark, sf_dir):
     left = A.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 20).alias("y"), F.lit(5.0).alias("z"))
-    pairs = S.radius_pairs(left, A.points(spark, sf_dir).select("x", "y", "z"), 2.0)
-    found = pairs.groupBy(F.col("a.p_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.round(F.min("d"), 5).alias("nearest"), F.round(F.avg("b.y") + 1e-9, 2).alias("mean_y"))
-    return left.select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"), "nearest", "mean_y")
+    pairs = S.radius_places(left, A.points(spark, sf_dir).select("x", "y", "z"), 2.0)
+    found = pairs.groupBy(*(F.col(f"a.{c}").alias(c) for c in "xyz")).agg(F.sum("b.n").alias("n"), F.round(F.min("d"), 5).alias("nearest"), F.round(F.sum(F.col("b.n") * F.col("b.y")) / F.sum("b.n") + 1e-9, 2).alias("mean_y"))
+    return left.join(found, ["x", "y", "z"], "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"), "nearest", "mean_y")
 
 
 @query(f"""WITH {_P}, b AS (SELECT DISTINCT floor(x / 5)::BIGINT AS i, floor(y / 5)::BIGINT AS j, floor(z / 5)::BIGINT AS k, frame % 8 AS block FROM points), r AS (SELECT i, j, k FROM b GROUP BY ALL HAVING count(*) >= 7)
