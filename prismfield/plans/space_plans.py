@@ -133,11 +133,18 @@ def edge_adjacency(spark, sf_dir):
 
 
 def tile_edges(tiles, tol: float = 1e-6):
-    """Both directions of every shared edge: tiles meet through the coordinates that their sides lie on."""
+    """Both directions of every shared edge: tiles meet through the coordinates that their sides lie on.
+
+    The sides on one line meet within stretches of it as long as the mean side: a stretch holds the sides that touch it, not all of the line.
+    """
+    mean = tiles.agg(F.avg(F.col("hi_x") - F.col("lo_x")).alias("x"), F.avg(F.col("hi_y") - F.col("lo_y")).alias("y")).first()
+
     def side(axis: str, other: str):
-        sides = lambda name: tiles.select(F.col("id"), F.rint(F.col(f"{name}_{axis}") / tol).cast("bigint").alias("at"), F.col(f"lo_{other}").alias("lo"), F.col(f"hi_{other}").alias("hi"))
-        a, b = sides("hi").alias("a"), sides("lo").alias("b")
-        met = a.join(b, F.col("a.at") == F.col("b.at")).where(F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo") > tol)
+        long = mean[other] if mean[other] and mean[other] > tol else 1.0
+        cell = lambda c: F.floor(F.col(c) / long).cast("bigint")
+        sides = lambda name: tiles.select(F.col("id"), F.rint(F.col(f"{name}_{axis}") / tol).cast("bigint").alias("at"), F.col(f"lo_{other}").alias("lo"), F.col(f"hi_{other}").alias("hi")).where("lo <= hi").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+        a, b = sides("hi").alias("a"), sides("lo").hint("merge").alias("b")
+        met = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.cell") == F.col("b.cell"))).where(F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo") > tol)
         return met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
     one = side("x", "y").unionByName(side("y", "x"))
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()

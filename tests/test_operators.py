@@ -104,3 +104,18 @@ def test_places_within_a_radius_are_counted_once_for_all_copies(spark):
     got = S.radius_places(frame(a * 4), frame(b * 3), 1.5).collect()
     assert len(got) == len({(p, q) for p in a for q in b if sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) <= 2.25})
     assert sum(r.a.n * r.b.n for r in got) == 12 * sum(sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) <= 2.25 for p in a for q in b)
+
+
+def test_tile_edges_meet_by_stretches_of_a_line(spark):
+    from prismfield.plans.space_plans import tile_edges
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        x, y = rng.randrange(6), rng.randrange(40)
+        rows.append((i, float(x), x + 1.0, float(y), y + float(rng.choice([1, 1, 2, 30]))))
+    edges = tile_edges(spark.createDataFrame(rows, "id int, lo_x double, hi_x double, lo_y double, hi_y double")).where("src < dst")
+    touch = lambda a, b: (a[2] == b[1] or b[2] == a[1]) and min(a[4], b[4]) > max(a[3], b[3]) or (a[4] == b[3] or b[4] == a[3]) and min(a[2], b[2]) > max(a[1], b[1])
+    assert {(r.src, r.dst) for r in edges.collect()} == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and touch(a, b)}
+    joins = [line for line in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+    assert joins and all("cell" in line for line in joins)
