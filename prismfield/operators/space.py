@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,29 +121,86 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def ring_fill(tiles: DataFrame, edges: DataFrame, cut, most_rings: int | None = None) -> DataFrame:
+def _fill(p: pd.DataFrame, most_rings: int | None) -> pd.DataFrame:
+    """Rings of one block from its tiles (kind 0), its edges (1) and what tiles of other blocks told it (2)."""
+    tile = p[p["kind"] == 0].sort_values("a").drop_duplicates("a")
+    ids = tile["a"].to_numpy(np.int64)
+    ring, value = tile["ring"].fillna(-1).to_numpy(np.int64), tile["value"].to_numpy(np.float64).copy()
+
+    def place(x):
+        at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+        return at, ids[at] == x
+
+    edge = p[p["kind"] == 1].sort_values(["a", "b"])
+    (src, known), (dst, also) = place(edge["a"].to_numpy(np.int64)), place(edge["b"].to_numpy(np.int64))
+    src, dst = src[known & also], dst[known & also]
+    first = np.searchsorted(src, np.arange(len(ids) + 1))
+    told = p[p["kind"] == 2].sort_values(["ring", "b", "a"])
+    to, known = place(told["b"].to_numpy(np.int64))
+    to, told_ring, told_value = to[known], told["ring"].to_numpy(np.int64)[known], told["value"].to_numpy(np.float64)[known]
+    last, r = np.flatnonzero(ring == 0), 0
+    total, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+    while not most_rings or r < most_rings:
+        k = np.searchsorted(told_ring, r)
+        if not len(last):  # nothing of its own goes on: to the next ring that was told
+            if k == len(told_ring):
+                break
+            r = int(told_ring[k])
+            if most_rings and r >= most_rings:
+                break
+        size = first[last + 1] - first[last]
+        way = np.repeat(first[last + 1] - np.cumsum(size), size) + np.arange(size.sum())
+        m = slice(k, np.searchsorted(told_ring, r, "right"))
+        onto, what = np.concatenate([dst[way], to[m]]), np.concatenate([value[src[way]], told_value[m]])
+        free = ring[onto] < 0
+        onto, what = onto[free], what[free]
+        np.add.at(total, onto, what)
+        np.add.at(n, onto, 1)
+        r, last = r + 1, np.unique(onto)
+        ring[last], value[last] = r, total[last] / n[last]
+    done = np.flatnonzero(ring >= 0)
+    return pd.DataFrame({"block": p["block"].iloc[0], "id": ids[done], "value": value[done], "ring": ring[done]})
+
+
+def ring_fill(tiles: DataFrame, edges: DataFrame, cut, most_rings: int | None = None, per_block: int = 200_000) -> DataFrame:
     """Values of tiles without one, ring by ring: the mean of the neighbours settled in earlier rings.
 
-    `tiles` has id and value (null: open), `edges` both directions. Ends when a ring settles none;
+    `tiles` has id (whole numbers) and value (null: open), `edges` both directions. Ends when a ring settles none;
     with `most_rings` (None or 0: no limit) tiles beyond that ring stay open on purpose.
-    The settled neighbours of a ring's tiles are all of the ring before, so a ring joins that one only.
+
+    Ids are cut in ranges of about `per_block` tiles. A task settles all rings of a range from its own tiles and from what
+    other ranges told it; ranges that are told something new are settled again, until nothing is new. So the number of
+    jobs goes by the ranges that a path of rings crosses, not by the rings.
     """
     tiles = cut(tiles.select("id", "value"), "tiles")
-    settled = tiles.where("value IS NOT NULL").withColumn("ring", F.lit(0))
-    onto = cut(edges.select("src", "dst").join(tiles.where("value IS NULL").select(F.col("id").alias("dst")), "dst", "left_semi").repartition("src"), "edges")
-    parts, last, before, ring = [settled], settled, None, 0
-    while not most_rings or ring < most_rings:
-        ring += 1
-        told = onto.join(last.select(F.col("id").alias("src"), F.col("value").alias("v")), "src").select(F.col("dst").alias("id"), "v", F.lit(False).alias("old"))
-        for old in (last, before):  # what a ring touches lies in it, in the ring before or in the next one
-            told = told if old is None else told.unionByName(old.select("id", F.lit(None).cast("double").alias("v"), F.lit(True).alias("old")))
-        new = told.groupBy("id").agg(F.avg("v").alias("value"), F.max("old").alias("old")).where("NOT old").drop("old")
-        new = cut(new.withColumn("ring", F.lit(ring)), "ring")
-        if new.isEmpty():
-            break
-        last, before = new, last
-        parts.append(new)
-        if len(parts) > 32:
-            parts = [cut(functools.reduce(DataFrame.unionByName, parts).coalesce(new.sparkSession.sparkContext.defaultParallelism), "rings")]
-    done = functools.reduce(DataFrame.unionByName, parts)
-    return tiles.select("id").join(done, "id", "left").select("id", "value", "ring")
+    span = tiles.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n")).first()
+    width = max(1, -(-(span["hi"] - span["lo"] + 1) // max(1, -(-span["n"] // per_block)))) if span["n"] else 1
+    block = lambda c: F.floor((F.col(c) - F.lit(span["lo"] or 0)) / F.lit(width)).cast("long")
+    row = lambda b, kind, a, to, value, ring: [b.alias("block"), F.lit(kind).alias("kind"), a.cast("long").alias("a"), to.cast("long").alias("b"), value.cast("double").alias("value"), ring.cast("long").alias("ring")]
+    none = F.lit(None)
+    both = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", block("src").alias("from"), block("dst").alias("block"))
+    own = tiles.where("id IS NOT NULL").select(*row(block("id"), 0, F.col("id"), none, F.col("value"), F.when(F.col("value").isNotNull(), 0)))
+    inner = both.where(F.col("from") == F.col("block")).select(*row(F.col("block"), 1, F.col("src"), F.col("dst"), none, none))
+    fixed = cut(own.unionByName(inner).repartition("block").sortWithinPartitions("block"), "blocks")
+    cross = cut(both.where(F.col("from") != F.col("block")).select("src", "dst", "block"), "crossings")
+    found, latest, told, active, turn = [], {}, None, None, 0
+    while active is None or active:
+        work = fixed if active is None else fixed.where(F.col("block").isin(active))
+        if told is not None:
+            now = told.where(F.col("block").isin(active)).groupBy("block", "src", "dst").agg(F.max_by(F.struct("value", "ring"), "turn").alias("m"))
+            work = work.unionByName(now.select(*row(F.col("block"), 2, F.col("src"), F.col("dst"), F.col("m.value"), F.col("m.ring"))))
+        out = cut(work.groupBy("block").applyInPandas(lambda p: _fill(p, most_rings), "block long, id long, value double, ring long"), "settled")
+        found.append(out)
+        latest |= dict.fromkeys([r[0] for r in out.select("block").distinct().collect()] if active is None else active, turn)
+        said = cross.join(out.select(F.col("id").alias("src"), "value", "ring").hint("merge"), "src")
+        if told is not None:
+            said = said.join(told.select("src", "dst", "value", "ring").hint("merge"), ["src", "dst", "value", "ring"], "left_anti")
+        turn += 1
+        said = cut(said.select("block", "src", "dst", "value", "ring", F.lit(turn).alias("turn")), "told")
+        active = [r[0] for r in said.select("block").distinct().collect()]
+        told = said if told is None else told.unionByName(said)
+        if turn % 16 == 0:
+            told = cut(told, "told")
+    parts = [f.where(F.col("block").isin(b)) for k, f in enumerate(found) if (b := [x for x, t in latest.items() if t == k])]
+    done = functools.reduce(DataFrame.unionByName, parts or found)
+    return tiles.select("id").join(done.select("id", "value", F.col("ring").cast("int").alias("ring")).hint("merge"), "id", "left").select("id", "value", "ring")

@@ -214,4 +214,4 @@ def grid_connected_components(spark, sf_dir):
 def neighbour_ring_fill(spark, sf_dir):
     """Tiles without a measurement take the mean of their neighbours, ring by ring."""
     measured = tile_median_range_join(spark, sf_dir).select("id", F.when(F.col("n_voxels") >= 60, F.col("u")).alias("value"))
-    return S.ring_fill(measured, tile_edges(_tiles(spark, sf_dir)), A.cut).select("id", F.round("value", 6).alias("u"), "ring", F.when(F.col("ring") == 0, "measured").when(F.col("ring") > 0, "neighbor_fill").otherwise("none").alias("u_source"))
+    return S.ring_fill(measured, tile_edges(_tiles(spark, sf_dir)), A.stored).select("id", F.round("value", 6).alias("u"), "ring", F.when(F.col("ring") == 0, "measured").when(F.col("ring") > 0, "neighbor_fill").otherwise("none").alias("u_source"))

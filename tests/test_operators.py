@@ -119,3 +119,25 @@ def test_tile_edges_meet_by_stretches_of_a_line(spark):
     assert {(r.src, r.dst) for r in edges.collect()} == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and touch(a, b)}
     joins = [line for line in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
     assert joins and all("cell" in line for line in joins)
+
+
+def test_ring_fill_takes_few_jobs_and_is_the_same_in_any_blocks(spark):
+    rng = random.Random(9)
+    ids = range(400)
+    e = [(i, i + 1) for i in range(399) if rng.random() < 0.97] + [tuple(sorted(rng.sample(ids, 2))) for _ in range(12)]
+    tiles = [(i, float(rng.randrange(9)) if rng.random() < 0.01 or i == 0 else None) for i in ids]
+    near = {i: [] for i in ids}
+    for a, b in e:
+        near[a].append(b)
+        near[b].append(a)
+    want = {i: (v, 0) for i, v in tiles if v is not None}
+    for ring in range(1, 401):
+        told = {i: [want[j][0] for j in near[i] if j in want] for i in ids if i not in want}
+        want |= {i: (sum(v) / len(v), ring) for i, v in told.items() if v}
+    t, edges = spark.createDataFrame(tiles, "id int, value double"), spark.createDataFrame(e + [(b, a) for a, b in e], "src int, dst int")
+    for per_block in (1000, 60):
+        cuts = []
+        got = {r["id"]: (r["value"], r["ring"]) for r in S.ring_fill(t, edges, lambda df, label: cuts.append(label) or cut(df, label), per_block=per_block).collect()}
+        assert {i: r for i, (_, r) in got.items() if r is not None} == {i: r for i, (_, r) in want.items()}
+        assert all(abs(got[i][0] - v) < 1e-9 for i, (v, _) in want.items())
+        assert len(cuts) < max(r for _, r in want.values())
