@@ -92,9 +92,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """End a lineage by a table in the shared folder. It is computed once (a checkpoint computes twice), and later readers read the columns they need."""
     import uuid
 
-    path = f"{shared_folder(df.sparkSession)}/prismfield/{label.replace(' ', '-')}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_folder(spark)}/prismfield/{label.replace(' ', '-')}-{uuid.uuid4().hex}"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # its shuffle files go with the write: nothing reads them again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and that nothing reads any more; others are left alone."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 2)[-2] == "prismfield":
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checked_dimension(df: DataFrame, key: str, reserved: list[str]) -> DataFrame:

@@ -268,3 +268,24 @@ def test_frame_regions_equal_a_plain_search(spark):
 
 def test_frame_records_broadcast_no_table_of_segments(spark):
     assert "BroadcastHashJoin" not in _plans_of_judge(spark)[1]
+
+
+def test_pose_graph_leaves_its_result_and_edges_alone(spark):
+    """Of the tables that the steps store, only those that are read again are left."""
+    from pyspark.sql import functions as F
+
+    node = spark.range(130).select(F.lit(0).cast("long").alias("graph"), F.col("id").alias("node"), F.array(F.col("id") * 1.0, F.sin("id"), F.lit(0.0)).alias("t"), F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))).alias("q"))
+    loop = spark.createDataFrame([(0, 5, 120, [100.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0], 400.0)], "graph long, i long, j long, t array<double>, q array<double>, weight double")
+    made = []
+
+    def cut(df, label):
+        made.append(A.stored(df, label))
+        return made[-1]
+
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    poses = A.stored(node, "given")
+    out = G.optimise(poses, G.graph_edges(poses, loop, None), most_steps=2, cut=cut)
+    assert out.count() == 130 and len(made) > 8 and sum(map(there, made)) == 2 and there(poses)
