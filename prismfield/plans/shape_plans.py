@@ -103,13 +103,19 @@ def wall_segments(spark, sf_dir):
     return inner.unionByName(last).where("q - p > 0.05").groupBy("face").agg(F.count("*").alias("segments"), F.round(F.sum(F.col("q") - F.col("p")), 5).alias("free"), F.round(F.max(F.col("q") - F.col("p")), 5).alias("longest"))
 
 
+LINES = 1_000_000  # rows of lines for one task
+
+
 @query("""WITH g AS (SELECT c_custkey AS wall, unnest(generate_series(0, 10)) * 1.0 AS v, 0 AS forced FROM customer UNION ALL SELECT o_custkey, round((o_totalprice % 1000) / 100, 4), 1 FROM orders), d AS (SELECT *, row_number() OVER (PARTITION BY wall, round(v * 10)::BIGINT ORDER BY forced DESC, v) AS k FROM g) SELECT wall, count(*) AS lines, sum(forced)::BIGINT AS forced, round(sum(v), 4) AS total FROM d WHERE k = 1 GROUP BY wall""")
 def snapped_grid_lines(spark, sf_dir):
     """Regular lines and forced edges together, one line per spacing cell, forced ones first."""
     g = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("wall"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: k.cast("double"))).alias("v"), F.lit(0).alias("forced"))
     e = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("wall"), F.round(F.col("o_totalprice") % 1000 / 100, 4).alias("v"), F.lit(1).alias("forced"))
-    d = g.unionByName(e).groupBy("wall", F.round(F.col("v") * 10).cast("long").alias("at")).agg(F.min(F.struct((-F.col("forced")).alias("f"), "v")).alias("l"))
-    return d.groupBy("wall").agg(F.count("*").alias("lines"), F.sum(-F.col("l.f")).alias("forced"), F.round(F.sum("l.v"), 4).alias("total"))
+    # Numbers only, no struct: a cell's buffer has a fixed width and is updated in place, not sorted for. Tasks by wall, as many as keep a task's cells to some LINES.
+    v = lambda forced: F.min(F.when(F.col("forced") == forced, F.col("v")))
+    tasks = 1 + (11 * A.table(spark, sf_dir, "customer").count() + e.count()) // LINES
+    d = g.unionByName(e).repartition(tasks, "wall").groupBy("wall", F.round(F.col("v") * 10).cast("long").alias("at")).agg(F.max("forced").alias("f"), F.coalesce(v(1), v(0)).alias("l"))
+    return d.groupBy("wall").agg(F.count("*").alias("lines"), F.sum("f").cast("long").alias("forced"), F.round(F.sum("l"), 4).alias("total"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size < 3 THEN 'too_narrow' WHEN p_size > 45 THEN 'too_wide' WHEN p_retailprice < 950 THEN 'too_low' WHEN p_brand LIKE '%5' THEN 'sparse' END AS reason, (p_size BETWEEN 3 AND 45) AND p_retailprice >= 950 AND p_brand NOT LIKE '%5' AS accepted FROM part""")

@@ -15,7 +15,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["prior_gate_cascade"])
+@pytest.mark.parametrize("name", ["prior_gate_cascade", "snapped_grid_lines"])
 def test_choices_are_kept_in_place_without_a_sort(spark, name):
     plan = _plan(catalog.QUERIES[name](spark, D))
     assert "HashAggregate" in plan and "SortAggregate" not in plan and plan.count("Generate") <= (name == "snapped_grid_lines") * plan.count("Scan parquet")
