@@ -61,3 +61,14 @@ def test_nearest_distances_equal_a_plain_sort_and_hold_a_block_only():
     tracemalloc.stop()
     assert np.allclose(got, want, rtol=0, atol=1e-12) and most < 6e6
     assert np.isnan(K.knn_mean(p[:1], 8)).all() and np.allclose(K.knn_mean(p[:2], 8), d[0, 1])
+
+
+def test_files_are_written_many_a_call_and_read_many_a_batch(spark, tmp_path):
+    from prismfield.sinks import files as W
+    from prismfield.sources import files as R
+
+    df = spark.range(600).select((F.col("id") % 200).alias("frame"), *(F.col("id").cast("double").alias(c) for c in "xyz"))
+    out = W.write_groups(df, "frame", f"file://{tmp_path}/clouds", ".ply", W.binary_ply)
+    assert "FlatMapGroupsInPandas" not in _plan(out) and out.agg(F.sum("n_bytes")).first()[0] > 0
+    got = R.read_files(spark, f"file://{tmp_path}/clouds", "*.ply", "frame long, x double, y double, z double", R.parse_cloud_file)
+    assert sorted(map(tuple, got.select("frame", "x").collect())) == sorted((i % 200, float(i)) for i in range(600))
