@@ -72,3 +72,26 @@ def test_files_are_written_many_a_call_and_read_many_a_batch(spark, tmp_path):
     assert "FlatMapGroupsInPandas" not in _plan(out) and out.agg(F.sum("n_bytes")).first()[0] > 0
     got = R.read_files(spark, f"file://{tmp_path}/clouds", "*.ply", "frame long, x double, y double, z double", R.parse_cloud_file)
     assert sorted(map(tuple, got.select("frame", "x").collect())) == sorted((i % 200, float(i)) for i in range(600))
+
+
+def test_users_of_a_share_settle_together(spark, tmp_path):
+    from prismfield.streaming import timers as S
+    from prismfield.streaming.sessions import run_to_table
+
+    ms = 1000
+    rows = [(100 * u + i, u, "view" if i % 2 else "click", 90.0 if i % 7 > 4 else 1.0, (i * 37 + u + 1) * ms) for u in range(40) for i in range(30)] + [(9999, 999, "none", 1.0, 10**9)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, us long")
+    df.withColumn("event_time", F.timestamp_micros("us")).drop("us").write.parquet(str(tmp_path / "in"))
+
+    def run(make, **more):
+        with S.rocks_state(spark):
+            return run_to_table(make(spark.readStream.schema("event_id long, user_id long, event_type string, value double, event_time timestamp").parquet(str(tmp_path / "in")), **more)).collect()
+
+    asof = lambda e, **m: S.asof_when_closed(e, F.col("event_type") == "view", F.col("event_type") == "click", 50 * ms, 400 * ms, "1 second", **m)
+    got = run(asof, shares=2)
+    own = {u: [r for r in rows if r[1] == u and r[2] == "click"] for u in range(40)}
+    want = {(r[1], r[0], *min((abs(c[4] - r[4]), c[4], c[0]) for c in own[r[1]])[::-2]) for r in rows if r[2] == "view"}
+    assert {tuple(r) for r in got} == want and len(got) == 600
+    poses = lambda e, **m: S.poses_when_closed(e, F.col("value") > 40, 400 * ms, "1 second", **m)
+    got = [tuple(r) for r in run(poses, shares=2)]
+    assert len(got) == 40 * 4 and {r[1:4] for r in got} == {(1 + 7 * k, 5 + 7 * k, 5) for k in range(4)}
