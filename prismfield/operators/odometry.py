@@ -16,6 +16,8 @@ the start where there is none, and say so; repeated sightings count each; an emp
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +31,8 @@ KEY = ["graph", "step"]
 FEWEST = 8
 SHORTEST = 5e-3  # below this length a motion has no direction to speak of
 BLOCK = 1000
+SALTS = 8
+BUCKET = 1_000_000  # sightings of a bucket
 SIGHT = ("px", "py", "pz", "bx", "by", "bz")
 _PAIRS = [(i, j) for i in range(6) for j in range(i, 6)]
 _STATE = "graph long, step long, n long, x array<double>, r array<double>, sums array<double>, damping double, trial array<double>, trial_r array<double>"
@@ -61,6 +65,8 @@ def residuals(d: pd.DataFrame) -> tuple[np.ndarray, ...]:
 def _partial_sums(batches):
     """A batch's share of the normal equations of each of its steps: upper triangle of J'J, J'r and r'r."""
     for d in batches:
+        if "limit_known" in d and len(d):
+            d = d[_within(d)]
         if not len(d):
             continue
         e0, e1, j0, j1 = residuals(d)
@@ -69,6 +75,12 @@ def _partial_sums(batches):
         yield pd.DataFrame({"graph": part["graph"], "step": part["step"], "n": part["n"], "sums": list(part[list(range(28))].to_numpy())})
 
 
+def _within(d: pd.DataFrame) -> np.ndarray:
+    """Whether each sighting is within the limit of its kind at the base motion of its step."""
+    one, two, _, _ = residuals(d[["known", *SIGHT]].assign(trial=d["base"], trial_r=d["base_r"]))
+    return np.hypot(one, two) <= np.where(d["known"].to_numpy(bool), d["limit_known"].to_numpy(float), d["limit_unknown"].to_numpy(float))
+
+
 def _normal_sums(d: DataFrame) -> DataFrame:
     """(graph, step, n, new_sums) at the trial motions: summed within batches, then by a partial aggregate."""
     parts = d.mapInPandas(_partial_sums, "graph long, step long, n long, sums array<double>")
@@ -79,7 +91,7 @@ def _offs(batches):
     for d in batches:
         if len(d):
             one, two, _, _ = residuals(d)
-            yield d[[*KEY, "known", *SIGHT]].assign(off=np.hypot(one, two))
+            yield d[[*KEY, "known"]].assign(off=np.hypot(one, two))
 
 
 def _next_trial(x: np.ndarray, sums: np.ndarray, damping: float) -> np.ndarray:
@@ -109,9 +121,29 @@ def _update(batches):
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _STATE.split(", ")])
 
 
-def _solve(sightings: DataFrame, states: DataFrame, rounds: int, cut) -> DataFrame:
+def _stored_by_step(rows: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """Sightings as a bucketed table by step and salt, ordered by step: each round joins them where they lie, only the states move.
+
+    A step's sightings lie in SALTS buckets at most, so that a step with much of the data is not one task's.
+    """
+    spark, name = rows.sparkSession, f"sightings_{uuid.uuid4().hex}"
+    parts = max(2 * spark.sparkContext.defaultParallelism, 1 + n // BUCKET)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*SIGHT), F.lit(SALTS))).repartition(parts, *KEY, "salt").sortWithinPartitions(*KEY)
+    dealt.write.format("parquet").bucketBy(parts, *KEY, "salt").saveAsTable(name)
+    return spark.table(name), name
+
+
+def _beside(sightings: DataFrame, states: DataFrame) -> DataFrame:
+    """Sightings with the row of `states` of their step; each salt gets a copy of it."""
+    copies = states.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return sightings.join(copies.hint("shuffle_hash"), [*KEY, "salt"])
+
+
+def _solve(sightings: DataFrame, states: DataFrame, rounds: int, cut, limits: DataFrame | None = None) -> DataFrame:
+    """With `limits` (graph, step, base, base_r, limit_known, limit_unknown) only sightings whose residual at the base motion is within the limit of their kind count."""
     for _ in range(rounds):
-        found = _normal_sums(sightings.join(states.select(*KEY, "trial", "trial_r"), KEY))
+        now = states.select(*KEY, "trial", "trial_r")
+        found = _normal_sums(_beside(sightings, now if limits is None else now.join(limits, KEY)))
         both = states.select(*KEY, "x", "r", "sums", "damping", "trial", "trial_r").join(found, KEY)
         states = cut(both.mapInPandas(_update, _STATE), "motions")
     return states
@@ -132,17 +164,22 @@ def solve_motions(sightings: DataFrame, cut, rounds: int = 8, start: tuple[float
     enough = counts.where(F.col("known") + F.col("unknown") >= FEWEST).select(*KEY)
     seed, turned = np.array(start, float), spin(np.array([start[:3]], float))[0].ravel()
     states = _fresh(enough, F.array(*map(F.lit, seed.tolist())), F.array(*map(F.lit, turned.tolist())))
+    n = counts.agg(F.sum(F.col("known") + F.col("unknown"))).first()[0] or 0
+    rows, table = _stored_by_step(rows, n)
     near = _solve(rows.where("known"), states.join(counts.where(F.col("known") >= FEWEST).select(*KEY), KEY), rounds // 2, cut)
     begun = states.select(*KEY, "trial", "trial_r").join(near.select(*KEY, "x", "r"), KEY, "left")
     first = _solve(rows, cut(_fresh(begun, F.coalesce("x", "trial"), F.coalesce("r", "trial_r")), "motions"), rounds, cut)
-    seen = rows.join(first.select(*KEY, F.col("x").alias("trial"), F.col("r").alias("trial_r")), KEY)
-    seen = cut(seen.mapInPandas(_offs, f"graph long, step long, known boolean, {', '.join(f'{c} double' for c in SIGHT)}, off double"), "residuals")
+    seen = _beside(rows, first.select(*KEY, F.col("x").alias("trial"), F.col("r").alias("trial_r")))
+    seen = cut(seen.mapInPandas(_offs, "graph long, step long, known boolean, off double"), "residuals")
     kind = [*KEY, "known"]
     mid = spread_quantiles(seen, kind, "off", {"mid": 0.5})
-    near = seen.join(mid, kind).withColumn("apart", F.abs(F.col("off") - F.col("mid")))
-    limits = mid.join(spread_quantiles(near, kind, "apart", {"spread": 0.5}), kind).select(*kind, (F.col("mid") + reach * (1.4826 * F.col("spread") + 2.3e-16)).alias("limit"))
-    kept = cut(seen.join(limits, kind).where(F.col("off") <= F.col("limit")).drop("off", "limit"), "kept-sightings")
-    last = _solve(kept, _fresh(first, F.col("x"), F.col("r")), rounds, cut)
+    apart = seen.join(mid, kind).withColumn("apart", F.abs(F.col("off") - F.col("mid")))
+    limit = F.col("mid") + reach * (1.4826 * F.col("spread") + 2.3e-16)
+    limits = mid.join(spread_quantiles(apart, kind, "apart", {"spread": 0.5}), kind)
+    limits = limits.groupBy(*KEY).agg(F.max(F.when(F.col("known"), limit)).alias("limit_known"), F.max(F.when(~F.col("known"), limit)).alias("limit_unknown"))
+    limits = cut(limits.join(first.select(*KEY, F.col("x").alias("base"), F.col("r").alias("base_r")), KEY), "limits")
+    last = _solve(rows, _fresh(first, F.col("x"), F.col("r")), rounds, cut, limits)
+    rows.sparkSession.sql(f"DROP TABLE {table}")
     done = counts.join(last.select(*KEY, F.col("x").alias("own"), F.col("n").alias("kept")), KEY, "left").withColumn("block", F.floor(F.col("step") / BLOCK))
     so_far = Window.partitionBy("graph", "block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     ends = done.where("own IS NOT NULL").groupBy("graph", "block").agg(F.max_by("own", "step").alias("end"))

@@ -107,5 +107,5 @@ def visual_odometry(spark, sf_dir):
     """Motions of all frames side by side from points of known and of unknown depth, in two passes; the SQL states the motion that the sightings were made by."""
     from prismfield.operators import odometry as O
 
-    out = O.solve_motions(A.stored(seen_points(spark, sf_dir), "sightings"), A.stored, rounds=6)
+    out = O.solve_motions(seen_points(spark, sf_dir), A.stored, rounds=6)
     return out.select("step", *((F.round(F.get("motion", F.lit(k)), 4) + 0.0).alias(n) for k, n in enumerate(("rx", "ry", "rz", "tx", "ty", "tz"))), "known", "unknown", "solved")

@@ -74,6 +74,21 @@ def test_files_are_written_many_a_call_and_read_many_a_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select("frame", "x").collect())) == sorted((i % 200, float(i)) for i in range(600))
 
 
+def test_sightings_are_not_shuffled_in_every_round(spark):
+    from prismfield.operators import odometry as O
+
+    rows = [(0, s, bool(i % 2), *np.random.default_rng(i).normal(size=6).tolist()) for s in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, f"graph long, step long, known boolean, {', '.join(f'{c} double' for c in O.SIGHT)}")
+    held, name = O._stored_by_step(df, len(rows))
+    try:
+        met = O._beside(held, df.select("graph", "step").distinct().withColumn("mark", F.col("step") * 2))
+        plan = _plan(met)
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Bucketed: true" in plan
+        assert met.count() == len(rows) and met.where("mark <> 2 * step").count() == 0
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_users_of_a_share_settle_together(spark, tmp_path):
     from prismfield.streaming import timers as S
     from prismfield.streaming.sessions import run_to_table
