@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 import numpy as np
@@ -119,12 +118,16 @@ def header_stamps(spark, sf_dir):
 @query("""WITH r AS (SELECT user_id % 20 AS recording, event_type AS topic, epoch_us(ts) AS stamp, event_id, value, row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('click', 'view'))
 SELECT recording, topic, count(*) AS n, min(stamp) AS first_stamp, max(stamp) AS last_stamp, round(sum(value), 4) AS total FROM r WHERE (n - 1) % 3 = 0 GROUP BY ALL""")
 def recording_topic_scan(spark, sf_dir):
-    """Topics and messages of SQLite recordings, strided by topic."""
-    e = A.table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("recording"), F.col("event_type").alias("topic"), A.epoch_us("ts").alias("stamp"), F.col("event_id").alias("id"), "value")
-    base = _written(spark, e, "recording", ".db3", W.recording)
-    parse = functools.partial(R.parse_recording, topics=["click", "view"], stride=3)
-    m = R.read_files(spark, base, "*.db3", "recording long, topic string, id long, stamp long, value double", parse)
-    return m.groupBy("recording", "topic").agg(F.count("*").alias("n"), F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp"), F.round(F.sum("value"), 4).alias("total"))
+    """Topics and messages of SQLite recordings, strided by topic: written in splits of bounded size, whose list says where a split's stride starts."""
+    from prismfield.sources import recordings as S
+
+    S.register(spark)
+    e = A.table(spark, sf_dir, "events").where("event_type IS NOT NULL")
+    m = e.select((F.col("user_id") % 20).cast("long").alias("recording"), F.col("event_type").alias("topic"), F.col("event_id").cast("long").alias("id"), A.epoch_us("ts").alias("stamp"), F.col("value").cast("string").cast("binary").alias("data"))
+    base = f"{A.shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    S.sorted_for_writing(m).write.format("recording").mode("overwrite").save(base)
+    got = spark.read.format("recording").options(topics="click,view", stride=3).load(base).withColumn("value", F.col("data").cast("string").cast("double"))
+    return got.groupBy("recording", "topic").agg(F.count("*").alias("n"), F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("""SELECT user_id, '/rig/' || replace(event_type, 'view', 'camera') AS topic, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS seq FROM events WHERE event_type <> 'error'""")

@@ -1,9 +1,10 @@
 """Recordings as a partitioned source and sink: `spark.read.format("recording")` and `df.write.format("recording")`.
 
 A recording is a folder of splits, each an SQLite database of topics and messages of at most `messages` rows and, but for its last message, `bytes` of payload, as recorders cut long runs into files. Beside the splits lies a
-list with one line a split: its file, recording, topics, first and last stamp, and number of messages. A partition is one split, so a recording of any length is read
+list with one line a split: its file, recording, topics with their numbers of messages, first and last stamp, first id, and number of messages. A partition is one split, so a recording of any length is read
 and written in parts of bounded size, by as many tasks as it has splits. Filters on recording, topic and stamp pass over whole splits by the list, and what is left of them
 is asked of a split's database, not of Spark.
+With the option `stride` every so-manieth message of a topic of a recording is read, from its first one: the list says how many came in the splits before, so no task needs more than its own split.
 
 Writing streams: a task closes a split when it is full or the recording changes, and never holds more than one. A split is written under a name of its attempt; the
 list, made when all tasks have reported, names only what counts, so a retried or speculative task adds nothing. Reporting is one line a split. Rows come in the order of the
@@ -44,6 +45,9 @@ class Split(InputPartition):
     low: int
     high: int
     n: int
+    first: int | None = None  # id of the first message
+    counts: list | None = None  # messages of each topic
+    before: dict | None = None  # messages of each topic in the recording's earlier splits, with a stride
 
 
 class Conditions:
@@ -95,6 +99,7 @@ class Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.base = options["path"].rstrip("/")
         self.topics = [t for t in options.get("topics", "").split(",") if t]
+        self.stride = int(options.get("stride", 1))
         self.asked = Conditions()
         if self.topics:
             self.asked.allowed["topic"] = set(self.topics)
@@ -114,8 +119,20 @@ class Reader(DataSourceReader):
         splits = [Split(**json.loads(line)) for line in lines]
         if missing := set(self.topics) - {t for s in splits for t in s.topics}:
             raise ValueError(f"no topic {sorted(missing)} in {self.base}; it has {sorted({t for s in splits for t in s.topics})}")
+        if self.stride > 1:
+            self._count_before(splits)
         return [s for s in splits if self.asked.may_hold(s)] or [Split("", 0, [], 0, 0, 0)]
 
+    def _count_before(self, splits: list[Split]) -> None:
+        if any(s.counts is None for s in splits):
+            raise ValueError(f"the list of {self.base} has no counts of topics, so it cannot be read by a stride")
+        seen: dict[int, dict] = {}
+        for s in sorted(splits, key=lambda s: (s.recording, s.low, s.high, s.first)):
+            total = seen.setdefault(s.recording, {})
+            s.before = {t: total.get(t, 0) for t in s.topics}
+            for t, n in zip(s.topics, s.counts, strict=True):
+                total[t] = total.get(t, 0) + n
+
     def read(self, split: Split):
         import pyarrow as pa
 
@@ -129,7 +146,14 @@ class Reader(DataSourceReader):
         if n != split.n:
             raise ValueError(f"{split.path} has {n} messages, its list says {split.n}")
         where, values = self.asked.where()
-        rows = db.execute(f"SELECT ?, name, number, timestamp, data FROM messages JOIN topics ON topics.id = topic_id WHERE {where} ORDER BY messages.id", [split.recording, *values])
+        source = "messages JOIN topics ON topics.id = topic_id"
+        if self.stride > 1:
+            db.execute("CREATE TEMP TABLE earlier (topic TEXT, n INTEGER)")
+            db.executemany("INSERT INTO earlier VALUES (?, ?)", split.before.items())
+            place = "n + row_number() OVER (PARTITION BY topic_id ORDER BY messages.id) - 1"
+            source = f"(SELECT messages.id, name, number, timestamp, data, {place} AS place FROM {source} JOIN earlier ON topic = name) AS messages"
+            where += f" AND place % {self.stride} = 0"
+        rows = db.execute(f"SELECT ?, name, number, timestamp, data FROM {source} WHERE {where} ORDER BY messages.id", [split.recording, *values])
         kinds = pa.schema([("recording", pa.int64()), ("topic", pa.string()), ("id", pa.int64()), ("stamp", pa.int64()), ("data", pa.binary())])
         while part := rows.fetchmany(4096):
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
@@ -157,13 +181,13 @@ class Writer(DataSourceArrowWriter):
         def close():
             if not open_split:
                 return
-            db, names, recording, low, high, n, _ = open_split
+            db, names, recording, low, high, n, _, first, counts = open_split
             db.commit()
             path = f"{recording}-{uuid.uuid4().hex}.db3"
             with store.open_output_stream(f"{folder}/{path}", compression=None) as f:
                 f.write(db.serialize())
             db.close()
-            splits.append({"path": path, "recording": recording, "topics": sorted(names), "low": low, "high": high, "n": n})
+            splits.append({"path": path, "recording": recording, "topics": sorted(names), "low": low, "high": high, "n": n, "first": first, "counts": [counts[t] for t in sorted(names)]})
             open_split.clear()
 
         for batch in batches:
@@ -176,13 +200,14 @@ class Writer(DataSourceArrowWriter):
                     db = sqlite3.connect(":memory:")
                     db.execute("CREATE TABLE topics (id INTEGER PRIMARY KEY, name TEXT)")
                     db.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER, number INTEGER, timestamp INTEGER, data BLOB)")
-                    open_split[:] = [db, {}, recording, stamp, stamp, 0, 0]
-                db, names, *_ = open_split
+                    open_split[:] = [db, {}, recording, stamp, stamp, 0, 0, number, {}]
+                db, names, *_, counts = open_split
                 if topic not in names:
                     names[topic] = len(names) + 1
                     db.execute("INSERT INTO topics VALUES (?, ?)", (names[topic], topic))
                 db.execute("INSERT INTO messages (topic_id, number, timestamp, data) VALUES (?, ?, ?, ?)", (names[topic], number, stamp, data))
-                open_split[3:] = [min(open_split[3], stamp), max(open_split[4], stamp), open_split[5] + 1, open_split[6] + len(data or b"")]
+                counts[topic] = counts.get(topic, 0) + 1
+                open_split[3:7] = [min(open_split[3], stamp), max(open_split[4], stamp), open_split[5] + 1, open_split[6] + len(data or b"")]
         close()
         return Written(splits)
 

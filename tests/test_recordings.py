@@ -83,3 +83,19 @@ def test_an_empty_table_is_an_empty_recording(spark, tmp_path):
     S.register(spark)
     spark.createDataFrame([], S.SCHEMA).write.format("recording").mode("overwrite").save(f"{tmp_path}/empty")
     assert _read(spark, f"{tmp_path}/empty").collect() == [] and _read(spark, f"{tmp_path}/empty").where(F.col("stamp") > 3).count() == 0
+
+
+def test_a_stride_goes_on_from_split_to_split(spark, base):
+    order = sorted(ROWS, key=lambda x: (x[0], x[3], x[2]))
+    want = [row for r in (1, 2) for t in ("/a", "/b") for row in [x for x in order if x[:2] == (r, t)][::3]]
+    assert _plain(_read(spark, base, stride=3).collect()) == _plain(want)
+    late = _read(spark, base, topics="/b", stride=3).where("stamp >= 1010")
+    assert _plain(late.collect()) == _plain([x for x in want if x[1] == "/b" and x[3] >= 1010])
+
+
+def test_topic_scan_writes_a_recording_in_many_splits(spark):
+    from prismfield.plans import catalog
+
+    got = catalog.QUERIES["recording_topic_scan"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BinaryFile" not in plan and "binaryFile" not in plan and "recording" in plan and got.count() > 0
