@@ -3,7 +3,8 @@
 A cloud is a key; clouds of any size and number go through the same passes. One round of the peel draws
 `trials` triples of points of each cloud by a hash, counts for every hypothesis the points within the threshold
 (one partial aggregate over the points), refits the best one from summed moments, and the next round leaves its
-inliers out. What is held besides the points are the models: a few numbers for each cloud and round.
+inliers out. What is held besides the points are the models: a few numbers for each cloud and round. A round reads the points three
+times and sorts or shuffles none of them: what is drawn is found below a bound of the hash, counts and moments are summed by the tasks.
 
 Edge cases: clouds with fewer than three points, or whose draws all lie on lines, have no plane. Ties in the count go to
 the first draw. Points with a null or a non-finite coordinate belong to no plane. An empty table gives no rows.
@@ -23,15 +24,16 @@ from .rows import finite
 
 AXES = ("x", "y", "z")
 MOST_BROADCAST = 2000  # keys whose models (some 10 KB each) are broadcast; more are joined by salted keys
+MOST_CELLS = 200_000  # cells of patches (some 100 bytes each) that are broadcast: they grow with the surfaces, not with the points
 SALTS = 16
 
 
-def beside(points: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Points with the row of `small` of their key, for a stored table with one row a key.
+def beside(points: DataFrame, small: DataFrame, keys: list[str], few: bool | None = None) -> DataFrame:
+    """Points with the row of `small` of their key, for a stored table with one row a key; `few` says whether there are at most MOST_BROADCAST, where that is known.
 
     Few keys are broadcast. Otherwise a hot key's points are dealt over SALTS partitions, each with a copy of its row.
     """
-    if small.count() <= MOST_BROADCAST:
+    if small.count() <= MOST_BROADCAST if few is None else few:
         return points.join(F.broadcast(small), keys)
     salted = points.withColumn("__salt", F.pmod(F.xxhash64(*AXES), F.lit(SALTS)))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -43,21 +45,36 @@ def _off(m: str) -> str:
     return f"abs({m}.hx * x + {m}.hy * y + {m}.hz * z + {m}.hd)"
 
 
-def draw(points: DataFrame, keys: list[str], trials: int, salt: Column, id_col: str) -> DataFrame:
-    """(keys, trial, hx, hy, hz, hd): planes through the points with the smallest hashes, three by three.
+PAST = "array<struct<hx: double, hy: double, hz: double, hd: double>>"
 
-    3 * trials rows a key are kept by every task before the shuffle (a limit within the window's groups).
+
+def _fresh(threshold: float) -> Column:
+    """Whether a point is away from all models `past` that were taken out."""
+    return ~F.expr(f"exists(past, p -> {_off('p')} < {threshold})")
+
+
+def draw(points: DataFrame, state: DataFrame, keys: list[str], threshold: float, trials: int, salt: Column, id_col: str, few: bool, bounded: bool = True) -> DataFrame:
+    """(keys, n, past, h, kept): planes (trial, hx, hy, hz, hd) through the points with the smallest hashes, three by three, in an array a key of `state`.
+
+    With `bounded` only hashes below a bound are sorted: of `n` points a half more than are drawn, and 200, are expected there. If `kept` is less than
+    what is drawn (as when ids repeat), the drawing is not the whole one.
     """
-    by = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", salt, F.col(id_col))), *AXES)
-    first = points.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= 3 * trials)
+    hashed = F.md5(F.concat_ws(":", salt, F.col(id_col)))
+    share = (4.5 * trials + 200) / F.col("n")
+    bound = F.when(F.lit(bounded) & (share < 1), F.lpad(F.lower(F.hex(F.floor(share * float(1 << 32)).cast("long"))), 8, "0")).otherwise("g")  # digits end at f
+    low = beside(points, state.select(*keys, "past", bound.alias("bound")), keys, few).where(hashed < F.col("bound")).where(_fresh(threshold))
+    by = Window.partitionBy(*keys).orderBy(hashed, *AXES)
+    first = low.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= 3 * trials)
     trial, corner = F.floor((F.col("__n") - 1) / 3), (F.col("__n") - 1) % 3
     p = lambda k, a: F.max(F.when(corner == k, F.col(a))).alias(f"{a}{k}")
-    three = first.groupBy(*keys, trial.alias("trial")).agg(*(p(k, a) for k in range(3) for a in AXES))
-    out = three.selectExpr(*keys, "trial", "x0", "y0", "z0", *(f"{a}{k} - {a}0 AS {a}{k}" for k in (1, 2) for a in AXES))
-    out = out.selectExpr(*keys, "trial", "x0", "y0", "z0", "y1 * z2 - z1 * y2 AS nx", "z1 * x2 - x1 * z2 AS ny", "x1 * y2 - y1 * x2 AS nz")
-    out = out.selectExpr("*", "sqrt(nx * nx + ny * ny + nz * nz) AS size").where("size > 1e-12")
-    out = out.selectExpr(*keys, "trial", "x0", "y0", "z0", "nx / size AS hx", "ny / size AS hy", "nz / size AS hz")
-    return out.selectExpr(*keys, "trial", "hx", "hy", "hz", "-(hx * x0 + hy * y0 + hz * z0) AS hd")
+    three = first.groupBy(*keys, trial.alias("trial")).agg(F.count("*").alias("kept"), *(p(k, a) for k in range(3) for a in AXES))
+    out = three.selectExpr(*keys, "trial", "kept", "x0", "y0", "z0", *(f"{a}{k} - {a}0 AS {a}{k}" for k in (1, 2) for a in AXES))
+    out = out.selectExpr(*keys, "trial", "kept", "x0", "y0", "z0", "y1 * z2 - z1 * y2 AS nx", "z1 * x2 - x1 * z2 AS ny", "x1 * y2 - y1 * x2 AS nz")
+    out = out.selectExpr("*", "sqrt(nx * nx + ny * ny + nz * nz) AS size")
+    out = out.selectExpr(*keys, "trial", "kept", "size", "x0", "y0", "z0", "nx / nullif(size, 0) AS hx", "ny / nullif(size, 0) AS hy", "nz / nullif(size, 0) AS hz")
+    out = out.selectExpr(*keys, "kept", "size", "struct(trial, hx, hy, hz, -(hx * x0 + hy * y0 + hz * z0) AS hd) AS m")
+    held = out.groupBy(*keys).agg(F.sum("kept").alias("kept"), F.collect_list(F.when(F.col("size") > 1e-12, F.col("m"))).alias("h"))
+    return state.select(*keys, "n", "past").join(held, keys, "left").fillna(0, ["kept"])
 
 
 #: Least-squares plane from second moments: the axis with the largest determinant is solved for.
@@ -100,15 +117,39 @@ def refit(inliers: DataFrame, keys: list[str]) -> DataFrame:
     return sums.mapInPandas(run, f"{kinds}, nx double, ny double, nz double, d double, rms double")
 
 
-def _counts(points: DataFrame, each: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, trial, n): points within the threshold of each hypothesis, added up by every task before the shuffle.
+BLOCK = 1024  # points a block: its distances stay in the cache
+
+
+def _hits(xyz: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
+    """Points within the threshold of each model (hx, hy, hz, hd: the rows of `h`), by the rounding of the plain sum.
+
+    Distances come from matrix products, which may round otherwise; those that rounding could turn are worked out plainly.
+    """
+    total, held = np.zeros(h.shape[1], np.int64), np.empty((BLOCK, h.shape[1]))
+    rows = np.column_stack([xyz, np.ones(len(xyz))])
+    slack = 64 * np.finfo(float).eps * (np.abs(xyz).max(initial=0.0) * 3 + np.abs(h[3]).max(initial=0.0) + threshold)
+    for a in range(0, len(rows), BLOCK):
+        p = rows[a : a + BLOCK]
+        off = np.abs(np.dot(p, h, out=held[: len(p)]), out=held[: len(p)])
+        sure, maybe = off < threshold - slack, off < threshold + slack
+        total += np.add.reduce(sure.view(np.uint8), axis=0, dtype=np.uint16)
+        if np.count_nonzero(sure) != np.count_nonzero(maybe):
+            i, j = np.nonzero(maybe & ~sure)
+            x, y, z, _ = p[i].T
+            total += np.bincount(j[np.abs(h[0, j] * x + h[1, j] * y + h[2, j] * z + h[3, j]) < threshold], minlength=len(total))
+    return total
+
+
+def _counts(points: DataFrame, each: DataFrame, keys: list[str], threshold: float, few: bool) -> DataFrame:
+    """(keys, trial, n): fresh points within the threshold of each hypothesis, added up by every task before the shuffle.
 
     Up to MOST_BROADCAST keys the hypotheses (a bounded number a key) go to all tasks as arrays; more of them are joined and unrolled.
     """
-    if each.count() > MOST_BROADCAST:
-        met = beside(points, each, keys).select(*keys, *AXES, F.explode("h").alias("h")).where(F.expr(_off("h")) < threshold)
+    if not few:
+        met = beside(points, each.select(*keys, "past", "h"), keys, few).where(_fresh(threshold)).select(*keys, *AXES, F.explode("h").alias("h")).where(F.expr(_off("h")) < threshold)
         return met.groupBy(*keys, F.col("h.trial").alias("trial")).agg(F.count("*").alias("n"))
-    models = {tuple(r[k] for k in keys): (np.array([m["trial"] for m in r["h"]]), np.array([tuple(m)[1:] for m in r["h"]], float).T) for r in each.collect()}
+    table = lambda ms, at: np.array([tuple(m)[at:] for m in ms], float).reshape(-1, 4).T.copy()
+    models = {tuple(r[k] for k in keys): (np.array([m["trial"] for m in r["h"]]), table(r["h"], 1), table(r["past"], 0)) for r in each.collect()}
     shared = points.sparkSession.sparkContext.broadcast(models)
     kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -120,11 +161,12 @@ def _counts(points: DataFrame, each: DataFrame, keys: list[str], threshold: floa
                 key = key if isinstance(key, tuple) else (key,)
                 if key not in shared.value:
                     continue
-                _, (hx, hy, hz, hd) = shared.value[key]
-                total = found.setdefault(key, np.zeros(len(hd), np.int64))
-                for a in range(0, len(at), 4096):
-                    x, y, z = xyz[at[a : a + 4096]].T[:, :, None]
-                    total += (np.abs(hx * x + hy * y + hz * z + hd) < threshold).sum(0)
+                _, h, past = shared.value[key]
+                own = xyz[at]
+                for hx, hy, hz, hd in past.T:
+                    x, y, z = own.T
+                    own = own[~(np.abs(hx * x + hy * y + hz * z + hd) < threshold)]
+                found[key] = found.get(key, 0) + _hits(own, h, threshold)
         for key, total in found.items():
             yield pd.DataFrame({k: [v] * len(total) for k, v in zip(keys, key, strict=True)} | {"trial": shared.value[key][0], "n": total})
 
@@ -132,15 +174,28 @@ def _counts(points: DataFrame, each: DataFrame, keys: list[str], threshold: floa
     return sent.groupBy(*keys, "trial").agg(F.sum("n").alias("n"))
 
 
-def best_planes(points: DataFrame, keys: list[str], threshold: float, trials: int, salt: Column, id_col: str, cut) -> DataFrame:
-    """One plane a key: the hypothesis (hx, hy, hz, hd) with most points within the threshold, refitted to them."""
-    drawn = draw(points, keys, trials, salt, id_col)
-    each = cut(drawn.groupBy(*keys).agg(F.collect_list(F.struct("trial", "hx", "hy", "hz", "hd")).alias("h")), "models")
-    counts = _counts(points, each, keys, threshold)
+def unpeeled(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, past): number of points of each key, no model taken out."""
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return points.where(known).groupBy(*keys).agg(F.count("*").alias("n")).withColumn("past", F.expr(f"cast(array() AS {PAST})"))
+
+
+def best_planes(points: DataFrame, keys: list[str], threshold: float, trials: int, salt: Column, id_col: str, cut, state: DataFrame | None = None, few: bool | None = None) -> DataFrame:
+    """One plane a key: the hypothesis (hx, hy, hz, hd) with most points within the threshold, refitted to them.
+
+    `state` is a stored table (keys, n, past) of the models taken out before and the number of points that are left without theirs.
+    """
+    state = cut(unpeeled(points, keys), "state") if state is None else state
+    few = state.count() <= MOST_BROADCAST if few is None else few
+    each = cut(draw(points, state, keys, threshold, trials, salt, id_col, few), "models")
+    if each.where(F.col("kept") < F.least("n", F.lit(3 * trials))).limit(1).count():
+        each = cut(draw(points, state, keys, threshold, trials, salt, id_col, few, False), "models")
+    each = each.where(F.size("h") > 0)
+    counts = _counts(points, each, keys, threshold, few)
     top = counts.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("trial")).alias("t"))).alias("b")).select(*keys, (-F.col("b.t")).alias("top"))
-    best = cut(top.join(each, keys).select(*keys, F.expr("filter(h, m -> m.trial = top)[0]").alias("m")).select(*keys, "m.hx", "m.hy", "m.hz", "m.hd"), "best")
-    near = beside(points, best.select(*keys, F.struct("hx", "hy", "hz", "hd").alias("h")), keys).where(F.expr(_off("h")) < threshold)
-    return refit(near, keys).join(best, keys)
+    best = cut(top.join(each, keys).select(*keys, "past", F.expr("filter(h, m -> m.trial = top)[0]").alias("m")).select(*keys, "past", "m.hx", "m.hy", "m.hz", "m.hd"), "best")
+    near = beside(points, best.select(*keys, "past", F.struct("hx", "hy", "hz", "hd").alias("h")), keys, few).where(F.expr(_off("h")) < threshold).where(_fresh(threshold))
+    return refit(near, keys).join(best.drop("past"), keys)
 
 
 def tilt(nz: str = "nz") -> Column:
@@ -156,17 +211,17 @@ def peel(points: DataFrame, keys: list[str], cut, threshold: float = 0.02, trial
     A plane tilted by more than `max_tilt` degrees (0: any) is noise. With `snap` the normal is the nearest axis and the plane goes through the centroid.
     """
     points = finite(points.select(*keys, id_col, *AXES), list(AXES))
-    floor = F.greatest(F.lit(least), F.ceil(F.count("*") * least_share)).alias("floor")
-    active = cut(points.groupBy(*keys).agg(floor).withColumn("past", F.expr("cast(array() AS array<struct<hx: double, hy: double, hz: double, hd: double>>)")).withColumn("planes", F.lit(0)), "active")
+    floor = F.greatest(F.lit(least), F.ceil(F.col("n") * least_share)).alias("floor")
+    active = cut(unpeeled(points, keys).select(*keys, "n", "past", floor).withColumn("planes", F.lit(0)), "active")
+    few = active.count() <= MOST_BROADCAST
     found = []
     for attempt in range(max_attempts or 5 * max_planes):
-        rest = beside(points, active.select(*keys, "past"), keys).where(~F.expr(f"exists(past, p -> {_off('p')} < {threshold})")).drop("past")
-        one = best_planes(rest, keys, threshold, trials, F.lit(attempt), id_col, cut)
+        one = best_planes(points, keys, threshold, trials, F.lit(attempt), id_col, cut, active, few)
         one = one.join(active, keys).where(F.col("inliers") >= F.col("floor")).where(F.col("nx").isNotNull())
         fine = (tilt() <= max_tilt) if max_tilt > 0 else F.lit(True)
         one = cut(one.withColumns({"attempt": F.lit(attempt), "tilt": tilt(), "accepted": fine, "orientation": F.when(F.abs("nz") > 0.5, "floor_ceiling").otherwise("wall")}), "planes")
-        found.append(one.drop("floor", "past", "planes"))
-        active = cut(one.select(*keys, "floor", F.concat("past", F.array(F.struct("hx", "hy", "hz", "hd"))).alias("past"), (F.col("planes") + F.col("accepted").cast("int")).alias("planes")).where(F.col("planes") < max_planes), "active")
+        found.append(one.drop("n", "floor", "past", "planes"))
+        active = cut(one.select(*keys, (F.col("n") - F.col("inliers")).alias("n"), "floor", F.concat("past", F.array(F.struct("hx", "hy", "hz", "hd"))).alias("past"), (F.col("planes") + F.col("accepted").cast("int")).alias("planes")).where((F.col("planes") < max_planes) & (F.col("n") >= F.col("floor"))), "active")
         if not active.limit(1).count():
             break
     out = reduce(DataFrame.unionByName, found)
@@ -191,8 +246,9 @@ def snapped(planes: DataFrame) -> DataFrame:
 def members(points: DataFrame, planes: DataFrame, keys: list[str], threshold: float, cut) -> DataFrame:
     """Points with the `attempt` that took them out: the first model of their cloud within the threshold."""
     models = cut(planes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("attempt", "hx", "hy", "hz", "hd"))).alias("models")), "models")
-    first = F.expr(f"filter(models, m -> {_off('m')} < {threshold})")
-    return beside(points, models, keys).withColumn("attempt", F.get(first, 0)["attempt"]).drop("models").where(F.col("attempt").isNotNull())
+    first = F.get(F.expr(f"filter(models, m -> {_off('m')} < {threshold})"), 0)
+    met = beside(points, models, keys).withColumn("__m", F.explode(F.array(first)))  # unrolled: it is worked out once a point
+    return met.withColumn("attempt", F.col("__m.attempt")).drop("models", "__m").where(F.col("attempt").isNotNull())
 
 
 def basis(planes: DataFrame) -> DataFrame:
@@ -235,6 +291,14 @@ def largest_patches(flat: DataFrame, keys: list[str], gap: float, cut, fewest: i
     return named.join(chosen, [*keys, "component"]).drop("component", "node")
 
 
+def in_patches(flat: DataFrame, keys: list[str], gap: float, cut) -> DataFrame:
+    """Points (keys, u, v) of the largest patch of each plane. Up to MOST_CELLS cells go to the points; beyond that both sides are shuffled."""
+    cell = {"i": F.floor(F.col("u") / gap), "j": F.floor(F.col("v") / gap)}
+    patch = cut(largest_patches(flat, keys, gap, cut).select(*keys, "i", "j"), "patch")
+    held = F.broadcast(patch) if patch.count() <= MOST_CELLS else patch.hint("merge")
+    return flat.withColumns(cell).join(held, [*keys, "i", "j"]).drop("i", "j")
+
+
 def rectangles(inliers: DataFrame, planes: DataFrame, keys: list[str], gap: float, cut) -> DataFrame:
     """(keys, u0, u1, v0, v1, width, height, area): structure-aligned rectangle of the largest patch of each plane's inliers."""
     flat = on_plane(inliers, planes, keys, cut)

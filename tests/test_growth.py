@@ -110,3 +110,42 @@ def test_users_of_a_share_settle_together(spark, tmp_path):
     poses = lambda e, **m: S.poses_when_closed(e, F.col("value") > 40, 400 * ms, "1 second", **m)
     got = [tuple(r) for r in run(poses, shares=2)]
     assert len(got) == 40 * 4 and {r[1:4] for r in got} == {(1 + 7 * k, 5 + 7 * k, 5) for k in range(4)}
+
+
+def test_hits_equal_the_plain_sum_even_at_the_threshold():
+    from prismfield.operators import planes as P
+
+    r = np.random.default_rng(3)
+    xyz = np.concatenate([r.normal(size=(3000, 3)) * 5, r.integers(-40, 40, (500, 3)) / 100])
+    h = np.concatenate([r.normal(size=(40, 4)), np.eye(4)[:3], [[0.6, 0.8, 0.0, 0.02]]]).T.copy()
+    h[:3] /= np.linalg.norm(h[:3], axis=0)
+    x, y, z = xyz.T[:, :, None]
+    want = (np.abs(h[0] * x + h[1] * y + h[2] * z + h[3]) < 0.02).sum(0)
+    assert (P._hits(xyz, h, 0.02) == want).all() and want.min() > 0
+
+
+def test_drawing_sorts_a_bounded_part_and_notices_repeated_ids(spark):
+    from prismfield.operators import planes as P
+    from prismfield.sources import adapters as A
+
+    r = np.random.default_rng(4)
+    pts = r.normal(size=(4000, 3))
+    df = spark.createDataFrame([(k, "same" if k else f"{i}", *map(float, p)) for k in (0, 1) for i, p in enumerate(pts)], "k int, id string, x double, y double, z double")
+    state = A.stored(P.unpeeled(df, ["k"]), "state")
+    args = (df, state, ["k"], 0.02, 10, F.lit(0), "id", True)
+    part = P.draw(*args)
+    assert "md5" in (plan := _plan(part)) and plan.index("Window") < plan.index("bound#") and "< bound#" in plan
+    got, whole = ({x.k: (x.n, x.kept, sorted(x.h or [])) for x in d.collect()} for d in (part, P.draw(*args, False)))
+    assert got[0] == whole[0] and whole[0][:2] == (4000, 30) and len(whole[0][2]) == 10 and whole[1][1] == 30
+    assert P.best_planes(df, ["k"], 0.02, 10, F.lit(0), "id", A.stored).count() == 2
+
+
+def test_patches_reach_the_points_without_a_shuffle_of_them(spark):
+    from prismfield.operators import planes as P
+    from prismfield.sources import adapters as A
+
+    rows = [(1, i * 0.1, j * 0.1) for i in range(20) for j in range(20)] + [(1, 50.0, 50.0), (2, 0.0, 0.0)]
+    flat = A.stored(spark.createDataFrame(rows, "k int, u double, v double"), "flat")
+    got = P.in_patches(flat, ["k"], 0.5, A.stored)
+    assert sorted(map(tuple, got.select("k", "u", "v").collect())) == sorted(r for r in rows if r[1] < 50)
+    assert "BroadcastHashJoin" in _plan(got) and "SortMergeJoin" not in _plan(got)
