@@ -1,7 +1,8 @@
 """Loop closure: revisit candidates from scan descriptors and from near places, and their registration by closest points.
 
 Scans are (graph, node, x, y, z) in the sensor's frame, poses as in `posegraph`. Nothing compares all pairs of scans or of points:
-descriptors meet in cells of two of their sums, places in cells of the radius, points in cells of the inlier distance.
+descriptors meet in cells of two of their sums, places in cells of the radius, points in cells of the inlier distance. A cell holds the fixed points in and around
+it, so scans must be thinned to cells first, as a keyframe's are.
 
 Edge cases: scans without points have no descriptor and no candidate; a pair with fewer than `least` close points is 'no overlap'; equal
 distances go to the smaller node. Empty tables give no rows.
@@ -95,15 +96,28 @@ def place_candidates(poses: DataFrame, radius: float, gap: int) -> DataFrame:
     return a.join(b, ["graph", "c0", "c1"]).where(F.col("j") - F.col("i") >= gap).select("graph", "i", "j", off.alias("distance")).where(F.col("distance") <= radius)
 
 
+def surroundings(fixed: DataFrame, keys: list[str], distance: float) -> DataFrame:
+    """(keys, c0, c1, c2, near): for each cell of edge `distance` that has fixed points in it or beside it, those points. It serves all moving points of that cell."""
+    axes = [F.col(a) for a in AXES]
+    cells = _near_cells(fixed.select(*keys, *AXES), axes, distance, True)
+    return cells.groupBy(*keys, "c0", "c1", "c2").agg(F.collect_list(F.struct(*(F.col(a).alias(f"f{a}") for a in AXES))).alias("near"))
+
+
+def nearest_of(moving: DataFrame, around: DataFrame, keys: list[str], distance: float) -> DataFrame:
+    """Moving points with their nearest fixed point (fx, fy, fz, d2) within the distance, from the surroundings of their cell: one row a point is shuffled."""
+    asked = _near_cells(moving, [F.col(a) for a in AXES], distance, False)
+    d2 = lambda f: sum((F.col(a) - f[f"f{a}"]) * (F.col(a) - f[f"f{a}"]) for a in AXES).alias("d2")
+    at = [*keys, "c0", "c1", "c2"]
+    parts = int(moving.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are few bytes but much work: they are not put together again
+    met = asked.repartition(parts, *at).join(around.repartition(parts, *at).hint("merge"), at)
+    best = F.array_min(F.transform("near", lambda f: F.struct(d2(f), *(f[f"f{a}"].alias(f"f{a}") for a in AXES))))
+    near = met.select(*moving.columns, F.explode(F.array(best)).alias("__m"))  # unrolled: it is worked out once a point
+    return near.select(*moving.columns, *(F.col(f"__m.{c}") for c in ("fx", "fy", "fz", "d2"))).where(F.col("d2") <= distance * distance)
+
+
 def nearest_points(moving: DataFrame, fixed: DataFrame, keys: list[str], distance: float) -> DataFrame:
     """(keys, id, x, y, z, fx, fy, fz, d2): each moving point with its nearest fixed point within the distance."""
-    axes = [F.col(a) for a in AXES]
-    asked = _near_cells(moving.select(*keys, "id", *AXES), axes, distance, True)
-    known = _near_cells(fixed.select(*keys, *AXES), axes, distance, False).select(*keys, "c0", "c1", "c2", *(F.col(a).alias(f"f{a}") for a in AXES))
-    d2 = sum((F.col(a) - F.col(f"f{a}")) * (F.col(a) - F.col(f"f{a}")) for a in AXES)
-    met = asked.join(known, [*keys, "c0", "c1", "c2"]).withColumn("d2", d2).where(F.col("d2") <= distance * distance)
-    near = met.groupBy(*keys, "id").agg(F.min(F.struct("d2", "fx", "fy", "fz", *AXES)).alias("m"))
-    return near.select(*keys, "id", *(F.col(f"m.{c}") for c in (*AXES, "fx", "fy", "fz", "d2")))
+    return nearest_of(moving.select(*keys, "id", *AXES), surroundings(fixed, keys, distance), keys, distance)
 
 
 _SUMS = ["n", "d2", *(f"p{a}" for a in AXES), *(f"f{a}" for a in AXES), *(f"m{a}{b}" for a in AXES for b in AXES)]
@@ -143,14 +157,14 @@ def _placed(points: DataFrame) -> DataFrame:
 def register(starts: DataFrame, scans: DataFrame, distance: float, steps: int, cut, least: int = 6) -> DataFrame:
     """(graph, i, j, guess, t, q, rmse, matched) after `steps` rounds of closest points, all pairs at once.
 
-    A round moves the points of scan j by the pair's pose, finds their nearest points of scan i within `distance`, and turns the pose by the rigid
+    The surroundings of every cell of the scans i are gathered once: they are the same in all rounds, pairs and guesses. A round moves the points of scan j by the pair's pose, finds their nearest points of scan i within `distance`, and turns the pose by the rigid
     motion that the summed moments of each pair give. Pairs with fewer than `least` matches keep their pose. rmse and matched are those after the last round.
     """
     keys = ["graph", "i", "j", "guess"]
     poses = cut(starts.select(*keys, "t", "q"), "starts")
-    moving = scans.withColumnRenamed("node", "j").withColumn("id", F.monotonically_increasing_id())
-    moving = cut(moving, "scans")
-    fixed = scans.withColumnRenamed("node", "i")
+    moving = scans.withColumnRenamed("node", "j")
+    fixed = scans.withColumnRenamed("node", "i").join(poses.select("graph", "i").distinct(), ["graph", "i"], "left_semi")
+    around = cut(surroundings(fixed, ["graph", "i"], distance), "surroundings")
 
     def update(batches):
         for p in batches:
@@ -163,14 +177,12 @@ def register(starts: DataFrame, scans: DataFrame, distance: float, steps: int, c
                 yield p[keys].assign(t=list(np.where(enough[:, None], new_t, t0)), q=list(q))
 
     for k in range(steps + 1):
-        here = _placed(moving.join(poses, ["graph", "j"]))
-        there = fixed.join(poses.select(*keys), ["graph", "i"])
-        found = moments(nearest_points(here, there, keys, distance), keys)
+        here = _placed(moving.join(poses, ["graph", "j"])).select(*keys, *AXES)
+        found = moments(nearest_of(here, around, ["graph", "i"], distance), keys)
         if k == steps:
             return poses.join(found.select(*keys, F.sqrt("d2").alias("rmse"), F.col("n").alias("matched")), keys, "left")
-        both = poses.join(found, keys).select(*keys, "t", "q", *_SUMS)
-        done = both.mapInPandas(update, "graph long, i long, j long, guess int, t array<double>, q array<double>")
-        poses = cut(done.unionByName(poses.join(found.select(*keys), keys, "left_anti")), "registered")
+        both = poses.join(found, keys, "left").select(*keys, "t", "q", *_SUMS).fillna(0, _SUMS)
+        poses = cut(both.mapInPandas(update, "graph long, i long, j long, guess int, t array<double>, q array<double>"), "registered")
     return poses
 
 

@@ -38,21 +38,23 @@ def revisited_rooms(spark, sf_dir):
     """Scans and poses of a path of eight stops in each hall: stops four apart see the same points, displaced; the path's own poses drift.
 
     As for any keyframe, a scan is what its points average to in cells of 0.3 metres: its size is the room's, not the data's.
+    The points themselves are read once and neither stored nor shuffled.
     """
-    from .plane_plans import rooms
+    from .plane_plans import room_points
 
     stop = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("round")
-    cloud = rooms(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4)))
+    cloud = room_points(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4)))
     p = cloud.select(F.col("hall").cast("long").alias("graph"), "part", "x", "y", "z", stop).withColumn("node", F.col("part") + 4 * F.col("round"))
     yaw, cx, cy = F.col("round") * 0.15, 3 + 0.3 * F.col("round"), 2 - 0.2 * F.col("round")
     dx, dy = F.col("x") - cx, F.col("y") - cy
     scans = p.select("graph", "node", (F.cos(yaw) * dx + F.sin(yaw) * dy).alias("x"), (F.cos(yaw) * dy - F.sin(yaw) * dx).alias("y"), (F.col("z") - 1.2).alias("z"))
     scans = scans.groupBy("graph", "node", *(F.floor(F.col(a) / 0.3).alias(f"c{a}") for a in "xyz")).agg(*(F.avg(a).alias(a) for a in "xyz")).drop("cx", "cy", "cz")
-    nodes = p.select("graph", "node", "round").distinct()
+    scans = A.stored(scans, "scans")
+    nodes = scans.select("graph", "node", F.floor(F.col("node") / 4).alias("round")).distinct()
     off = F.col("node") * 0.02
     half = yaw / 2 + off / 4
     poses = nodes.select("graph", "node", F.array(cx + off, cy - off / 2, 1.2 + off).alias("t"), F.array(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half)).alias("q"))
-    return A.stored(scans, "scans"), A.stored(poses, "poses")
+    return scans, A.stored(poses, "poses")
 
 
 @query()

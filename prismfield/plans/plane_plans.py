@@ -31,10 +31,14 @@ _ROOMS = f"""SELECT hall, id, {', '.join(f'{e} AS {c}' for c, e in _XYZ.items())
     SELECT *, cast(floor(l_extendedprice * 100 + 0.5e0) AS bigint) AS cents, (l_orderkey + l_linenumber * 3 + l_partkey) % 7 AS face FROM lineitem))"""
 
 
+def room_points(spark, sf_dir):
+    """Clouds of halls, from all of lineitem."""
+    return spark.sql(_ROOMS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=A.table(spark, sf_dir, "lineitem"))
+
+
 def rooms(spark, sf_dir):
-    """Clouds of halls, from all of lineitem: made once and stored, as every round of a peel reads them again."""
-    made = spark.sql(_ROOMS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=A.table(spark, sf_dir, "lineitem"))
-    return A.stored(made.repartition(spark.sparkContext.defaultParallelism), "rooms")
+    """The clouds, made once and stored, as every round of a peel reads them again."""
+    return A.stored(room_points(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), "rooms")
 
 
 def _peeled(cloud):

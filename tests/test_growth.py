@@ -149,3 +149,19 @@ def test_patches_reach_the_points_without_a_shuffle_of_them(spark):
     got = P.in_patches(flat, ["k"], 0.5, A.stored)
     assert sorted(map(tuple, got.select("k", "u", "v").collect())) == sorted(r for r in rows if r[1] < 50)
     assert "BroadcastHashJoin" in _plan(got) and "SortMergeJoin" not in _plan(got)
+
+
+def test_nearest_points_shuffle_one_row_a_point(spark):
+    from prismfield.operators import registration as R
+    from prismfield.sources import adapters as A
+
+    r = np.random.default_rng(6)
+    a, b = r.uniform(0, 3, (60, 3)), r.uniform(0, 3, (90, 3))
+    rows = lambda m: spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(m)], "k int, id int, x double, y double, z double")
+    around = A.stored(R.surroundings(rows(b), ["k"], 0.5), "around")
+    near = R.nearest_of(rows(a), around, ["k"], 0.5)
+    assert "Generate explode(sequence" not in _plan(near) and "Aggregate" not in _plan(near)
+    got = {x.id: (x.fx, x.d2) for x in near.collect()}
+    d2 = ((a[:, None] - b[None]) ** 2).sum(2)
+    want = {i: (b[d2[i].argmin(), 0], d2[i].min()) for i in range(60) if d2[i].min() <= 0.25}
+    assert got.keys() == want.keys() and 0 < len(got) < 60 and all(np.allclose(got[i], want[i], rtol=0, atol=1e-12) for i in got)
