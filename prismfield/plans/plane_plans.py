@@ -117,9 +117,7 @@ def plane_least_rectangles(spark, sf_dir):
     found = A.stored(_peeled(cloud), "planes")
     keys, planes = ["hall", "attempt"], found.where("accepted")
     flat = P.on_plane(P.members(cloud, found, ["hall"], THRESHOLD, A.stored), planes, keys, A.stored)
-    cell = {"i": F.floor(F.col("u") / GAP), "j": F.floor(F.col("v") / GAP)}
-    patch = P.largest_patches(flat, keys, GAP, A.stored).select(*keys, "i", "j")
-    out = P.least_rectangles(flat.withColumns(cell).join(patch, [*keys, "i", "j"]), keys)
+    out = P.least_rectangles(P.in_patches(flat, keys, GAP, A.stored), keys)
     return out.selectExpr(*keys, *(f"round({c}, 5) AS {c}" for c in ("centre_u", "centre_v", "width", "height", "angle")))
 
 
