@@ -270,6 +270,24 @@ def test_frame_records_broadcast_no_table_of_segments(spark):
     assert "BroadcastHashJoin" not in _plans_of_judge(spark)[1]
 
 
+def test_frame_records_broadcast_nothing_while_they_run(spark):
+    """Adaptive execution may turn a join that was planned as a merge into a broadcast once its sides are known: the plans that ran hold none."""
+    at = {1: (3, 0), 2: (3, 20), 3: (5, 0)}  # a door, a window away from it, the floor below the door; the last frame has no floor
+    pixels = spark.createDataFrame([(f, r, c + k, s) for f in range(3) for s, (r, c) in at.items() for k in range(5) if (f, s) != (2, 3)], "frame long, row int, col int, segment int")
+    kinds = ((1, "door", "wall"), (2, "window", "wall"), (3, "other", "floor"))
+    segments = spark.createDataFrame([(f, s, k, z, 0.5) for f in range(3) for s, k, z in kinds], "frame long, segment int, class string, zone string, confidence double")
+    ran = []
+
+    def run(df, label):
+        rows = df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return rows if label == "segments" else A.stored(df, label)
+
+    records = run(FR.judge(pixels, segments, (10, 30), run, limits={"dilation": 1, "floor_gap": 5, "edge_band": 2, "door_width": 2, "area": 2}).segments, "segments")
+    assert {r["rule"] for r in records} == {None, FR.RULES[5]} and sum(r["class"] == "door" for r in records) == 2  # no join met an empty side
+    assert len(ran) > 5 and all("isFinalPlan=true" in p and "Broadcast" not in p for p in ran) and ran[-1].count("SortMergeJoin") >= 6
+
+
 def test_pose_graph_leaves_its_result_and_edges_alone(spark):
     """Of the tables that the steps store, only those that are read again are left."""
     from pyspark.sql import functions as F
