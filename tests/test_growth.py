@@ -165,3 +165,14 @@ def test_nearest_points_shuffle_one_row_a_point(spark):
     d2 = ((a[:, None] - b[None]) ** 2).sum(2)
     want = {i: (b[d2[i].argmin(), 0], d2[i].min()) for i in range(60) if d2[i].min() <= 0.25}
     assert got.keys() == want.keys() and 0 < len(got) < 60 and all(np.allclose(got[i], want[i], rtol=0, atol=1e-12) for i in got)
+
+
+def test_rounds_of_motions_are_no_jobs_of_their_own(spark):
+    from prismfield.operators import odometry as O
+    from prismfield.sources import adapters as A
+
+    made = []
+    cut = lambda df, label: made.append(label) or A.stored(df, label)
+    rows = [(0, s, bool(i % 2), *np.random.default_rng(i).normal(size=6).tolist()) for s in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, f"graph long, step long, known boolean, {', '.join(f'{c} double' for c in O.SIGHT)}")
+    assert O.solve_motions(df, cut, rounds=8).count() == 3 and len(made) == 2  # once three and a table a round

@@ -82,3 +82,14 @@ def test_slopes_of_residuals(spark):
         turned = lambda s: np.r_[O.axis_angle(spin(s * h[None, :3]) @ spin(x[None, :3]))[0], x[3:] + s * h[3:]]  # noqa: B023, E731
         for i in (0, 1):
             assert np.allclose((at(turned(1))[i] - at(turned(-1))[i]) / 2e-6, at(x)[i + 2][:, k], atol=1e-7)
+
+
+@pytest.mark.parametrize("heavy", [10**6, 40])
+def test_steps_of_any_size_get_the_same_motions(spark, monkeypatch, heavy):
+    motions = [(0.02, -0.01, 0.03, 0.2, -0.1, 0.6), (-0.01, 0.02, 0.0, -0.1, 0.1, 0.4), (0.0, 0.01, 0.02, 0.1, 0.0, 0.5)]
+    seen = [_seen(9 + k, k, m, 30 + 30 * k, 2 * k) for k, m in enumerate(motions)]
+    monkeypatch.setattr(O, "HEAVY", heavy)
+    monkeypatch.setattr(O, "PART", 7)
+    got = {r["step"]: r for r in O.solve_motions(spark.createDataFrame(sum(seen, []), SCHEMA).repartition(5), stored, rounds=8).collect()}
+    for k, m in enumerate(motions):
+        assert np.allclose(got[k]["motion"], _plain(seen[k], m), atol=1e-7) and got[k]["known"] + got[k]["unknown"] == len(seen[k])
